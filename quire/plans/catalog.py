@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans import base
 
-FAMILIES = ("text",)
+FAMILIES = ("text", "rule")
 
 
 def _load() -> None:
