@@ -105,11 +105,11 @@ def required_sections(low: Column) -> Column:
     return F.when((F.size(found) == 0), core).when(F.arrays_overlap(found, core), F.concat(core, extras)).otherwise(extras)
 
 
-def parse(briefs: DataFrame) -> DataFrame:
-    """brief_id, raw, headings, required, formatting and structural fields, hard, soft, instructions, conflicts,
+def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns are passed through. Adds brief_id, raw, headings, required, formatting and structural fields, hard, soft, instructions, conflicts,
     ambiguities."""
     raw = T.strip(F.coalesce("text", F.lit("")))
-    base = briefs.select("brief_id", raw.alias("raw"))
+    base = briefs.select("brief_id", *keep, raw.alias("raw"))
     low = F.lower("raw")
     base = base.select("*", low.alias("low"), T.split_lines(F.col("raw")).alias("_lines"))
     base = base.withColumn("headings", outline(F.col("_lines")))
@@ -124,6 +124,7 @@ def parse(briefs: DataFrame) -> DataFrame:
     required = required_sections(low)
     return base.select(
         "brief_id",
+        *keep,
         "raw",
         "headings",
         required.alias("required"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans import base
 
-FAMILIES = ("text", "rule")
+FAMILIES = ("text", "rule", "score")
 
 
 def _load() -> None:
