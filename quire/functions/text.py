@@ -205,3 +205,8 @@ def prettify_label(c: Column) -> Column:
     words = F.split(flat, f"{WS}+", -1)
     cap = F.transform(words, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p))))
     return F.when(flat == "", "Metadata").otherwise(F.array_join(cap, " "))
+
+
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and use it several times: fn gets it as a lambda variable."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
