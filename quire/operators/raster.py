@@ -135,7 +135,9 @@ def expected_ink(lines: Column, capacity: Column, headings: Column, paragraphs:
     use = F.least(F.lit("1").cast("decimal(12,8)"), fill)
     dark = _num("0.006") + use * _num("0.012") + headings * _num("0.0008") + lists * _num("0.0005")
     centre = _num("0.16") + headings * _num("0.015") + paragraphs * _num("0.006") + use * _num("0.08")
-    return F.least(_num("0.03"), dark), F.least(_num("0.45"), centre)
+    # Narrow decimals: wide ones lose scale when multiplied.
+    narrow = "decimal(16,12)"
+    return F.least(_num("0.03"), dark.cast(narrow)), F.least(_num("0.45"), centre.cast(narrow))
 
 
 def page_scores(actual: DataFrame, expected: DataFrame, min_page_score: float = 65.0) -> DataFrame:
@@ -146,11 +148,11 @@ def page_scores(actual: DataFrame, expected: DataFrame, min_page_score: float =
     """
     j = actual.join(expected, ["capacity", "doc_id", "page"], "left")
     found = F.col("blocks").isNotNull()
-    n = lambda c: F.coalesce(c, F.lit(0))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     lines = F.when(found, F.col("lines")).otherwise(F.floor(F.col("capacity") / 2))
     dark, centre = expected_ink(lines, F.col("capacity"), n("headings"), n("paragraphs"), n("lists"))
-    d = F.abs(F.col("dark_ratio").cast("decimal(8,4)") - dark)
-    c = F.abs(F.col("centroid_y").cast("decimal(8,4)") - centre)
+    d = F.abs(F.col("dark_ratio").cast("decimal(8,4)") - dark).cast("decimal(16,12)")
+    c = F.abs(F.col("centroid_y").cast("decimal(8,4)") - centre).cast("decimal(16,12)")
     close = found & (d <= _num("0.005")) & (c <= _num("0.02"))
     raw = F.greatest(_num("0"), F.least(_num("100"), 100 - d * 2500 - c * 120))
     score = F.when(close, 100.0).otherwise(F.round(raw, 2).cast("double"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans import base
 
-FAMILIES = ("text", "rule", "score", "pack")
+FAMILIES = ("text", "rule", "score", "pack", "layer")
 
 
 def _load() -> None:
