@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans import base
 
-FAMILIES = ("text", "rule", "score", "pack", "layer", "style")
+FAMILIES = ("text", "rule", "score", "pack", "layer", "style", "source", "registry", "history", "stream")
 
 
 def _load() -> None:
