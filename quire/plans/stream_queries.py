@@ -41,10 +41,10 @@ def _time(c):
 
 
 ctes(
-    stream_end=f"SELECT max(epoch_us(ts)) - {DELAY_S} * 1000000 AS mark FROM events",
-    gap_sessions="""SELECT user_id, session, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 3600 * 1000000 AS end_us, count(*) AS n
+    stream_end=f"SELECT max(epoch_us(ts)) - {DELAY_S}000000 AS mark FROM events",
+    gap_sessions="""SELECT user_id, session, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 3600000000 AS end_us, count(*) AS n
         FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN prev IS NULL OR
-        epoch_us(ts) - epoch_us(prev) >= 3600 * 1000000 THEN 1 ELSE 0 END AS fresh FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id
+        epoch_us(ts) - epoch_us(prev) >= 3600000000 THEN 1 ELSE 0 END AS fresh FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id
         ORDER BY ts, event_id) AS prev FROM events))) GROUP BY user_id, session""",
 )
 
@@ -62,8 +62,8 @@ def _(spark, d):
 
 @query(
     "h12_tumbling_counts",
-    """SELECT w * 3600 * 1000000 AS start_us, event, n FROM (SELECT epoch_us(ts) // 3600000000 AS w, event_type AS event, count(*) AS n
-    FROM events GROUP BY ALL), stream_end WHERE (w + 1) * 3600 * 1000000 <= mark""",
+    """SELECT w * 3600000000 AS start_us, event, n FROM (SELECT epoch_us(ts) // 3600000000 AS w, event_type AS event, count(*) AS n
+    FROM events GROUP BY ALL), stream_end WHERE (w + 1) * 3600000000 <= mark""",
 )
 def _(spark, d):
     e = _events(spark, d).withColumnRenamed("event_type", "event")
@@ -73,9 +73,9 @@ def _(spark, d):
 
 @query(
     "h12_sliding_counts",
-    """SELECT w * 1800 * 1000000 AS start_us, event, n FROM (SELECT w, event, count(*) AS n FROM (SELECT event_type AS event,
+    """SELECT w * 1800000000 AS start_us, event, n FROM (SELECT w, event, count(*) AS n FROM (SELECT event_type AS event,
     unnest([epoch_us(ts) // 1800000000 - 1, epoch_us(ts) // 1800000000]) AS w FROM events) GROUP BY w, event), stream_end
-    WHERE w * 1800 * 1000000 + 3600 * 1000000 <= mark""",
+    WHERE w * 1800000000 + 3600000000 <= mark""",
 )
 def _(spark, d):
     e = _events(spark, d).withColumnRenamed("event_type", "event")

@@ -22,7 +22,9 @@ from quire.sources import ingest as I
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet folder or file as a stream; the schema is taken from what is there."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    # As a glob the path may be a single file as well as a folder.
+    glob = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
 
 
 def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
