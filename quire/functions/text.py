@@ -210,3 +210,12 @@ def prettify_label(c: Column) -> Column:
 def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once and use it several times: fn gets it as a lambda variable."""
     return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def settle(df, keep: list[str], **columns: Column):
+    """Select ``keep`` plus named columns that are computed exactly once per row.
+
+    Without it the optimizer would inline a costly expression into every place that reads it.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.explode(F.array(made)).alias("_made")).select(*keep, "_made.*")

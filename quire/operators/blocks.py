@@ -1,8 +1,9 @@
 """Text to lines, blocks and sections.
 
-Input is one row per document ``(doc_id, text)``. Lines come from a narrow explode; everything that needs neighbours
-is a window over one document's lines, so all of it shares a single exchange on ``doc_id`` (none if the documents are
-bucketed by ``doc_id``), and the rows of one window are never more than one text cell holds.
+Input is one row per document ``(doc_id, text)``. Whatever needs neighbouring lines first distributes the documents by
+``doc_id`` while the text is still one cell, then explodes it; all windows and group-bys that follow reuse that
+distribution. So the text is shuffled once, before it is multiplied into lines (not at all if the documents are bucketed
+by ``doc_id``), and the rows of one window are never more than one text cell holds.
 """
 
 from __future__ import annotations
@@ -31,15 +32,21 @@ _UPTO = _DOC.rowsBetween(Window.unboundedPreceding, 0)
 _BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, pos, raw, s: one row per line; s is the stripped line."""
-    rows = docs.select("doc_id", F.posexplode(T.split_lines(F.col(text))).alias("pos", "raw"))
+def lines(docs: DataFrame, text: str = "text", together: bool = False) -> DataFrame:
+    """doc_id, pos, raw, s: one row per line; s is the stripped line.
+
+    together=True puts a document's lines into one partition for the windows to come.
+    """
+    src = docs.select("doc_id", F.col(text).alias("_text"))
+    if together:
+        src = src.repartition("doc_id")
+    rows = src.select("doc_id", F.posexplode(T.split_lines(F.col("_text"))).alias("pos", "raw"))
     return rows.withColumn("s", T.strip(F.col("raw")))
 
 
-def classified(docs: DataFrame, text: str = "text") -> DataFrame:
+def classified(docs: DataFrame, text: str = "text", together: bool = False) -> DataFrame:
     """lines plus kind, level (headings only) and body (marker removed)."""
-    rows = lines(docs, text).withColumn("kind", T.line_kind(F.col("s")))
+    rows = T.settle(lines(docs, text, together), ["doc_id", "pos", "raw", "s"], kind=T.line_kind(F.col("s")))
     return rows.select(
         "*",
         F.when(F.col("kind") == "heading", T.heading_level(F.col("s"))).alias("level"),
@@ -51,6 +58,7 @@ def _merge_runs(rows: DataFrame, para: str) -> DataFrame:
     """Number blocks in order; a run of ``para`` lines is one block, joined by a blank."""
     prev = F.lag("kind").over(_DOC)
     start = (F.col("kind") != "blank") & ~((F.col("kind") == para) & F.coalesce(prev == para, F.lit(False)))
+    rows = rows.select("doc_id", "pos", "kind", "level", "body")
     numbered = rows.withColumn("block_no", F.sum(start.cast("int")).over(_UPTO))
     return (
         numbered.filter(F.col("kind") != "blank")
@@ -65,7 +73,7 @@ def _merge_runs(rows: DataFrame, para: str) -> DataFrame:
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, block_no, kind, level, text: content blocks with paragraph runs merged."""
-    return _merge_runs(classified(docs, text), "paragraph")
+    return _merge_runs(classified(docs, text, together=True), "paragraph")
 
 
 def with_root(blks: DataFrame, docs: DataFrame, title: Column) -> DataFrame:
@@ -136,7 +144,8 @@ def block_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def section_bodies(docs: DataFrame) -> DataFrame:
     """doc_id, section, body: text under each canonical heading, repeated headings merged, preamble always present."""
     pieces = F.concat(F.array(F.lit(None).cast("string")), T.split_lines(F.col("text")))
-    rows = docs.select("doc_id", F.posexplode(pieces).alias("pos", "raw")).withColumn("s", T.strip(F.col("raw")))
+    rows = docs.select("doc_id", "text").repartition("doc_id")
+    rows = rows.select("doc_id", F.posexplode(pieces).alias("pos", "raw")).withColumn("s", T.strip(F.col("raw")))
     head = F.col("s").rlike(T.HEADING)
     title = F.when(head, T.canon(F.regexp_replace("s", T.HEADING_MARK, "")))
     keyed = rows.withColumn("_head", head).withColumn(
@@ -152,7 +161,7 @@ def section_bodies(docs: DataFrame) -> DataFrame:
 
 def headed_sections(docs: DataFrame) -> DataFrame:
     """doc_id, sec_no, title, heading, body: section 0 is the preamble, duplicates stay apart."""
-    rows = lines(docs).withColumn("_head", F.col("s").rlike(T.HEADING))
+    rows = lines(docs, together=True).withColumn("_head", F.col("s").rlike(T.HEADING))
     rows = rows.withColumn("sec_no", F.sum(F.col("_head").cast("int")).over(_UPTO))
     heading = F.max(F.when(F.col("_head"), F.col("s")))
     out = rows.groupBy("doc_id", "sec_no").agg(
@@ -170,7 +179,7 @@ def headed_sections(docs: DataFrame) -> DataFrame:
 
 def section_slices(docs: DataFrame) -> DataFrame:
     """doc_id, sec_no, name, content: from a heading at column 0 to the next one; no heading gives one Document row."""
-    rows = lines(docs).withColumn("_head", F.col("raw").rlike(T.HEADING))
+    rows = lines(docs, together=True).withColumn("_head", F.col("raw").rlike(T.HEADING))
     rows = rows.select(
         "*",
         F.sum(F.col("_head").cast("int")).over(_UPTO).alias("sec_no"),
@@ -234,7 +243,7 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 def flat_blocks(docs: DataFrame) -> DataFrame:
     """Second grammar: markers must stand at column 0 with a blank after #, no tables, no images."""
     r = T.rstrip(F.col("raw"))
-    rows = lines(docs).withColumn("r", r)
+    rows = lines(docs, together=True).withColumn("r", r)
     r = F.col("r")
     kind = (
         F.when(F.col("s") == "", "blank")
@@ -288,7 +297,7 @@ OPENING = (
 def structured(docs: DataFrame, notes: Column | None = None, opening: str = OPENING) -> DataFrame:
     """doc_id, text: title, optional notes, Introduction, Body (short lines ending in a colon become level-3 headings,
     bullets get one form, paragraph lines are joined), Conclusion."""
-    rows = lines(docs).withColumn(
+    rows = lines(docs, together=True).withColumn(
         "kind",
         F.when(F.col("s") == "", "blank")
         .when(

@@ -108,12 +108,13 @@ def required_sections(low: Column) -> Column:
 def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns are passed through. Adds brief_id, raw, headings, required, formatting and structural fields, hard, soft, instructions, conflicts,
     ambiguities."""
-    raw = T.strip(F.coalesce("text", F.lit("")))
-    base = briefs.select("brief_id", *keep, raw.alias("raw"))
-    low = F.lower("raw")
-    base = base.select("*", low.alias("low"), T.split_lines(F.col("raw")).alias("_lines"))
-    base = base.withColumn("headings", outline(F.col("_lines")))
+    ids = ["brief_id", *keep]
+    base = T.settle(briefs, ids, raw=T.strip(F.coalesce("text", F.lit(""))))
+    base = T.settle(base, [*ids, "raw"], low=F.lower("raw"), _lines=T.split_lines(F.col("raw")))
     low = F.col("low")
+    base = T.settle(
+        base, [*ids, "raw", "low", "_lines"], headings=outline(F.col("_lines")), required=required_sections(low)
+    )
     trimmed = F.transform(F.col("_lines"), lambda x: F.btrim(T.rstrip(x), F.lit(MARKS)))
     is_hard = lambda x: _any(F.lower(x), HARD_WORDS)
     is_soft = lambda x: ~_any(F.lower(x), HARD_WORDS) & _any(F.lower(x), SOFT_WORDS)
@@ -121,13 +122,12 @@ def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     pages = F.coalesce(F.regexp_extract(low, PAGES, 1).try_cast("int"), F.lit(0))
     words = F.when(low.contains("long"), 1500).when(low.contains("medium"), 800).otherwise(500)
     bullets = _any(low, ["bullet", "list", "points"])
-    required = required_sections(low)
     return base.select(
         "brief_id",
         *keep,
         "raw",
         "headings",
-        required.alias("required"),
+        "required",
         *[c.alias(n) for n, c in formatting(low).items()],
         F.coalesce(F.array_max(levels), F.lit(3)).alias("max_heading_depth"),
         pages.alias("target_pages"),
@@ -154,7 +154,7 @@ def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         ).alias("conflicts"),
         F.array_compact(
             F.array(
-                F.when(F.size(required) <= 1, AMBIGUOUS_SECTIONS), F.when(F.col("raw") == "", AMBIGUOUS_EMPTY)
+                F.when(F.size("required") <= 1, AMBIGUOUS_SECTIONS), F.when(F.col("raw") == "", AMBIGUOUS_EMPTY)
             )
         ).alias("ambiguities"),
     )
@@ -187,26 +187,35 @@ def token_events(low: Column, field: str) -> Column:
     return F.array_sort(F.concat(*[hits(i, t, v) for i, (t, v) in enumerate(TOKENS[field])]))
 
 
-def resolve(parsed: DataFrame) -> DataFrame:
-    """Add events_<field> and resolved_<field>: the last instruction wins, else the parsed preference."""
-    low = F.lower("raw")
-    out = parsed.select("*", *[token_events(low, f).alias(f"events_{f}") for f in TOKENS])
+def latest(low: Column, field: str) -> Column:
+    """Value of the token whose last occurrence is furthest to the right; at one position the later token in order."""
+
+    def at(ord_: int, token: str, value: str) -> Column:
+        pos = F.length(low) - F.length(F.substring_index(low, token, -1)) - len(token)
+        return F.when(
+            low.contains(token), F.struct(pos.alias("position"), F.lit(ord_).alias("ord"), F.lit(value).alias("value"))
+        )
 
-    def last(f: str) -> Column:
-        return F.try_element_at(f"events_{f}", F.lit(-1))["value"]
+    return F.array_max(F.array(*[at(i, t, v) for i, (t, v) in enumerate(TOKENS[field])]))["value"]
 
-    return out.select(
-        "*",
-        F.coalesce(last("alignment"), "alignment_seen").alias("resolved_alignment"),
-        F.coalesce(last("line_spacing"), "spacing_seen").alias("resolved_line_spacing"),
-        F.coalesce(last("citation_style"), "citation_seen").alias("resolved_citation_style"),
-        F.coalesce(last("require_bullets") == "yes", "require_bullets").alias("resolved_require_bullets"),
+
+def resolve(parsed: DataFrame) -> DataFrame:
+    """Add resolved_<field>: the last instruction wins, else the parsed preference."""
+    low = F.lower("raw")
+    return T.settle(
+        parsed,
+        parsed.columns,
+        resolved_alignment=F.coalesce(latest(low, "alignment"), "alignment_seen"),
+        resolved_line_spacing=F.coalesce(latest(low, "line_spacing"), "spacing_seen"),
+        resolved_citation_style=F.coalesce(latest(low, "citation_style"), "citation_seen"),
+        resolved_require_bullets=F.coalesce(latest(low, "require_bullets") == "yes", "require_bullets"),
     )
 
 
 def trace_text(field: str) -> Column:
+    """Every occurrence of the field's tokens as token@position, in text order."""
     return F.array_join(
-        F.transform(f"events_{field}", lambda e: F.concat(e["token"], F.lit("@"), e["position"].cast("string"))), ","
+        F.transform(token_events(F.lower("raw"), field), lambda e: F.concat(e["token"], F.lit("@"), e["position"].cast("string"))), ","
     )
 
 

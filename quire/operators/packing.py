@@ -138,19 +138,19 @@ def renormalise(placements: DataFrame) -> DataFrame:
 
 
 def shift_first_orphan(placements: DataFrame) -> DataFrame:
-    """One repair pass: the first orphan heading that has a follower moves one page on together with it."""
-    last_pos = placements.groupBy(*_KEYS).agg(F.max("pos").alias("_end"))
-    first = (
-        orphans(placements)
-        .join(last_pos, list(_KEYS))
-        .filter(F.col("pos") < F.col("_end"))
-        .groupBy(*_KEYS)
-        .agg(F.min_by("pos", "page").alias("_orphan"))
-    )
-    moved = placements.join(first, list(_KEYS), "left")
-    hit = (F.col("pos") == F.col("_orphan")) | (F.col("pos") == F.col("_orphan") + 1)
-    moved = moved.withColumn("page", F.col("page") + F.coalesce(hit.cast("int"), F.lit(0)))
-    return renormalise(moved.drop("_orphan"))
+    """One repair pass: the first orphan heading that has a follower moves one page on together with it.
+
+    Windows over one document's placements only, so the passes reuse the distribution of the packing.
+    """
+    doc = Window.partitionBy(*_KEYS)
+    nxt = F.lead("page").over(doc.orderBy("page", "line_start"))
+    last_on_page = nxt.isNull() | (nxt != F.col("page"))
+    rows = placements.withColumn("_last", last_on_page).withColumn("_end", F.max("pos").over(doc))
+    orphan = F.col("_last") & (F.col("kind") == "heading") & (F.col("pos") < F.col("_end"))
+    rows = rows.withColumn("_orphan", F.min(F.when(orphan, F.struct("page", "pos"))).over(doc)["pos"])
+    hit = F.col("pos").isin(F.col("_orphan"), F.col("_orphan") + 1)
+    moved = rows.withColumn("page", F.col("page") + F.coalesce(hit.cast("int"), F.lit(0)))
+    return renormalise(moved.drop("_orphan", "_last", "_end"))
 
 
 def repair(placements: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def baseline_check(actual: DataFrame, baseline: DataFrame, key: str, gate: float
         F.count_if("has_b").alias("pages_expected"),
         F.count_if("has_a").alias("pages_actual"),
         F.count_if(F.col("ssim") < gate).alias("low_pages"),
-        F.avg("ssim").alias("mean"),
+        (F.sum(F.col("ssim").cast("decimal(10,6)")) / F.count("ssim")).alias("mean"),
     )
     missing = F.col("pages_expected") == 0
     mismatch = F.col("pages_expected") != F.col("pages_actual")
@@ -119,7 +119,7 @@ def baseline_check(actual: DataFrame, baseline: DataFrame, key: str, gate: float
         key,
         "pages_expected",
         "pages_actual",
-        F.when(missing, 0.0).otherwise(F.coalesce(F.round("mean", 4), F.lit(0.0))).alias("mean_ssim"),
+        F.when(missing, 0.0).otherwise(F.coalesce(F.round("mean", 4).cast("double"), F.lit(0.0))).alias("mean_ssim"),
         failures.cast("bigint").alias("failures"),
         (failures == 0).alias("passed"),
     )

@@ -80,14 +80,20 @@ def similarity_join(corpus: DataFrame, refs: DataFrame, threshold: float, hot: i
     the join keys. Equal texts are compared once and expanded at the end.
     """
 
+    share = threshold / (2 - threshold)
+
     def distinct_bags(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-        keyed = df.select(id_col, F.sha2(F.array_join(F.array_sort(tokens(F.col("text"))), " "), 256).alias("h"), "text")
-        members = keyed.select(id_col, "h")
-        bags = keyed.groupBy("h").agg(F.any_value("text").alias("text"))
-        return members, bags.select("h", tokens(F.col("text")).alias("toks")).filter(F.size("toks") > 0)
+        toks = T.settle(df, [id_col], toks=F.array_sort(tokens(F.col("text")))).filter(F.size("toks") > 0)
+        keyed = toks.select(id_col, F.sha2(F.array_join("toks", " "), 256).alias("h"), F.size("toks").alias("n"), "toks")
+        return keyed.select(id_col, "h", "n"), keyed.groupBy("h", "n").agg(F.any_value("toks").alias("toks"))
 
-    left_members, left = distinct_bags(corpus, "left_id")
     right_members, right = distinct_bags(refs, "right_id")
+    # Bags whose sizes differ too much cannot reach the threshold: the reference sizes bound the corpus sizes.
+    widest = right_members.agg(F.max("n")).scalar() / share
+    narrowest = right_members.agg(F.min("n")).scalar() * share
+    left_members, left = distinct_bags(corpus, "left_id")
+    in_range = (F.col("n") <= widest + 1e-6) & (F.col("n") >= narrowest - 1e-6)
+    left_members, left = left_members.filter(in_range), left.filter(in_range)
     every = left.select(F.explode("toks").alias("tok")).unionAll(right.select(F.explode("toks").alias("tok")))
     ranked = every.groupBy("tok").count().orderBy(F.desc("count"), "tok").limit(hot)
 
@@ -108,8 +114,6 @@ def similarity_join(corpus: DataFrame, refs: DataFrame, threshold: float, hot: i
         )
         return packed.select("h", flat.alias("bag"))
 
-    share = threshold / (2 - threshold)
-
     def prefixes(bags: DataFrame, side: str) -> DataFrame:
         keep = F.size("bag") - F.ceil(F.size("bag") * share - 1e-9).cast("int") + 1
         return bags.select(F.col("h").alias(f"{side}_h"), F.explode(F.slice("bag", F.lit(1), keep)).alias("el"))

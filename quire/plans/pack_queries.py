@@ -541,7 +541,7 @@ def _(spark, d):
     sc AS (SELECT doc_key, has_b, CASE WHEN has_b THEN round(greatest(-1.0, least(1.0, (2 * mx * my + {X.C1}) * (2 * (sxy - mx * my)
         + {X.C2}) / ((mx * mx + my * my + {X.C1}) * ((sxx - mx * mx) + (syy - my * my) + {X.C2})))), 6) END AS ssim FROM pg),
     g AS (SELECT doc_key, count(*) FILTER (has_b) AS pages_expected, count(*) AS pages_actual, count(*) FILTER (ssim < 0.97)
-        AS low, round(avg(ssim), 4) AS mean FROM sc GROUP BY doc_key)
+        AS low, {S.round_half_up('sum(CAST(ssim AS DECIMAL(12,6))) / count(ssim)', 4)} AS mean FROM sc GROUP BY doc_key)
     SELECT doc_key, pages_expected, pages_actual, CASE WHEN pages_expected = 0 THEN 0.0 ELSE mean END AS mean_ssim,
     CAST(f AS BIGINT) AS failures, f = 0 AS passed FROM (SELECT *, CASE WHEN pages_expected = 0 THEN 1 ELSE low + CASE WHEN
     pages_expected <> pages_actual THEN 1 ELSE 0 END END AS f FROM g)""",

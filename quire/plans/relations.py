@@ -27,8 +27,11 @@ def v_conv(spark: SparkSession, d: str) -> DataFrame:
         "conv_id", F.expr(f"conv_id * 1024 + turn div {SEGMENT}").alias("doc_id"), "turn", block.alias("block")
     )
     return (
-        rows.groupBy("doc_id", "conv_id")
-        .agg(ordered_text(F.col("turn"), F.col("block"), "\n\n").alias("body"))
+        rows.groupBy("doc_id")
+        .agg(
+            F.any_value("conv_id").alias("conv_id"),
+            ordered_text(F.col("turn"), F.col("block"), "\n\n").alias("body"),
+        )
         .select(
             "doc_id",
             F.concat(F.lit("Conversation "), "conv_id").alias("title"),
