@@ -8,7 +8,7 @@ by ``doc_id``), and the rows of one window are never more than one text cell hol
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -27,9 +27,13 @@ FILLER_TEXT = (
     "document structure."
 )
 
-_DOC = Window.partitionBy("doc_id").orderBy("pos")
-_UPTO = _DOC.rowsBetween(Window.unboundedPreceding, 0)
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
+def _upto() -> WindowSpec:
+    return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def lines(docs: DataFrame, text: str = "text", together: bool = False) -> DataFrame:
@@ -56,10 +60,10 @@ def classified(docs: DataFrame, text: str = "text", together: bool = False) -> D
 
 def _merge_runs(rows: DataFrame, para: str) -> DataFrame:
     """Number blocks in order; a run of ``para`` lines is one block, joined by a blank."""
-    prev = F.lag("kind").over(_DOC)
+    prev = F.lag("kind").over(_doc())
     start = (F.col("kind") != "blank") & ~((F.col("kind") == para) & F.coalesce(prev == para, F.lit(False)))
     rows = rows.select("doc_id", "pos", "kind", "level", "body")
-    numbered = rows.withColumn("block_no", F.sum(start.cast("int")).over(_UPTO))
+    numbered = rows.withColumn("block_no", F.sum(start.cast("int")).over(_upto()))
     return (
         numbered.filter(F.col("kind") != "blank")
         .groupBy("doc_id", "block_no")
@@ -121,7 +125,7 @@ def block_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = F.transform(
         T.split_lines(F.col(text)), lambda line: T.line_kind(T.strip(line))
     )
-    kinds = docs.select("doc_id", parts.alias("kinds"))
+    kinds = T.settle(docs, ["doc_id"], kinds=parts)
     pairs = kinds.select(
         "doc_id",
         F.explode_outer(
@@ -149,7 +153,7 @@ def section_bodies(docs: DataFrame) -> DataFrame:
     head = F.col("s").rlike(T.HEADING)
     title = F.when(head, T.canon(F.regexp_replace("s", T.HEADING_MARK, "")))
     keyed = rows.withColumn("_head", head).withColumn(
-        "section", F.coalesce(F.last(title, ignorenulls=True).over(_UPTO), F.lit(PREAMBLE))
+        "section", F.coalesce(F.last(title, ignorenulls=True).over(_upto()), F.lit(PREAMBLE))
     )
     line = F.when(F.col("_head"), None).otherwise(F.col("raw"))
     return (
@@ -162,7 +166,7 @@ def section_bodies(docs: DataFrame) -> DataFrame:
 def headed_sections(docs: DataFrame) -> DataFrame:
     """doc_id, sec_no, title, heading, body: section 0 is the preamble, duplicates stay apart."""
     rows = lines(docs, together=True).withColumn("_head", F.col("s").rlike(T.HEADING))
-    rows = rows.withColumn("sec_no", F.sum(F.col("_head").cast("int")).over(_UPTO))
+    rows = rows.withColumn("sec_no", F.sum(F.col("_head").cast("int")).over(_upto()))
     heading = F.max(F.when(F.col("_head"), F.col("s")))
     out = rows.groupBy("doc_id", "sec_no").agg(
         heading.alias("heading"),
@@ -182,7 +186,7 @@ def section_slices(docs: DataFrame) -> DataFrame:
     rows = lines(docs, together=True).withColumn("_head", F.col("raw").rlike(T.HEADING))
     rows = rows.select(
         "*",
-        F.sum(F.col("_head").cast("int")).over(_UPTO).alias("sec_no"),
+        F.sum(F.col("_head").cast("int")).over(_upto()).alias("sec_no"),
         F.max("_head").over(Window.partitionBy("doc_id")).alias("_any"),
     ).filter((F.col("sec_no") > 0) | ~F.col("_any"))
     out = rows.groupBy("doc_id", "sec_no").agg(
@@ -273,7 +277,7 @@ def heading_numbers(headings: DataFrame) -> DataFrame:
     def unit(level: int) -> Column:
         return (F.col("_own") & (F.col("level") == level)).cast("int")
 
-    rows = rows.withColumn("_n1", F.sum(unit(1)).over(_UPTO))
+    rows = rows.withColumn("_n1", F.sum(unit(1)).over(_upto()))
     w2 = Window.partitionBy("doc_id", "_n1").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_n2", F.sum(unit(2)).over(w2))
     w3 = Window.partitionBy("doc_id", "_n1", "_n2").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

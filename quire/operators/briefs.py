@@ -105,6 +105,25 @@ def required_sections(low: Column) -> Column:
     return F.when((F.size(found) == 0), core).when(F.arrays_overlap(found, core), F.concat(core, extras)).otherwise(extras)
 
 
+def _graded(line: Column) -> Column:
+    """struct(text, grade) of a line with its list marks removed: hard, soft or plain; hard wins."""
+    text = F.btrim(T.rstrip(line), F.lit(MARKS))
+    return T.let(
+        text,
+        lambda t: T.let(
+            F.lower(t),
+            lambda low: F.struct(
+                t.alias("text"),
+                F.when(t == "", "plain")
+                .when(_any(low, HARD_WORDS), "hard")
+                .when(_any(low, SOFT_WORDS), "soft")
+                .otherwise("plain")
+                .alias("grade"),
+            ),
+        ),
+    )
+
+
 def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns are passed through. Adds brief_id, raw, headings, required, formatting and structural fields, hard, soft, instructions, conflicts,
     ambiguities."""
@@ -113,11 +132,16 @@ def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     base = T.settle(base, [*ids, "raw"], low=F.lower("raw"), _lines=T.split_lines(F.col("raw")))
     low = F.col("low")
     base = T.settle(
-        base, [*ids, "raw", "low", "_lines"], headings=outline(F.col("_lines")), required=required_sections(low)
+        base,
+        [*ids, "raw", "low", "_lines"],
+        headings=outline(F.col("_lines")),
+        required=required_sections(low),
+        _graded=F.transform("_lines", _graded),
     )
-    trimmed = F.transform(F.col("_lines"), lambda x: F.btrim(T.rstrip(x), F.lit(MARKS)))
-    is_hard = lambda x: _any(F.lower(x), HARD_WORDS)
-    is_soft = lambda x: ~_any(F.lower(x), HARD_WORDS) & _any(F.lower(x), SOFT_WORDS)
+
+    def graded(grade: str) -> Column:
+        return F.transform(F.filter("_graded", lambda g: g["grade"] == grade), lambda g: g["text"])
+
     levels = F.transform("headings", lambda h: h["level"])
     pages = F.coalesce(F.regexp_extract(low, PAGES, 1).try_cast("int"), F.lit(0))
     words = F.when(low.contains("long"), 1500).when(low.contains("medium"), 800).otherwise(500)
@@ -126,6 +150,7 @@ def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "brief_id",
         *keep,
         "raw",
+        "low",
         "headings",
         "required",
         *[c.alias(n) for n, c in formatting(low).items()],
@@ -139,8 +164,8 @@ def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             (low.contains("introduction") & low.contains("body") & low.contains("conclusion"))
             | (F.coalesce(F.array_max(levels), F.lit(3)) >= 2)
         ).alias("require_core"),
-        F.filter(trimmed, lambda x: (x != "") & is_hard(x)).alias("hard"),
-        F.filter(trimmed, lambda x: (x != "") & is_soft(x)).alias("soft"),
+        graded("hard").alias("hard"),
+        graded("soft").alias("soft"),
         F.transform(
             F.filter("_lines", lambda x: (T.strip(x) != "") & ~F.startswith(T.strip(x), F.lit("#"))),
             lambda x: F.btrim(T.rstrip(x), F.lit(MARKS)),
@@ -201,7 +226,7 @@ def latest(low: Column, field: str) -> Column:
 
 def resolve(parsed: DataFrame) -> DataFrame:
     """Add resolved_<field>: the last instruction wins, else the parsed preference."""
-    low = F.lower("raw")
+    low = F.col("low")
     return T.settle(
         parsed,
         parsed.columns,
@@ -215,7 +240,7 @@ def resolve(parsed: DataFrame) -> DataFrame:
 def trace_text(field: str) -> Column:
     """Every occurrence of the field's tokens as token@position, in text order."""
     return F.array_join(
-        F.transform(token_events(F.lower("raw"), field), lambda e: F.concat(e["token"], F.lit("@"), e["position"].cast("string"))), ","
+        F.transform(token_events(F.col("low"), field), lambda e: F.concat(e["token"], F.lit("@"), e["position"].cast("string"))), ","
     )
 
 

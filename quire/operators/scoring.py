@@ -79,15 +79,17 @@ def violations(text: Column, *, render: bool = False) -> Column:
     )
     if render:
         return head
-    low = F.lower(text)
 
-    def missing(lines: str, severity: str, points: int) -> Column:
+    def missing(low: Column, lines: str, severity: str, points: int) -> Column:
         return F.transform(
             F.filter(lines, lambda x: ~F.contains(low, F.lower(x))),
             lambda x: F.struct(x.alias("rule"), F.lit(severity).alias("severity"), F.lit(points).alias("penalty")),
         )
 
-    return F.concat(head, missing("hard", "high", 12), missing("soft", "low", 3))
+    return T.let(
+        F.lower(text),
+        lambda low: F.concat(head, missing(low, "hard", "high", 12), missing(low, "soft", "low", 3)),
+    )
 
 
 def total_penalty(items: Column) -> Column:
@@ -153,23 +155,17 @@ def report(docs: DataFrame, briefs: DataFrame) -> DataFrame:
             minimum_words(n).alias("minimum"),
         ),
     )
-    r = r.select(
-        "doc_id",
-        "stats",
-        "require_bullets",
-        "include_references",
-        "citation_style",
-        "hard",
-        "soft",
-        "doc_text",
-        state.alias("state"),
-        heading_count(text).alias("heading_count"),
-        T.word_count(text).alias("total_words"),
-        T.has_long_paragraph(text).alias("long_paragraph"),
-        formatting_score(text).alias("formatting_score"),
-        violations(text).alias("violations"),
-        T.artifact_count(text).alias("artifact_numbers"),
-        check_count().alias("check_count"),
+    r = T.settle(
+        r,
+        ["doc_id", "stats", "doc_text"],
+        state=state,
+        heading_count=heading_count(text),
+        total_words=T.word_count(text),
+        long_paragraph=T.has_long_paragraph(text),
+        formatting_score=formatting_score(text),
+        violations=violations(text),
+        artifact_numbers=T.artifact_count(text),
+        check_count=check_count(),
     )
     missing = F.transform(F.filter("state", lambda s: ~s["present"]), lambda s: s["name"])
     weak = F.transform(F.filter("state", lambda s: s["present"] & (s["words"] < s["minimum"])), lambda s: s["name"])
@@ -192,8 +188,8 @@ def report(docs: DataFrame, briefs: DataFrame) -> DataFrame:
         one(F.col("long_paragraph"), LONG),
         one(text.contains(PLACEHOLDER), HAS_PLACEHOLDER),
     )
-    r = r.withColumn("missing", missing).withColumn("weak", weak)
-    r = r.withColumn("errors", errors).withColumn("warnings", one(F.col("total_words") < 180, VERY_SHORT))
+    r = T.settle(r, r.columns, missing=missing, weak=weak)
+    r = T.settle(r, r.columns, errors=errors, warnings=one(F.col("total_words") < 180, VERY_SHORT))
     penalty = total_penalty(F.col("violations"))
     structure = _score(
         18 * F.size("missing") + 10 * F.size("weak") + F.when(F.col("long_paragraph"), 12).otherwise(0)
@@ -266,11 +262,11 @@ def correction_buckets() -> dict[str, Column]:
 
 def candidate_score(text: Column) -> Column:
     """Heuristic quality of a candidate text; exact decimal arithmetic."""
-    low = F.lower(text)
-    tokens = (
-        F.when(low.contains("introduction"), 25).otherwise(0)
-        + F.when(low.contains("body"), 20).otherwise(0)
-        + F.when(low.contains("conclusion"), 25).otherwise(0)
+    tokens = T.let(
+        F.lower(text),
+        lambda low: F.when(F.contains(low, F.lit("introduction")), 25).otherwise(0)
+        + F.when(F.contains(low, F.lit("body")), 20).otherwise(0)
+        + F.when(F.contains(low, F.lit("conclusion")), 25).otherwise(0),
     )
     heads = F.least(heading_count(text) * 4, F.lit(20))
     bullets = F.regexp_count(text, F.lit(rf"(?md)^{T.WS}*[-*]{T.WS}+"))

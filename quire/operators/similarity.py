@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quire.functions import text as T
 
@@ -34,7 +35,7 @@ def bag_dice(pairs: DataFrame, left: str = "source", right: str = "rendered", ke
     return sums.select(key, F.when(F.col("total") == 0, 100.0).otherwise(score).alias("similarity"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [round(difflib.SequenceMatcher(None, x, y).ratio() * 100.0, 2) if x or y else 100.0 for x, y in zip(a, b)]

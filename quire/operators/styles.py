@@ -50,18 +50,18 @@ def with_rank(paras: DataFrame, order: list[str], bucket: str) -> DataFrame:
     return out.withColumn("pos", F.col("pos") - 1)
 
 
-def first_mode(rows: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
+def first_mode(rows: DataFrame, keys: list[str], value: str, pos: str | Column) -> DataFrame:
     """keys, value: most frequent non-null value; a tie goes to the one seen first."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count("*").alias("_n"), F.min(pos).alias("_first")
     )
-    return counts.groupBy(*keys).agg(F.max_by(value, F.struct("_n", -F.col("_first"))).alias(value))
+    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_first")).alias(value))
 
 
 METRICS = ["left_indent", "right_indent", "first_line", "space_before", "space_after"]
 
 
-def paragraph_profile(paras: DataFrame, min_len: int = 0) -> DataFrame:
+def paragraph_profile(paras: DataFrame, order: list[str], min_len: int = 0) -> DataFrame:
     """doc, style, n, alignment mode, median of five metrics, rounded median line spacing."""
     rows = paras.filter((F.col("text_len") > 0) & (F.col("text_len") >= min_len))
     medians = rows.groupBy("doc", "style").agg(
@@ -69,7 +69,7 @@ def paragraph_profile(paras: DataFrame, min_len: int = 0) -> DataFrame:
         *[F.round(F.median(m), 4).alias(m) for m in METRICS],
         F.bround(F.median("line_spacing"), 0).cast("int").alias("line_spacing"),
     )
-    mode = first_mode(rows, ["doc", "style"], "alignment", "pos")
+    mode = first_mode(rows, ["doc", "style"], "alignment", F.struct(*order))
     return medians.join(mode, ["doc", "style"], "left")
 
 
@@ -221,14 +221,14 @@ def usage_facts(paras: DataFrame) -> DataFrame:
     )
 
 
-def heading_usage(paras: DataFrame) -> DataFrame:
+def heading_usage(paras: DataFrame, order: list[str]) -> DataFrame:
     """doc, level: last non-null font, size, alignment of the level's paragraphs; flags seen anywhere."""
     rows = paras.withColumn("level", F.regexp_extract("style", r"^Heading (\d)", 1).try_cast("int")).filter(
         F.col("level").isNotNull()
     )
 
     def last(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("pos")))
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(*order)))
 
     return rows.groupBy("doc", "level").agg(
         last("font").alias("font"),

@@ -13,7 +13,7 @@ from quire.operators import scoring as Q
 from quire.operators import similarity as M
 from quire.plans import relations as R
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, table
+from quire.plans.base import ctes, query, spread, table
 from quire.plans.score_queries import BULLETS, REFS, _rules
 
 CAPACITIES = (3, 20, 48)
@@ -391,7 +391,7 @@ def _(spark, d):
     WHERE common * 2 >= {DICE} * (ds.total + bs.total)""",
 )
 def _(spark, d):
-    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("left_id"), "text")
+    corpus = spread(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("left_id"), "text")
     refs = table(spark, d, "benchmark").select(F.col("item_id").alias("right_id"), "text")
     return M.similarity_join(corpus, refs, DICE)
 

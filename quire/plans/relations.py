@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.windows import ordered_text
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, table
+from quire.plans.base import ctes, spread, table
 
 SEGMENT = 64  # turns per conversation document, so a conversation of any length becomes bounded documents
 
@@ -41,7 +41,7 @@ def v_conv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_doc(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         "doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), "text"
     )
 
@@ -53,7 +53,7 @@ PAGE_INLINE = r"</?(?:a|b|i|em|strong|span)(?: [^>]*)?>"
 
 def v_page_text(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, title, text: heading, list and paragraph lines of a page, one element per line."""
-    p = table(spark, d, "pages")
+    p = spread(table(spark, d, "pages"), "page_id")
     items = F.regexp_extract_all(F.regexp_replace("html", PAGE_INLINE, ""), F.lit(PAGE_ITEM), F.lit(0))
 
     def line(item):
@@ -126,7 +126,7 @@ PHRASES = [
 
 def v_brief(spark: SparkSession, d: str) -> DataFrame:
     """brief_id, text: free-text formatting rules, phrase j kept when (orderkey * (j + 3) + j) % 5 = 0."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"), "o_orderkey")
     key = F.col("o_orderkey")
     kept = F.array_compact(
         F.array(*[F.when((key * (j + 3) + j) % 5 == 0, F.lit(p)) for j, p in enumerate(PHRASES)])

@@ -9,7 +9,7 @@ from quire.operators import briefs as K
 from quire.operators import scoring as Q
 from quire.plans import relations as R
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, table
+from quire.plans.base import ctes, query, spread, table
 from quire.plans.text_queries import _three, _union
 
 _RE2_M = "(?m)"
@@ -241,7 +241,7 @@ def _(spark, d):
 
 
 def _cands(spark, d):
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         F.expr("doc_id div 4").alias("item"),
         (F.col("doc_id") % 4).alias("rank"),
         F.concat(F.lit("src"), "doc_id").alias("name"),

@@ -9,7 +9,7 @@ from quire.sources import parts as M
 from quire.sources import stores as D
 from quire.functions import text as T
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, table
+from quire.plans.base import ctes, query, spread, table
 
 CLIP = 20_000
 _ROLE = "CASE WHEN {id} % 5 = 0 THEN ' Reference ' WHEN {id} % 5 = 1 THEN '' ELSE 'content' END"
@@ -24,7 +24,7 @@ def v_file(spark, d):
     """job_id, pos, filename, mime, role, payload: every document, page, conversation turn and event as an upload."""
     plain = F.encode("text", "UTF-8")
     latin = (F.col("lang") == "fr") & ~F.col("text").rlike(r"[^\x00-\x{ff}]")
-    docs = table(spark, d, "documents").select(
+    docs = spread(table(spark, d, "documents"), "doc_id").select(
         F.expr("doc_id div 16").alias("job_id"),
         (F.col("doc_id") * 4).alias("pos"),
         F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"),
@@ -33,7 +33,7 @@ def v_file(spark, d):
         F.when(latin, F.encode("text", "ISO-8859-1")).when(F.col("lang") == "de", F.encode("text", "UTF-16")).otherwise(plain).alias("raw"),
         F.col("doc_id").alias("id"),
     )
-    pages = table(spark, d, "pages").select(
+    pages = spread(table(spark, d, "pages"), "page_id").select(
         F.expr("page_id div 16").alias("job_id"),
         (F.col("page_id") * 4 + 1).alias("pos"),
         F.concat(F.lit("page_"), "page_id", F.lit(".html")).alias("filename"),
@@ -52,7 +52,7 @@ def v_file(spark, d):
         plain.alias("raw"),
         F.expr(conv_id).alias("id"),
     )
-    events = table(spark, d, "events").select(
+    events = spread(table(spark, d, "events"), "event_id").select(
         F.expr("event_id div 64").alias("job_id"),
         (F.col("event_id") * 4 + 3).alias("pos"),
         F.expr(_EVENT_NAME).alias("filename"),
@@ -229,7 +229,7 @@ def _(spark, d):
 )
 def _(spark, d):
     raw = F.encode("html", "UTF-8")
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages"), "page_id").select(
         "page_id", F.octet_length(raw).cast("bigint").alias("size"), F.sha2(raw, 256).alias("digest")
     )
 

@@ -10,7 +10,7 @@ from quire.operators import presets as C
 from quire.operators import styles as Y
 from quire.plans import relations as R
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, table
+from quire.plans.base import ctes, query, spread, table
 from quire.plans.layer_queries import _raw_wide
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -78,12 +78,12 @@ ctes(
 )
 
 
-def v_para(spark, d):
+def v_para(spark, d, ranked=True):
     cols = [f"{e} AS {n}" for n, e in _PARA.items()]
     li = table(spark, d, "lineitem").selectExpr(
         "l_orderkey AS doc", *_ORDER, *cols, f"array({', '.join(_RUNS)}) AS run_sizes"
     )
-    return Y.with_rank(li, _ORDER, "l_linenumber")
+    return Y.with_rank(li, _ORDER, "l_linenumber") if ranked else li
 
 
 @query(
@@ -96,7 +96,7 @@ def v_para(spark, d):
     LEFT JOIN para_mode m ON m.doc = v.doc AND m.style = v.style""",
 )
 def _(spark, d):
-    return Y.paragraph_profile(v_para(spark, d), min_len=20)
+    return Y.paragraph_profile(v_para(spark, d, ranked=False), _ORDER, min_len=20)
 
 
 @query(
@@ -189,7 +189,7 @@ def _cnt(p):
     contains(regexp_extract(lower(html), '(?s)<p[^>]*>(.*?)</p>', 1), '<img') AS leading_image FROM pages""",
 )
 def _(spark, d):
-    return Y.element_counts(table(spark, d, "pages"))
+    return Y.element_counts(spread(table(spark, d, "pages"), "page_id"))
 
 
 _ART = f"len(list_filter(regexp_extract_all(text, '{T.WORD}'), lambda w: regexp_full_match(w, '\\p{{Nd}}{{6,9}}'))) > 0"
@@ -202,7 +202,7 @@ _ART = f"len(list_filter(regexp_extract_all(text, '{T.WORD}'), lambda w: regexp_
 )
 def _(spark, d):
     flags = Y.text_flags(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in flags.items()])
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", *[c.alias(n) for n, c in flags.items()])
 
 
 @query(
@@ -211,7 +211,7 @@ def _(spark, d):
     bool_or(font IN ('SimSun', 'Courier', 'Arial', 'Calibri')) AS substituted FROM v_para GROUP BY doc""",
 )
 def _(spark, d):
-    return Y.variety_flags(v_para(spark, d))
+    return Y.variety_flags(v_para(spark, d, ranked=False))
 
 
 @query(
@@ -221,7 +221,7 @@ def _(spark, d):
 )
 def _(spark, d):
     flags = Y.alternate_text_flags(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in flags.items()])
+    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", *[c.alias(n) for n, c in flags.items()])
 
 
 @query(
@@ -230,7 +230,7 @@ def _(spark, d):
     GROUP BY doc""",
 )
 def _(spark, d):
-    return Y.variety_flags(v_para(spark, d), max_fonts=3, max_spacings=3).drop("substituted")
+    return Y.variety_flags(v_para(spark, d, ranked=False), max_fonts=3, max_spacings=3).drop("substituted")
 
 
 @query(
@@ -290,7 +290,7 @@ def _(spark, d):
     bool_or(bold) AS bold, bool_or(italic) AS italic FROM v_para WHERE style LIKE 'Heading%' GROUP BY doc, level""",
 )
 def _(spark, d):
-    return Y.heading_usage(v_para(spark, d))
+    return Y.heading_usage(v_para(spark, d, ranked=False), _ORDER)
 
 
 def _presets(spark, d):

@@ -8,7 +8,7 @@ from quire.functions import text as T
 from quire.operators import blocks as B
 from quire.plans import relations as R
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, table
+from quire.plans.base import ctes, query, spread, table
 
 ctes(
     conv_lines=S.lines_of("v_conv"),
@@ -266,7 +266,7 @@ def _(spark, d):
     FROM (SELECT doc_id, 'Document ' || doc_id AS title, lang FROM documents) d LEFT JOIN p ON p.doc_id = d.doc_id""",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents").withColumn("title", F.concat(F.lit("Document "), "doc_id"))
+    docs = spread(table(spark, d, "documents"), "doc_id").withColumn("title", F.concat(F.lit("Document "), "doc_id"))
     return B.structured(docs, notes=F.concat(F.lit("Language "), "lang"))
 
 
@@ -338,7 +338,7 @@ def _(spark, d):
     SELECT page_id, url, rtrim(string_split({S.strip('url')}, '?')[1], '/') AS path FROM pages))""",
 )
 def _(spark, d):
-    return table(spark, d, "pages").select(
+    return spread(table(spark, d, "pages"), "page_id").select(
         "page_id", T.safe_name(F.col("url")).alias("safe"), T.url_file_name(F.col("url")).alias("file_name")
     )
 
@@ -349,8 +349,8 @@ def _(spark, d):
     UNION ALL SELECT -1 - doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') FROM documents""",
 )
 def _(spark, d):
-    pages = table(spark, d, "pages").select("page_id", T.escape_markup(F.col("html")).alias("escaped"))
-    docs = table(spark, d, "documents").select(
+    pages = spread(table(spark, d, "pages"), "page_id").select("page_id", T.escape_markup(F.col("html")).alias("escaped"))
+    docs = spread(table(spark, d, "documents"), "doc_id").select(
         (-1 - F.col("doc_id")).alias("page_id"), T.escape_markup(F.col("text")).alias("escaped")
     )
     return pages.unionByName(docs)
