@@ -289,7 +289,7 @@ def paragraph_height(length: Column, chars: Column, line_height: Column, spacing
 
 def nearest_widths(wanted: DataFrame, calibrated: DataFrame) -> DataFrame:
     """For every row of ``wanted`` (style, width) the value of the nearest calibrated width of the style; ties take the
-    narrower one.
+    narrower one, and a style without any calibration gives null.
 
     Both sides are first reduced to their distinct widths, so the sorted search runs over the width domain, not the
     data; the result goes back by an equi join.

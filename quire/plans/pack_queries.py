@@ -293,7 +293,7 @@ def _(spark, d):
     "p11_nearest_width",
     """SELECT id, style, width, nearest, value FROM (SELECT w.id, w.style, w.width, c.width AS nearest, c.value,
     row_number() OVER (PARTITION BY w.id ORDER BY abs(c.width - w.width), c.width) AS rn
-    FROM wanted_widths w JOIN calibrated c ON c.style = w.style) WHERE rn = 1""",
+    FROM wanted_widths w LEFT JOIN calibrated c ON c.style = w.style) WHERE rn = 1""",
 )
 def _(spark, d):
     want = table(spark, d, "customer").select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,15 +16,9 @@ from quire.streaming import live as V
 DELAY_S = 600
 
 
-def _root(spark, name):
-    """A fresh folder per run under the cluster's shared checkpoint folder (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = checkpoint_root(spark, None) if base else tempfile.mkdtemp(prefix="quire-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _run(spark, stream, name, mode, prepare=None):
-    root = _root(spark, name)
+    # A fresh folder per run, so a rerun starts from nothing.
+    root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     q = V.write_batches(stream, f"{root}/out", f"{root}/state", mode, prepare)
     q.awaitTermination()
     return V.read_batches(spark, f"{root}/out")

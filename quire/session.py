@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,14 +34,14 @@ def local_session(cpus: str | None = None, app: str = "quire") -> SparkSession:
     return spark
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
+def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for state that must outlive an executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is only for sessions (tests) where that is unset.
+    The cluster names it in ``spark.checkpoint.dir``; only a session without that setting (a local test) gets a folder of
+    its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set: name a shared folder")
-    return fallback
+    if not root:
+        root = tempfile.mkdtemp(prefix="quire-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -100,9 +100,13 @@ def test_append_records_and_registry(spark, tmp_path):
 
 
 def test_checkpoint_root_prefers_the_session(spark):
-    assert checkpoint_root(spark, "/tmp/x") == "/tmp/x"
+    before = spark.conf.get("spark.checkpoint.dir", None)
     spark.conf.set("spark.checkpoint.dir", "/shared")
     try:
-        assert checkpoint_root(spark, "/tmp/x") == "/shared"
-    finally:
+        assert checkpoint_root(spark) == "/shared"
         spark.conf.unset("spark.checkpoint.dir")
+        if spark.conf.get("spark.checkpoint.dir", None) is None:
+            assert os.path.isdir(checkpoint_root(spark))
+    finally:
+        if before is not None:
+            spark.conf.set("spark.checkpoint.dir", before)
