@@ -43,5 +43,4 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -99,14 +99,13 @@ def test_append_records_and_registry(spark, tmp_path):
     assert [(r.version, r.n) for r in append_only(old, new, "n").collect()] == [("1.1.0", 3)]
 
 
-def test_checkpoint_root_prefers_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/shared")
-    try:
-        assert checkpoint_root(spark) == "/shared"
-        spark.conf.unset("spark.checkpoint.dir")
-        if spark.conf.get("spark.checkpoint.dir", None) is None:
-            assert os.path.isdir(checkpoint_root(spark))
-    finally:
-        if before is not None:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_checkpoint_root_prefers_the_session():
+    class Session:
+        def __init__(self, value):
+            self.value, self.conf = value, self
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    assert checkpoint_root(Session("/shared/")) == "/shared"
+    assert os.path.isdir(checkpoint_root(Session(None)))
