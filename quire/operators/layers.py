@@ -250,30 +250,56 @@ def has_style_reference() -> Column:
 
 
 def style_digest() -> Column:
-    """Text summary of a style reference row (fixed labels, first 16 headings)."""
-    na = lambda c: F.when(F.coalesce(c.cast("bigint"), F.lit(0)) == 0, "n/a").otherwise(c.cast("string"))
-    c = F.col
-    size = F.when(c("body_size_halfpt") > 0, F.round(c("body_size_halfpt") / 2.0, 1).cast("string")).otherwise("unknown")
-    count = lambda n: F.coalesce(n, F.lit(0)).cast("string")
+    """Text summary of a style reference row (fixed labels, first 16 headings); zero and null read as n/a."""
+
+    def num(name: str) -> Column:
+        return F.when(F.coalesce(F.col(name), F.lit(0)) == 0, "n/a").otherwise(F.col(name).cast("string"))
+
+    def count(name: str) -> Column:
+        return F.coalesce(name, F.lit(0)).cast("string")
+
+    def row(label: str, *values: Column | str) -> Column:
+        return F.concat(F.lit(f"- {label}: "), *[v if isinstance(v, Column) else F.lit(v) for v in values])
+
+    def words(name: str, default: str) -> Column:
+        return first_filled(F.col(name), default=default)
+
+    size = F.when(F.col("body_size_halfpt") > 0, F.round(F.col("body_size_halfpt") / 2.0, 1).cast("string")).otherwise("unknown")
+    spacing = F.when(F.coalesce("body_line_spacing_val", F.lit(0)) == 0, "360").otherwise(
+        F.col("body_line_spacing_val").cast("string")
+    )
+    sections = F.when(F.coalesce("section_count", F.lit(0)) == 0, F.size(F.col("_heads"))).otherwise(F.col("section_count"))
     lines = F.array(
         F.lit("DOCX STYLE BLUEPRINT:"),
         F.lit("- Use the uploaded DOCX only as a structural and visual reference, not as wording to copy."),
-        F.concat(F.lit("- Body font: "), first_filled(c("body_font"), default="Times New Roman")),
-        F.concat(F.lit("- Body size: "), size, F.lit("pt")),
-        F.concat(F.lit("- Body alignment: "), first_filled(c("body_alignment"), default="both")),
-        F.concat(F.lit("- Body left indent: "), na(c("body_left_indent_dxa")), F.lit(" dxa")),
-        F.concat(F.lit("- Sections detected: "), count("section_count")),
-        F.concat(F.lit("- Tables detected: "), count("table_count")),
-        F.concat(F.lit("- Images detected: "), count("image_count")),
+        row("Body font", words("body_font", "Times New Roman")),
+        row("Body size", size, "pt"),
+        row("Body alignment", words("body_alignment", "both")),
+        row("Body line spacing", spacing),
+        row(
+            "Body indents", "left ", num("body_left_indent_dxa"), " dxa, first-line ", num("body_first_line_indent_dxa"),
+            " dxa, right ", num("body_right_indent_dxa"), " dxa",
+        ),
+        row("List left indent", num("list_left_indent_pt"), " pt"),
+        row("Cover title size", num("cover_title_size_pt"), " pt"),
+        row("Cover subtitle size", num("cover_subtitle_size_pt"), " pt"),
+        row("Page numbering", "prelim ", words("prelim_page_format", "lowerRoman"), ", body ", words("body_page_format", "decimal")),
+        row("Sections detected", sections.cast("string")),
+        row("Tables detected", count("table_count")),
+        row("Images detected", count("image_count")),
     )
-    heads = F.filter("detected_headings", lambda h: T.strip(h) != "")
     tail = F.when(
-        F.size(heads) > 0,
+        F.size("_heads") > 0,
         F.concat(
-            F.array(F.lit("Reference heading blueprint:")),
-            F.transform(F.slice(heads, 1, 16), lambda h: F.concat(F.lit("- "), T.strip(h))),
+            F.array(F.lit("Reference heading blueprint:")), F.transform(F.slice("_heads", 1, 16), lambda h: F.concat(F.lit("- "), h))
         ),
     ).otherwise(F.array().cast("array<string>"))
     return F.when(has_style_reference(), F.array_join(F.concat(lines, tail), "\n")).otherwise(
         "No DOCX style reference provided."
     )
+
+
+def style_digests(rows: DataFrame) -> DataFrame:
+    """entity, digest."""
+    heads = F.filter(F.transform("detected_headings", T.strip), lambda h: h != "")
+    return rows.withColumn("_heads", heads).select("entity", style_digest().alias("digest"))

@@ -34,7 +34,7 @@ def valid_version(version: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    return F.split(version, "[.]").cast("array<int>")
+    return F.split(version, "[.]").cast("array<decimal(38,0)>")
 
 
 def latest_live(templates: DataFrame) -> DataFrame:

@@ -123,7 +123,8 @@ ctes(
         CASE WHEN c_nationkey = 3 THEN 1 ELSE 0 END AS section_count, CAST(NULL AS INTEGER) AS table_count, c_nationkey % 2 AS
         image_count, CASE WHEN c_mktsegment = 'BUILDING' THEN ['Intro', ' ', 'Results '] ELSE [] END AS detected_headings,
         CASE c_nationkey % 3 WHEN 0 THEN 'Arial' WHEN 1 THEN '' END AS body_font, c_custkey % 30 AS body_size_halfpt,
-        CASE WHEN c_custkey % 2 = 0 THEN 'left' END AS body_alignment, c_custkey % 4 * 100 AS body_left_indent_dxa FROM customer""",
+        CASE WHEN c_custkey % 2 = 0 THEN 'left' END AS body_alignment, c_custkey % 4 * 100 AS body_left_indent_dxa,
+        c_custkey % 3 * 120 AS body_line_spacing_val, c_custkey % 2 * 50 AS body_first_line_indent_dxa, c_custkey FROM customer""",
 )
 
 
@@ -352,6 +353,14 @@ def _styleref(spark, d):
         "c_custkey % 30 AS body_size_halfpt",
         "CASE WHEN c_custkey % 2 = 0 THEN 'left' END AS body_alignment",
         "c_custkey % 4 * 100 AS body_left_indent_dxa",
+        "c_custkey % 3 * 120 AS body_line_spacing_val",
+        "c_custkey % 2 * 50 AS body_first_line_indent_dxa",
+        "CAST(NULL AS INT) AS body_right_indent_dxa",
+        "CASE WHEN c_custkey % 5 = 0 THEN 18 END AS list_left_indent_pt",
+        "CASE WHEN c_custkey % 2 = 0 THEN 20 END AS cover_title_size_pt",
+        "CAST(NULL AS INT) AS cover_subtitle_size_pt",
+        "CASE WHEN c_custkey % 4 = 0 THEN 'upperRoman' END AS prelim_page_format",
+        "'' AS body_page_format",
     )
 
 
@@ -371,13 +380,19 @@ def _(spark, d):
     '- Body font: ' || coalesce(nullif(body_font, ''), 'Times New Roman') || chr(10) || '- Body size: ' ||
     CASE WHEN body_size_halfpt > 0 THEN (body_size_halfpt // 2) || CASE WHEN body_size_halfpt % 2 = 1 THEN '.5' ELSE '.0' END
     ELSE 'unknown' END || 'pt' || chr(10) || '- Body alignment: ' || coalesce(body_alignment, 'both') || chr(10) ||
-    '- Body left indent: ' || CASE WHEN body_left_indent_dxa = 0 THEN 'n/a' ELSE body_left_indent_dxa::VARCHAR END || ' dxa' ||
-    chr(10) || '- Sections detected: ' || section_count || chr(10) || '- Tables detected: 0' || chr(10) ||
+    '- Body line spacing: ' || CASE WHEN body_line_spacing_val = 0 THEN '360' ELSE body_line_spacing_val::VARCHAR END || chr(10) ||
+    '- Body indents: left ' || CASE WHEN body_left_indent_dxa = 0 THEN 'n/a' ELSE body_left_indent_dxa::VARCHAR END ||
+    ' dxa, first-line ' || CASE WHEN body_first_line_indent_dxa = 0 THEN 'n/a' ELSE body_first_line_indent_dxa::VARCHAR END ||
+    ' dxa, right n/a dxa' || chr(10) || '- List left indent: ' || CASE WHEN c_custkey % 5 = 0 THEN '18' ELSE 'n/a' END || ' pt' || chr(10)
+    || '- Cover title size: ' || CASE WHEN c_custkey % 2 = 0 THEN '20' ELSE 'n/a' END || ' pt' || chr(10) ||
+    '- Cover subtitle size: n/a pt' || chr(10) || '- Page numbering: prelim ' || CASE WHEN c_custkey % 4 = 0 THEN 'upperRoman' ELSE
+    'lowerRoman' END || ', body decimal' || chr(10) || '- Sections detected: ' || CASE WHEN section_count = 0 AND
+    len(detected_headings) > 0 THEN 2 ELSE section_count END || chr(10) || '- Tables detected: 0' || chr(10) ||
     '- Images detected: ' || image_count || CASE WHEN len(detected_headings) > 0 THEN chr(10) || 'Reference heading blueprint:' ||
     chr(10) || '- Intro' || chr(10) || '- Results' ELSE '' END END AS digest FROM v_styleref""",
 )
 def _(spark, d):
-    return _styleref(spark, d).select("entity", L.style_digest().alias("digest"))
+    return L.style_digests(_styleref(spark, d))
 
 
 def _inch(x):
