@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.units import TWIPS_PER_POINT
 
 # System defaults of the merged rules.
 DEFAULTS = {
@@ -226,16 +227,19 @@ def constraint_value(items: Column, key: str, default: Column) -> Column:
 
 
 def geometry(rows: DataFrame) -> DataFrame:
-    """Usable width and height, half-column width (not below 0) and whether cover pages are split off."""
+    """Usable width and height (also in points), half-column width (not below 0), whether cover pages are split off."""
     g = lambda k: falsy_default(F.col(k), F.lit(DEFAULTS[k])).try_cast("bigint")
     width = g("page_width_dxa") - g("margin_left_dxa") - g("margin_right_dxa")
     split = F.lit(False)
     for flag in ("has_cover_section", "has_prelim_section", "has_cover_image"):
         split = split | F.coalesce(flag, F.lit(False))
+    height = g("page_height_dxa") - g("margin_top_dxa") - g("margin_bottom_dxa")
     return rows.select(
         "entity",
         width.alias("usable_width"),
-        (g("page_height_dxa") - g("margin_top_dxa") - g("margin_bottom_dxa")).alias("usable_height"),
+        height.alias("usable_height"),
+        (width / TWIPS_PER_POINT).alias("column_width_pt"),
+        (height / TWIPS_PER_POINT).alias("usable_height_pt"),
         F.greatest(F.lit(0), F.floor(width / 2)).cast("bigint").alias("half_column"),
         split.alias("split_requested"),
     )

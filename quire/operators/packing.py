@@ -219,9 +219,11 @@ LONG_PROFILE = (84.0, 0.7, 40.0, 45.0, 0.5, False)
 THRESHOLD_FIELDS = ("min_similarity", "min_heading_ratio", "min_visual", "min_page_visual", "max_failed_ratio", "hard_gate")
 
 
-def thresholds(docs: DataFrame) -> DataFrame:
-    """docs: ..., expected_pages, target_pages, profile. Adds the profile's thresholds, overridden for long documents,
-    and the tolerated page-count difference."""
+def thresholds(docs: DataFrame, overrides: dict[str, Column] | None = None) -> DataFrame:
+    """docs: ..., expected_pages, target_pages, profile. Adds the profile's thresholds, overridden for long documents and
+    then by a document's own rules (``overrides``: field -> column, null keeps the profile), and the tolerated page-count
+    difference."""
+    own = overrides or {}
     long_form = (F.col("expected_pages") >= 30) | (F.col("target_pages") >= 30)
     very_long = (F.col("expected_pages") >= 60) | (F.col("target_pages") >= 60)
 
@@ -229,7 +231,9 @@ def thresholds(docs: DataFrame) -> DataFrame:
         by_profile = F.when(F.col("profile") == "high_range", PROFILES["high_range"][i]).when(
             F.col("profile") == "balanced", PROFILES["balanced"][i]
         ).otherwise(PROFILES["strict"][i])
-        return F.when(long_form, LONG_PROFILE[i]).otherwise(by_profile)
+        value = F.when(long_form, LONG_PROFILE[i]).otherwise(by_profile)
+        name = THRESHOLD_FIELDS[i]
+        return F.coalesce(own[name], value) if name in own else value
 
     def share(x: str) -> Column:
         return F.bround(F.col("expected_pages").cast("decimal(12,4)") * F.lit(x).cast("decimal(4,2)"), 0).cast("int")

@@ -31,8 +31,10 @@ def normalise(presets: DataFrame) -> DataFrame:
     ).filter(F.col("name") != "")
 
 
-def search(presets: DataFrame, term: str, category: str = "all", favourites: DataFrame | None = None) -> DataFrame:
-    """Presets whose name, category or tags contain the term; favourites first, then by name."""
+def search(
+    presets: DataFrame, term: str, category: str = "all", favourites: DataFrame | None = None, default: str = ""
+) -> DataFrame:
+    """Presets whose name, category or tags contain the term; favourites first, then the default one, then by name."""
     hay = F.lower(F.concat("name", F.lit(" "), "category", F.lit(" "), F.array_join("tags", " ")))
     hits = presets.filter(hay.contains(term.strip().lower()))
     if favourites is not None:
@@ -44,7 +46,7 @@ def search(presets: DataFrame, term: str, category: str = "all", favourites: Dat
         hits = hits.filter("favourite")
     elif category != "all":
         hits = hits.filter(F.col("category") == category)
-    return hits.orderBy(F.desc("favourite"), "name")
+    return hits.orderBy(F.desc("favourite"), F.col("name") != default, "name")
 
 
 def duplicates(presets: DataFrame) -> DataFrame:

@@ -324,7 +324,7 @@ def _geo(k):
 
 @query(
     "l28_geometry",
-    f"""SELECT entity, w AS usable_width, h AS usable_height, CAST(greatest(0, floor(w / 2.0)) AS BIGINT) AS half_column,
+    f"""SELECT entity, w AS usable_width, h AS usable_height, w / 20.0::DOUBLE AS column_width_pt, h / 20.0::DOUBLE AS usable_height_pt, CAST(greatest(0, floor(w / 2.0)) AS BIGINT) AS half_column,
     entity % 4 = 0 OR entity % 6 = 1 AS split_requested FROM (SELECT entity, {_geo('page_width_dxa')} - {_geo('margin_left_dxa')} -
     {_geo('margin_right_dxa')} AS w, {_geo('page_height_dxa')} - {_geo('margin_top_dxa')} - {_geo('margin_bottom_dxa')} AS h
     FROM rule_wide)""",

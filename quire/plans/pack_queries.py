@@ -94,7 +94,7 @@ ctes(
         {S.round_half_up('count(h) FILTER (contains(lower(rendered), h)) / count(h)::DECIMAL(18,6)')} END AS ratio
         FROM v_pair v LEFT JOIN pair_heads h ON h.doc_id = v.doc_id GROUP BY v.doc_id""",
     gate_pages="""SELECT capacity, doc_id, max(page) AS expected_pages, count(*) AS placed FROM v_place GROUP BY capacity, doc_id""",
-    gate_thresholds="""SELECT *, CASE WHEN long_form THEN 84.0 WHEN profile = 'high_range' THEN 82.0 WHEN profile = 'balanced'
+    gate_thresholds="""SELECT *, CASE WHEN (doc_id // 1024) % 10 = 9 THEN 80.0 WHEN long_form THEN 84.0 WHEN profile = 'high_range' THEN 82.0 WHEN profile = 'balanced'
         THEN 85.0 ELSE 88.0 END::DOUBLE AS min_similarity,
         CASE WHEN long_form THEN 0.7 WHEN profile = 'high_range' THEN 0.6 WHEN profile = 'balanced' THEN 0.68 ELSE 0.75 END::DOUBLE
         AS min_heading_ratio,
@@ -463,13 +463,17 @@ def _gate_docs(spark, d):
     return pages.join(rules, "doc_id").withColumn("profile", profile)
 
 
+def _own_thresholds():
+    return {"min_similarity": F.when(F.expr("doc_id div 1024") % 10 == 9, 80.0)}
+
+
 @query(
     "q25_thresholds",
     """SELECT capacity, doc_id, profile, long_form, expected_pages, min_similarity, min_heading_ratio, min_visual,
     min_page_visual, max_failed_ratio, hard_gate, page_tolerance FROM gate_thresholds""",
 )
 def _(spark, d):
-    return P.thresholds(_gate_docs(spark, d)).select(
+    return P.thresholds(_gate_docs(spark, d), _own_thresholds()).select(
         "capacity", "doc_id", "profile", "long_form", "expected_pages", *P.THRESHOLD_FIELDS, "page_tolerance"
     )
 
@@ -500,7 +504,7 @@ def _(spark, d):
     CAST(round(greatest(0, structure * 0.4 + formatting * 0.35 + greatest(0, 100 - penalty) * 0.25 - penalty), 2) AS DOUBLE) AS score FROM s""",
 )
 def _(spark, d):
-    t = P.thresholds(_gate_docs(spark, d).filter(F.col("capacity") == 20))
+    t = P.thresholds(_gate_docs(spark, d).filter(F.col("capacity") == 20), _own_thresholds())
     pairs = v_pair(spark, d)
     sims = M.bag_dice(pairs, "source", "rendered").withColumnRenamed("similarity", "sim_a").join(
         M.bag_dice(pairs, "source", "printed").withColumnRenamed("similarity", "sim_b"), "doc_id"

@@ -166,8 +166,8 @@ def _cells(spark, d):
 
 @query(
     "s08_sheet_texts",
-    """SELECT book, sheet, '### Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY "row") AS text FROM cell_rows
-    WHERE line <> '' GROUP BY book, sheet""",
+    """SELECT book, sheet, "row" // 1048576 AS part, '### Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY "row") AS text FROM cell_rows
+    WHERE line <> '' GROUP BY book, sheet, part""",
 )
 def _(spark, d):
     words = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"))

@@ -30,19 +30,28 @@ def resolve_cells(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select(*cells.columns, value.alias("value"))
 
 
-def sheet_texts(resolved: DataFrame) -> DataFrame:
-    """book, sheet, text: empty cells dropped, cells joined by tabs, rows by line feeds, under a sheet header."""
+# Fixed value: the row limit of the sheet format.
+SHEET_ROWS = 1_048_576
+
+
+def sheet_texts(resolved: DataFrame, rows_per_part: int = SHEET_ROWS) -> DataFrame:
+    """book, sheet, part, text: empty cells dropped, cells joined by tabs, rows by line feeds, under a sheet header.
+
+    A sheet within the format's row limit is one part. Rows numbered beyond it start a further part, so no group grows
+    past the limit; the parts of a sheet in order are its whole text.
+    """
     filled = F.when(F.col("value") != "", F.col("value"))
-    rows = resolved.groupBy("book", "sheet", "row").agg(ordered_text(F.col("col"), filled, "\t").alias("line"))
+    part = F.floor(F.col("row") / rows_per_part).cast("bigint")
+    rows = resolved.withColumn("part", part).groupBy("book", "sheet", "part", "row").agg(ordered_text(F.col("col"), filled, "\t").alias("line"))
     line = T.strip(F.col("line"))
-    sheets = rows.groupBy("book", "sheet").agg(ordered_text(F.col("row"), F.when(line != "", line), "\n").alias("body"))
+    sheets = rows.groupBy("book", "sheet", "part").agg(ordered_text(F.col("row"), F.when(line != "", line), "\n").alias("body"))
     return sheets.filter(F.col("body") != "").select(
-        "book", "sheet", F.concat(F.lit("### Sheet: "), "sheet", F.lit("\n"), "body").alias("text")
+        "book", "sheet", "part", F.concat(F.lit("### Sheet: "), "sheet", F.lit("\n"), "body").alias("text")
     )
 
 
 def book_texts(sheets: DataFrame) -> DataFrame:
-    return sheets.groupBy("book").agg(ordered_text(F.col("sheet"), F.col("text"), "\n\n").alias("text"))
+    return sheets.groupBy("book").agg(ordered_text(F.struct("sheet", "part"), F.col("text"), "\n\n").alias("text"))
 
 
 def member_number(name: Column) -> Column:

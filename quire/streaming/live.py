@@ -7,9 +7,11 @@ driver leaves the result unchanged. State and offsets live under the caller's ch
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +20,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quire.operators.attempts import BACKOFF, MIN_DELTA
 from quire.sources import ingest as I
 
+# Python functions travel to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet folder or file as a stream; the schema is taken from what is there."""
@@ -44,7 +49,7 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str, prepa
 
 
 def read_batches(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    return spark.read.parquet(out)
 
 
 def latest_status(events: DataFrame) -> DataFrame:
