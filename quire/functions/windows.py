@@ -9,6 +9,8 @@ spread over as many tasks as it has buckets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,14 +55,16 @@ def bucketed(
         *[F.max_by(f"_v_{n}", rank).alias(f"_t_{n}") for n in prevs],
     )
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    on = [*keys, bucket]
     carry = carry.select(
-        *keys,
-        bucket,
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)],
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
         *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in prevs],
     )
-    joined = out.join(carry, [*keys, bucket])
+    # Null keys are a key of their own, as in a plain window.
+    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(on)]
+    joined = out.join(carry, reduce(and_, match))
     return joined.select(
         *[c for c in df.columns],
         *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_c_{n}")).alias(n) for n in sums],
