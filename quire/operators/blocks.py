@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.windows import ordered_text
+from quire.functions.windows import ordered_text, together
 
 PREAMBLE = "_preamble"
 # Fallback sections and the texts used when a planned section has none of its own.
@@ -36,21 +36,21 @@ def _upto() -> WindowSpec:
     return _doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def lines(docs: DataFrame, text: str = "text", together: bool = False) -> DataFrame:
+def lines(docs: DataFrame, text: str = "text", grouped: bool = False) -> DataFrame:
     """doc_id, pos, raw, s: one row per line; s is the stripped line.
 
-    together=True puts a document's lines into one partition for the windows to come.
+    grouped=True puts a document's lines into one partition for the windows to come.
     """
     src = docs.select("doc_id", F.col(text).alias("_text"))
-    if together:
-        src = src.repartition("doc_id")
+    if grouped:
+        src = together(src, "doc_id")
     rows = src.select("doc_id", F.posexplode(T.split_lines(F.col("_text"))).alias("pos", "raw"))
     return rows.withColumn("s", T.strip(F.col("raw")))
 
 
-def classified(docs: DataFrame, text: str = "text", together: bool = False) -> DataFrame:
+def classified(docs: DataFrame, text: str = "text", grouped: bool = False) -> DataFrame:
     """lines plus kind, level (headings only) and body (marker removed)."""
-    rows = T.settle(lines(docs, text, together), ["doc_id", "pos", "raw", "s"], kind=T.line_kind(F.col("s")))
+    rows = T.settle(lines(docs, text, grouped), ["doc_id", "pos", "raw", "s"], kind=T.line_kind(F.col("s")))
     return rows.select(
         "*",
         F.when(F.col("kind") == "heading", T.heading_level(F.col("s"))).alias("level"),
@@ -77,7 +77,7 @@ def _merge_runs(rows: DataFrame, para: str) -> DataFrame:
 
 def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, block_no, kind, level, text: content blocks with paragraph runs merged."""
-    return _merge_runs(classified(docs, text, together=True), "paragraph")
+    return _merge_runs(classified(docs, text, grouped=True), "paragraph")
 
 
 def with_root(blks: DataFrame, docs: DataFrame, title: Column) -> DataFrame:
@@ -148,7 +148,7 @@ def block_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def section_bodies(docs: DataFrame) -> DataFrame:
     """doc_id, section, body: text under each canonical heading, repeated headings merged, preamble always present."""
     pieces = F.concat(F.array(F.lit(None).cast("string")), T.split_lines(F.col("text")))
-    rows = docs.select("doc_id", "text").repartition("doc_id")
+    rows = together(docs.select("doc_id", "text"), "doc_id")
     rows = rows.select("doc_id", F.posexplode(pieces).alias("pos", "raw")).withColumn("s", T.strip(F.col("raw")))
     head = F.col("s").rlike(T.HEADING)
     title = F.when(head, T.canon(F.regexp_replace("s", T.HEADING_MARK, "")))
@@ -165,7 +165,7 @@ def section_bodies(docs: DataFrame) -> DataFrame:
 
 def headed_sections(docs: DataFrame) -> DataFrame:
     """doc_id, sec_no, title, heading, body: section 0 is the preamble, duplicates stay apart."""
-    rows = lines(docs, together=True).withColumn("_head", F.col("s").rlike(T.HEADING))
+    rows = lines(docs, grouped=True).withColumn("_head", F.col("s").rlike(T.HEADING))
     rows = rows.withColumn("sec_no", F.sum(F.col("_head").cast("int")).over(_upto()))
     heading = F.max(F.when(F.col("_head"), F.col("s")))
     out = rows.groupBy("doc_id", "sec_no").agg(
@@ -183,7 +183,7 @@ def headed_sections(docs: DataFrame) -> DataFrame:
 
 def section_slices(docs: DataFrame) -> DataFrame:
     """doc_id, sec_no, name, content: from a heading at column 0 to the next one; no heading gives one Document row."""
-    rows = lines(docs, together=True).withColumn("_head", F.col("raw").rlike(T.HEADING))
+    rows = lines(docs, grouped=True).withColumn("_head", F.col("raw").rlike(T.HEADING))
     rows = rows.select(
         "*",
         F.sum(F.col("_head").cast("int")).over(_upto()).alias("sec_no"),
@@ -247,7 +247,7 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 def flat_blocks(docs: DataFrame) -> DataFrame:
     """Second grammar: markers must stand at column 0 with a blank after #, no tables, no images."""
     r = T.rstrip(F.col("raw"))
-    rows = lines(docs, together=True).withColumn("r", r)
+    rows = lines(docs, grouped=True).withColumn("r", r)
     r = F.col("r")
     kind = (
         F.when(F.col("s") == "", "blank")
@@ -301,7 +301,7 @@ OPENING = (
 def structured(docs: DataFrame, notes: Column | None = None, opening: str = OPENING) -> DataFrame:
     """doc_id, text: title, optional notes, Introduction, Body (short lines ending in a colon become level-3 headings,
     bullets get one form, paragraph lines are joined), Conclusion."""
-    rows = lines(docs, together=True).withColumn(
+    rows = lines(docs, grouped=True).withColumn(
         "kind",
         F.when(F.col("s") == "", "blank")
         .when(

@@ -52,6 +52,11 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def save_documents(docs: DataFrame, table: str, buckets: int, path: str) -> None:
+    """Store documents bucketed by ``doc_id``: block, section and score jobs on the table then need no exchange of text."""
+    docs.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).saveAsTable(table)
+
+
 def absent_users(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Users to insert: not stored yet; a blank name becomes the part of the e-mail before the at sign."""
     fresh = incoming.join(existing.select("user_id"), "user_id", "left_anti")

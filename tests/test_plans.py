@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from quire.operators import blocks
+from quire.sources import stores
 
 QUERIES = entry.queries()
 STREAMS = ("h11_", "h12_", "h13_live", "h14_dedup", "h15_", "h16_")
@@ -23,13 +25,25 @@ def test_no_cross_joins_and_no_row_at_a_time_python(spark, sf, name):
         assert bad not in text
 
 
-@pytest.mark.parametrize("name", ["b03_merged_blocks", "b05_block_parents", "b08_section_bodies", "b15_heading_numbers"])
-def test_text_is_shuffled_before_it_is_exploded(spark, sf, name):
+@pytest.mark.parametrize("name", ["b05_block_parents", "b08_section_bodies", "b09_headed_sections", "b14_flat_blocks", "p03_packing"])
+def test_one_exchange_below_the_explode(spark, sf, name):
+    """Conversation text is moved once, as whole cells; line windows and group-bys reuse that distribution."""
     text = plan(spark, QUERIES[name](spark, sf))
-    # reading the plan top down: no exchange stands above the explode of a document's lines
-    for branch in text.split("Union")[1:] or [text]:
-        above = branch.split("posexplode")[0]
-        assert "Exchange hashpartitioning(doc_id" not in above or "posexplode" not in branch
+    above, below = text.split("posexplode", 1)
+    moved = [line for line in above.splitlines() if re.search(r"\bExchange\b", line)]
+    assert len(re.findall(r"\bExchange\b", below)) == 1
+    assert len(moved) <= (1 if name == "p03_packing" else 0)  # packing also groups by capacity
+
+
+def test_bucketed_documents_need_no_exchange(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    stores.save_documents(docs, "quire_test_documents", 4, str(tmp_path / "docs"))
+    try:
+        out = blocks.with_parents(blocks.blocks(spark.table("quire_test_documents")))
+        assert "Exchange" not in plan(spark, out)
+        assert out.count() == blocks.blocks(docs).count()
+    finally:
+        spark.sql("DROP TABLE quire_test_documents")
 
 
 def test_user_filter_and_columns_reach_the_scan(spark, sf):
