@@ -21,23 +21,37 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(T.WORD), F.lit(0))
 
 
-def bag_dice(pairs: DataFrame, left: str = "source", right: str = "rendered", key: str = "doc_id") -> DataFrame:
-    """key, similarity: 2 x common / total tokens x 100, as multisets; two empty texts are 100.
+def bag_dice_all(pairs: DataFrame, left: str, rights: dict[str, str], key: str = "doc_id") -> DataFrame:
+    """key and, per entry name -> column of ``rights``, its similarity to ``left``: 2 x common / total tokens x 100, as
+    multisets; two empty texts are 100.
 
-    Both sides are exploded into one stream of signed counts and combined before the shuffle; no join is needed.
+    All texts of a row are exploded into one stream of tokens with their side, which is counted before the shuffle; no
+    join is needed.
     """
 
-    def side(name: str, a: int) -> DataFrame:
-        rows = pairs.select(key, F.explode_outer(tokens(F.col(name))).alias("tok"))
-        has = F.col("tok").isNotNull().cast("int")
-        return rows.select(key, "tok", (has * a).alias("a"), (has * (1 - a)).alias("b"))
+    def sided(name: str, side: int) -> Column:
+        return F.transform(tokens(F.coalesce(name, F.lit(""))), lambda t: F.struct(t.alias("tok"), F.lit(side).alias("side")))
 
-    counts = side(left, 1).unionByName(side(right, 0)).groupBy(key, "tok").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    texts = [left, *rights.values()]
+    stream = pairs.select(key, F.explode_outer(F.concat(*[sided(n, i) for i, n in enumerate(texts)])).alias("e"))
+    counts = stream.groupBy(key, F.col("e.tok").alias("tok")).agg(
+        *[F.count_if(F.col("e.side") == i).alias(f"n{i}") for i in range(len(texts))]
+    )
     sums = counts.groupBy(key).agg(
-        F.sum(F.least("a", "b")).alias("common"), F.sum(F.col("a") + F.col("b")).alias("total")
+        *[F.sum(F.least("n0", f"n{i}")).alias(f"common{i}") for i in range(1, len(texts))],
+        *[F.sum(F.col("n0") + F.col(f"n{i}")).alias(f"total{i}") for i in range(1, len(texts))],
     )
-    score = F.round(F.col("common").cast("decimal(20,6)") * 200 / F.col("total"), 2).cast("double")
-    return sums.select(key, F.when(F.col("total") == 0, 100.0).otherwise(score).alias("similarity"))
+
+    def score(i: int) -> Column:
+        ratio = F.round(F.col(f"common{i}").cast("decimal(20,6)") * 200 / F.nullif(F.col(f"total{i}"), F.lit(0)), 2)
+        return F.coalesce(ratio.cast("double"), F.lit(100.0))
+
+    return sums.select(key, *[score(i).alias(n) for i, n in enumerate(rights, 1)])
+
+
+def bag_dice(pairs: DataFrame, left: str = "source", right: str = "rendered", key: str = "doc_id") -> DataFrame:
+    """key, similarity of two text columns."""
+    return bag_dice_all(pairs, left, {"similarity": right}, key)
 
 
 @F.pandas_udf(DoubleType())

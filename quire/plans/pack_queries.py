@@ -366,10 +366,8 @@ def v_pair(spark, d):
 
 @query("q17_bag_similarity", "SELECT * FROM pair_dice")
 def _(spark, d):
-    pairs = v_pair(spark, d)
-    a = M.bag_dice(pairs, "source", "rendered").withColumnRenamed("similarity", "rendered_similarity")
-    b = M.bag_dice(pairs, "source", "printed").withColumnRenamed("similarity", "printed_similarity")
-    return a.join(b, "doc_id")
+    both = {"rendered_similarity": "rendered", "printed_similarity": "printed"}
+    return M.bag_dice_all(v_pair(spark, d), "source", both)
 
 
 @query("q17_sequence_similarity")
@@ -506,9 +504,7 @@ def _(spark, d):
 def _(spark, d):
     t = P.thresholds(_gate_docs(spark, d).filter(F.col("capacity") == 20), _own_thresholds())
     pairs = v_pair(spark, d)
-    sims = M.bag_dice(pairs, "source", "rendered").withColumnRenamed("similarity", "sim_a").join(
-        M.bag_dice(pairs, "source", "printed").withColumnRenamed("similarity", "sim_b"), "doc_id"
-    )
+    sims = M.bag_dice_all(pairs, "source", {"sim_a": "rendered", "sim_b": "printed"})
     heads = M.heading_match(pairs).select("doc_id", "ratio")
     visual = X.visual_summary(_visual(spark, d).filter(F.col("capacity") == 20)).drop("capacity")
     j = (

@@ -158,6 +158,9 @@ def test_sequence_ratio_and_its_bound(spark):
         assert got[i] == (round(difflib.SequenceMatcher(None, x, y).ratio() * 100, 2) if x or y else 100.0)
     dice = {r.doc_id: r.similarity for r in similarity.bag_dice(df).collect()}
     assert dice[2] == 100.0 and dice[3] == 100.0 and dice[1] == 66.67
+    gone = spark.createDataFrame([(1, "a b", None, "a b")], "doc_id long, source string, x string, y string")
+    row = similarity.bag_dice_all(gone, "source", {"x": "x", "y": "y"}).first()
+    assert (row.x, row.y) == (0.0, 100.0)
 
 
 def test_role_texts_equal_join_then_clip(spark):
