@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from quire.plans import catalog
 from tools.check import compare, connect
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from quire.operators import blocks
+from quire.plans import catalog
 from quire.sources import stores
 
-QUERIES = entry.queries()
+QUERIES = catalog.queries()
 STREAMS = ("h11_", "h12_", "h13_live", "h14_dedup", "h15_", "h16_")
 BATCH = sorted(n for n in QUERIES if not n.startswith(STREAMS))
 
