@@ -10,6 +10,8 @@ from quire.llm.common import BLANK, saved
 
 #: A group of equal texts is sorted as this many runs, so a third of all rows being copies still spreads over many tasks.
 SALTS = 64
+#: Characters of a text that splitters hold; texts with the same beginning are told apart by a hash, then in full.
+PREFIX = 32
 
 
 def normalised(text: str = "text"):
@@ -20,13 +22,14 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after every run of blanks is one space; null counts as empty. Content sort: Spark samples
-    splitters over (text, salt) and deals rows into ranges, each range is sorted externally, equal neighbours form a run
-    whose head is its smallest doc_id, and the heads of a text's few runs are merged. Only this pass moves texts. Repeated
+    splitters over (beginning, hash, salt) and deals rows into ranges, each range is sorted externally by these and the
+    whole text, neighbours that are equal in full form a run whose head is its smallest doc_id, and the heads of a text's few runs are merged. Only this pass moves texts. Repeated
     doc_ids are kept as separate rows; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", normalised().alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_salt"))
-    ranged = keyed.repartitionByRange(F.col("_text"), F.col("_salt"))
-    run = W.partitionBy("_text", "_salt").orderBy("doc_id")
+    keyed = keyed.withColumn("_start", F.substring("_text", 1, PREFIX)).withColumn("_hash", F.xxhash64("_text"))
+    ranged = keyed.repartitionByRange("_start", "_hash", "_salt")
+    run = W.partitionBy("_start", "_hash", "_text", "_salt").orderBy("doc_id")
     rows = ranged.select("doc_id", F.first("doc_id").over(run).alias("_head"), F.sha2("_text", 256).alias("text_sha256"))
     rows = saved(rows, "runs")
     heads = rows.groupBy("_head", "text_sha256").agg(F.count("*").alias("_n"))
