@@ -19,7 +19,7 @@ from quire.llm.common import slices, texts_in
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces remembered in a worker; beyond it the table starts anew, so memory stays bounded.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 # White space and the letters and numbers below U+02B0, as the public pattern's classes have them.
 SPACE = "\t-\r \x85\xa0"
