@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices
+from quire.llm.common import saved, slices
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 LETTER = re.compile(r"[^\W\d_]")
 #: Units per direction, bytes per window, windows per text and texts per language used in training (the fitted sample's bound).
 UNITS, WINDOW, WINDOWS, TEXTS = 8, 48, 6, 400
 STEPS, BATCH, RATE = 300, 192, 0.02
+#: Drawn identifiers go to every task as a broadcast only up to this many; beyond it texts are joined by exchange.
+MOST_DRAWN = 1 << 20
 UNKNOWN = "und"
 FOLDS, HELD = 3, 1
 
@@ -131,8 +133,11 @@ def train(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> Networ
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), "lang")
     rows = rows.where(F.crc32(F.col("_id").cast("string")) % FOLDS != HELD).withColumn("_draw", F.xxhash64("_id"))
-    drawn = rows.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_draw", "_id"))).where(F.col("_rank") <= texts)
-    drawn = drawn.select("_id").distinct()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("_n"))  # as many rows as the network has labels
+    few = rows.join(F.broadcast(sizes), "lang").where(F.pmod("_draw", F.lit(1 << 30)) * F.col("_n") < 2 * texts * (1 << 30))
+    drawn = few.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_draw", "_id"))).where(F.col("_rank") <= texts)
+    drawn = saved(drawn.select("_id").distinct(), "drawn")
+    small = drawn.count() <= MOST_DRAWN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -144,7 +149,7 @@ def train(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> Networ
                         out.append((doc, int(k), lang, rows[k].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "k", "lang", "w"), r, strict=True)) for r in out], schema=pa.schema([("id", pa.int64()), ("k", pa.int32()), ("lang", pa.string()), ("w", pa.binary())]))
 
-    cuts = docs.join(drawn, docs["doc_id"] == drawn["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    cuts = docs.join(F.broadcast(drawn) if small else drawn, docs["doc_id"] == drawn["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     sample = cuts.mapInArrow(cut, "id long, k int, lang string, w binary").toPandas().drop_duplicates(["id", "k", "lang", "w"]).sort_values(["id", "k", "w"])
     if sample.empty:
         return None
