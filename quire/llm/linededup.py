@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,67 +20,88 @@ MIN_WORDS = 5
 BROADCAST_BYTES = 64 << 20
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 FULL = -1
+#: Words whose hashes a worker remembers.
+REMEMBERED = 1 << 18
 
 
-@lru_cache(maxsize=1 << 18)
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+class Codes(dict):
+    """Hash of every word met in this worker."""
 
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
 
-@lru_cache(maxsize=4)
-def _powers(which: int, size: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, BASE[which])]))
 
+@cache
+def codes() -> Codes:
+    return Codes()
 
-class Line:
-    """Polynomial hashes of a line's words, from which those of any part or variant follow without reading it again."""
 
-    def __init__(self, words: list[bytes]):
-        self.n = len(words)
-        codes = np.fromiter(map(word_hash, words), np.uint64, self.n)
-        size = 1 << max(10, int(self.n).bit_length())
+@lru_cache(maxsize=4)
+def powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base modulo 2 ** 64 and their inverses."""
+    inverse = np.uint64(pow(int(BASE[which]), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b)])) for b in (BASE[which], inverse))
+
+
+class Lines:
+    """Polynomial hashes of many lines' words at once, from which those of any part or variant follow."""
+
+    def __init__(self, lines: list[list[bytes]]):
+        known = codes()
+        if len(known) > REMEMBERED:
+            known.clear()
+        self.n = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.start = np.cumsum(self.n) - self.n
+        words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), np.uint64, int(self.n.sum()))
+        place = np.arange(len(words)) - np.repeat(self.start, self.n)
+        size = 1 << max(10, int(self.n.max(initial=0)).bit_length())
+        self.powers = [powers(which, size) for which in (0, 1)]
         self.sums = []
         for which in (0, 1):
-            terms = (codes ^ np.uint64(which * 0x5555555555555555)) * _powers(which, size)[: self.n]
-            self.sums.append((np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)]), BASE[which]))
+            terms = (words ^ np.uint64(which * 0x5555555555555555)) * self.powers[which][0][place]
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)]))
 
-    def full(self) -> tuple[int, int]:
-        return tuple((int(s[-1]) + self.n) % (1 << 64) for s, _ in self.sums)
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((s[self.start + self.n] - s[self.start] + self.n.astype(np.uint64)).view(np.int64) for s in self.sums)
 
-    def anchors(self) -> list[int]:
-        """Hashes of the first and last words, as many as two lines within the bound are sure to share at one end.
+    def anchors(self) -> np.ndarray:
+        """Four hashes per line, of the first and the last words, as many as lines within the bound share at one end.
 
         Of n words one edit leaves the first or the last (n - 1) // 2 alone; a line also serves partners one word shorter.
         """
+        s, inverse = self.sums[0], self.powers[0][1]
+        end, out = self.start + self.n, []
+        for size in ((self.n - 1) // 2, np.maximum(self.n - 2, 0) // 2):
+            for side, value in ((1, s[self.start + size] - s[self.start]), (2, (s[end] - s[end - size]) * inverse[self.n - size])):
+                out.append((value * np.uint64(31) + (size * 2 + side).astype(np.uint64)) * BASE[0])
+        return np.stack(out, axis=1).view(np.int64)
+
+    def variants(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each line less one word, for every word of all lines."""
         out = []
-        sums, base = self.sums[0]
-        total = int(sums[-1])
-        for size in {(self.n - 1) // 2, (self.n - 2) // 2}:
-            back = (total - int(sums[self.n - size])) % (1 << 64)
-            shift = pow(int(base), -(self.n - size), 1 << 64)
-            for side, value in ((1, int(sums[size])), (2, back * shift % (1 << 64))):
-                out.append((value * 31 + size * 2 + side) * 0x9E3779B97F4A7C15 % (1 << 64))
-        return out
-
-    def variants(self) -> list[np.ndarray]:
-        """Both hashes of the line less one word, for every word."""
-        out = []
-        for s, base in self.sums:
-            behind = (s[-1] - s[1:]) * np.uint64(pow(int(base), -1, 1 << 64))
-            out.append(s[:-1] + behind + np.uint64(self.n - 1))
-        return out
-
-
-def _signed(values) -> np.ndarray:
-    return np.asarray(values, np.uint64).view(np.int64)
-
-
-def lines(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Number and words of every line that has words."""
-    for k, line in enumerate(text.encode().split(b"\n")):
-        words = line.split()
-        if words:
-            yield k, words
+        of = np.repeat(np.arange(len(self.n)), self.n)
+        for s, (_, inverse) in zip(self.sums, self.powers, strict=True):
+            first, last = s[self.start][of], s[self.start + self.n][of]
+            out.append(((s[:-1] - first) + (last - s[1:]) * inverse[1] + (self.n[of] - 1).astype(np.uint64)).view(np.int64))
+        return tuple(out)
+
+
+def chosen(texts: list, wanted: list) -> tuple[np.ndarray, np.ndarray, Lines]:
+    """Row and number of the wanted lines (line, k1, k2) of each text, and their hashes; a line that has changed is left out."""
+    row, number, found, keys = [], [], [], []
+    for i, (text, cells) in enumerate(zip(texts, wanted, strict=True)):
+        if cells and text:
+            parts = text.encode().split(b"\n")
+            for w in cells:
+                if w["line"] < len(parts):
+                    row.append(i)
+                    number.append(w["line"])
+                    keys.append((w["k1"], w["k2"]))
+                    found.append(parts[w["line"]].split())
+    k1, k2 = Lines(found).full()
+    same = [k for k, own in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)) if own == keys[k]]
+    return np.array(row, np.int64)[same], np.array(number, np.int64)[same], Lines([found[k] for k in same])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -87,17 +109,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            k1, k2, docs_, numbers, anchors = [], [], [], [], []
+            found, docs_, numbers = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, words in lines(text or ""):
-                    line = Line(words)
-                    a, b = line.full()
-                    k1.append(a)
-                    k2.append(b)
-                    docs_.append(doc)
-                    numbers.append(number)
-                    anchors.append(_signed(line.anchors()) if line.n >= MIN_WORDS else None)
-            columns = [pa.array(_signed(k1)), pa.array(_signed(k2)), pa.array(docs_, pa.int64()), pa.array(numbers, pa.int64()), pa.array(anchors, pa.list_(pa.int64()))]
+                for number, line in enumerate((text or "").encode().split(b"\n")):
+                    words = line.split()
+                    if words:
+                        found.append(words)
+                        docs_.append(doc)
+                        numbers.append(number)
+            lines = Lines(found)
+            k1, k2 = lines.full()
+            long = lines.n >= MIN_WORDS
+            offsets = np.concatenate([[0], np.cumsum(long) * 4]).astype(np.int32)
+            anchors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lines.anchors()[long].ravel()))
+            columns = [pa.array(k1), pa.array(k2), pa.array(docs_, pa.int64()), pa.array(numbers, pa.int64()), anchors]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "line", "anchors"])
 
     return docs.mapInArrow(run, "k1 long, k2 long, doc_id long, line long, anchors array<long>")
@@ -111,19 +136,14 @@ def edited(marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                asked = {(w["line"], w["k1"], w["k2"]) for w in wanted or ()}
-                numbers = {a[0] for a in asked}
-                for number, words in lines(text or ""):
-                    if number not in numbers:
-                        continue
-                    line = Line(words)
-                    k1, k2 = _signed(line.full()).tolist()
-                    if (number, k1, k2) in asked:
-                        n = line.n + 1
-                        v1, v2 = (np.append(v.view(np.int64), k) for v, k in zip(line.variants(), (k1, k2), strict=True))
-                        gap = np.append(np.arange(line.n), FULL)
-                        yield pa.RecordBatch.from_arrays([pa.array(v1), pa.array(v2), pa.array(gap), *(pa.array(np.full(n, x)) for x in (k1, k2, doc, number, line.n))], ["v1", "v2", "gap", "k1", "k2", "doc_id", "line", "words"])
+            doc, texts, wanted = (batch.column(i).to_pylist() for i in range(3))
+            row, number, lines = chosen(texts, wanted)
+            of = np.concatenate([np.repeat(np.arange(len(row)), lines.n), np.arange(len(row))])
+            gap = np.concatenate([np.arange(len(of) - len(row)) - np.repeat(lines.start, lines.n), np.full(len(row), FULL)])
+            k1, k2 = lines.full()
+            v1, v2 = (np.concatenate(v) for v in zip(lines.variants(), (k1, k2), strict=True))
+            columns = [v1, v2, gap, k1[of], k2[of], np.array(doc, np.int64)[row][of], number[of], lines.n[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["v1", "v2", "gap", "k1", "k2", "doc_id", "line", "words"])
 
     return marked.mapInArrow(run, "v1 long, v2 long, gap long, k1 long, k2 long, doc_id long, line long, words long")
 
@@ -186,21 +206,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, counts, gone = [], [], []
-            for text, cut in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                asked = {(w["line"], w["k1"], w["k2"]) for w in cut or ()}
-                out = set()
-                if asked:
-                    numbers = {a[0] for a in asked}
-                    for number, words in lines(text):
-                        if number in numbers and (number, *_signed(Line(words).full()).tolist()) in asked:
-                            out.add(number)
-                counts.append(0 if text is None else text.count("\n") + 1)
-                gone.append(len(out))
-                texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in out) if out else text)
+            texts = batch.column(at).to_pylist()
+            row, number, _ = chosen(texts, batch.column(len(names)).to_pylist())
+            cut: dict[int, set[int]] = {}
+            for i, k in zip(row.tolist(), number.tolist(), strict=True):
+                cut.setdefault(i, set()).add(k)
+            counts = [0 if t is None else t.count("\n") + 1 for t in texts]
+            for i, gone in cut.items():
+                texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
+            dropped_ = [len(cut.get(i, ())) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped_, pa.int64())], [*names, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return marked.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
