@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+@cache
+def _own_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quire-llm-")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share, as the session names it; a local session without the setting gets its own."""
+    """The folder all machines share, as the session names it; a session on this machine alone without the setting, as in
+    tests, gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="quire-llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_root(context.applicationId)
     return root.rstrip("/")
 
 
