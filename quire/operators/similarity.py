@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quire.functions import text as T
 
-# Python functions travel to the workers by value, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(T.WORD), F.lit(0))
@@ -54,19 +45,6 @@ def bag_dice(pairs: DataFrame, left: str = "source", right: str = "rendered", ke
     return bag_dice_all(pairs, left, {"similarity": right}, key)
 
 
-@F.pandas_udf(DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [round(difflib.SequenceMatcher(None, x, y).ratio() * 100.0, 2) if x or y else 100.0 for x, y in zip(a, b)]
-    )
-
-
-def sequence_ratio(pairs: DataFrame, left: str = "source", right: str = "rendered") -> DataFrame:
-    """Adds ratio: longest-matching-blocks similarity of the normalised texts. Row by row, so use it on known pairs."""
-    norm = lambda n: F.lower(T.collapse(F.coalesce(n, F.lit(""))))
-    return pairs.withColumn("ratio", _sequence_ratio(norm(left), norm(right)))
-
-
 def heading_match(pairs: DataFrame) -> DataFrame:
     """doc_id, expected, matched, ratio: expected heading texts contained in any rendered line of the same document."""
     heads = F.transform(

@@ -188,9 +188,10 @@ def confidence(*fields: str) -> Column:
 
 
 def fill(rows: DataFrame) -> DataFrame:
-    """Headings inherit the body's font and alignment, then the fallbacks fill what is left."""
+    """Headings without a font or alignment of their own inherit the body's, then the fallbacks fill what is left."""
+    own = ["h1_alignment"] if "h1_alignment" in rows.columns else []
     inherited = rows.withColumn("headings_1_font", F.coalesce("headings_1_font", "body_font")).withColumn(
-        "h1_alignment", F.col("body_alignment")
+        "h1_alignment", F.coalesce(*own, "body_alignment")
     )
     return inherited.select("entity", *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in FALLBACKS.items()])
 

@@ -370,11 +370,6 @@ def _(spark, d):
     return M.bag_dice_all(v_pair(spark, d), "source", both)
 
 
-@query("q17_sequence_similarity")
-def _(spark, d):
-    return M.sequence_ratio(v_pair(spark, d)).select("doc_id", "ratio")
-
-
 @query(
     "q18_similarity_join",
     f"""WITH dt AS (SELECT doc_id AS left_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text),

@@ -42,7 +42,7 @@ def v_file(spark, d):
         F.encode("html", "UTF-8").alias("raw"),
         F.col("page_id").alias("id"),
     )
-    conv_id = "(conv_id * 1000 + turn)"
+    conv_id = "(conv_id * 4294967296 + turn)"
     convs = table(spark, d, "conversations").select(
         F.expr("conv_id div 4").alias("job_id"),
         F.expr(f"{conv_id} * 4 + 2").alias("pos"),
@@ -78,8 +78,8 @@ ctes(
         '[^\\x00-\\x{{ff}}]') THEN length(text) WHEN lang = 'de' THEN 2 + 2 * length(text) ELSE strlen(text) END AS size FROM documents
         UNION ALL SELECT page_id // 16, page_id * 4 + 1, 'page_' || page_id || '.html', '', {_ROLE.format(id='page_id')}, page_id,
         html, strlen(html) FROM pages
-        UNION ALL SELECT conv_id // 4, (conv_id * 1000 + turn) * 4 + 2, 'turn_' || (conv_id * 1000 + turn) || '.md',
-        'application/x-unknown', {_ROLE.format(id='(conv_id * 1000 + turn)')}, conv_id * 1000 + turn, text, strlen(text)
+        UNION ALL SELECT conv_id // 4, (conv_id * 4294967296 + turn) * 4 + 2, 'turn_' || (conv_id * 4294967296 + turn) || '.md',
+        'application/x-unknown', {_ROLE.format(id='(conv_id * 4294967296 + turn)')}, conv_id * 4294967296 + turn, text, strlen(text)
         FROM conversations
         UNION ALL SELECT event_id // 64, event_id * 4 + 3, {_EVENT_NAME}, {_EVENT_MIME}, {_ROLE.format(id='event_id')}, event_id,
         {_EVENT_TEXT}, strlen({_EVENT_TEXT}) FROM events""",
