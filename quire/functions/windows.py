@@ -8,7 +8,6 @@ spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -17,19 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def together(df: DataFrame, key: str) -> DataFrame:
-    """All rows of a key in one partition. A plan that already guarantees it (a bucketed table, an aggregation by the key)
-    is left as it is."""
-    if not df.isStreaming:
-        run = df._jdf.queryExecution()
-        # The final plan knows earlier exchanges; the plan before it still shows a bucketed scan as such.
-        for plan in (run.executedPlan(), run.sparkPlan()):
-            placed = plan.outputPartitioning().toString()
-            if re.match(rf"hashpartitioning\({re.escape(key)}#\d+L?, \d+\)", placed):
-                return df
-    return df.repartition(key)
-
-
 def bucketed(
     df: DataFrame,
     keys: Sequence[str],

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.windows import ordered_text, together
+from quire.functions.windows import ordered_text
 
 PREAMBLE = "_preamble"
 # Fallback sections and the texts used when a planned section has none of its own.
@@ -43,7 +43,7 @@ def lines(docs: DataFrame, text: str = "text", grouped: bool = False) -> DataFra
     """
     src = docs.select("doc_id", F.col(text).alias("_text"))
     if grouped:
-        src = together(src, "doc_id")
+        src = src.repartition("doc_id")  # left out by Spark if an aggregation already placed them so
     rows = src.select("doc_id", F.posexplode(T.split_lines(F.col("_text"))).alias("pos", "raw"))
     return rows.withColumn("s", T.strip(F.col("raw")))
 
@@ -75,9 +75,12 @@ def _merge_runs(rows: DataFrame, para: str) -> DataFrame:
     )
 
 
-def blocks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, block_no, kind, level, text: content blocks with paragraph runs merged."""
-    return _merge_runs(classified(docs, text, grouped=True), "paragraph")
+def blocks(docs: DataFrame, text: str = "text", placed: bool = False) -> DataFrame:
+    """doc_id, block_no, kind, level, text: content blocks with paragraph runs merged.
+
+    placed=True: ``docs`` is a table bucketed by doc_id, so its texts are not moved.
+    """
+    return _merge_runs(classified(docs, text, grouped=not placed), "paragraph")
 
 
 def with_root(blks: DataFrame, docs: DataFrame, title: Column) -> DataFrame:
@@ -145,10 +148,13 @@ def block_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def section_bodies(docs: DataFrame) -> DataFrame:
-    """doc_id, section, body: text under each canonical heading, repeated headings merged, preamble always present."""
+def section_bodies(docs: DataFrame, placed: bool = False) -> DataFrame:
+    """doc_id, section, body: text under each canonical heading, repeated headings merged, preamble always present.
+    placed=True: ``docs`` is bucketed by doc_id."""
     pieces = F.concat(F.array(F.lit(None).cast("string")), T.split_lines(F.col("text")))
-    rows = together(docs.select("doc_id", "text"), "doc_id")
+    rows = docs.select("doc_id", "text")
+    if not placed:
+        rows = rows.repartition("doc_id")
     rows = rows.select("doc_id", F.posexplode(pieces).alias("pos", "raw")).withColumn("s", T.strip(F.col("raw")))
     head = F.col("s").rlike(T.HEADING)
     title = F.when(head, T.canon(F.regexp_replace("s", T.HEADING_MARK, "")))

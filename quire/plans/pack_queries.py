@@ -13,7 +13,7 @@ from quire.operators import scoring as Q
 from quire.operators import similarity as M
 from quire.plans import relations as R
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, spread, table
+from quire.plans.base import ctes, query, table
 from quire.plans.score_queries import BULLETS, REFS, _rules
 
 CAPACITIES = (3, 20, 48)
@@ -94,7 +94,7 @@ ctes(
         {S.round_half_up('count(h) FILTER (contains(lower(rendered), h)) / count(h)::DECIMAL(18,6)')} END AS ratio
         FROM v_pair v LEFT JOIN pair_heads h ON h.doc_id = v.doc_id GROUP BY v.doc_id""",
     gate_pages="""SELECT capacity, doc_id, max(page) AS expected_pages, count(*) AS placed FROM v_place GROUP BY capacity, doc_id""",
-    gate_thresholds="""SELECT *, CASE WHEN (doc_id // 1024) % 10 = 9 THEN 80.0 WHEN long_form THEN 84.0 WHEN profile = 'high_range' THEN 82.0 WHEN profile = 'balanced'
+    gate_thresholds="""SELECT *, CASE WHEN (doc_id // 4294967296) % 10 = 9 THEN 80.0 WHEN long_form THEN 84.0 WHEN profile = 'high_range' THEN 82.0 WHEN profile = 'balanced'
         THEN 85.0 ELSE 88.0 END::DOUBLE AS min_similarity,
         CASE WHEN long_form THEN 0.7 WHEN profile = 'high_range' THEN 0.6 WHEN profile = 'balanced' THEN 0.68 ELSE 0.75 END::DOUBLE
         AS min_heading_ratio,
@@ -109,10 +109,10 @@ ctes(
         WHEN very_long THEN greatest(8, round_even(expected_pages * 0.20, 0))
         WHEN long_form THEN greatest(4, round_even(expected_pages * 0.15, 0)) ELSE 0 END AS INTEGER) AS page_tolerance
         FROM (SELECT g.capacity, g.doc_id, g.expected_pages, g.placed, coalesce(k.target_pages, 0) AS target_pages,
-        CASE (g.doc_id // 1024) % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'balanced' ELSE 'high_range' END AS profile,
+        CASE (g.doc_id // 4294967296) % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'balanced' ELSE 'high_range' END AS profile,
         g.expected_pages >= 30 OR k.target_pages >= 30 AS long_form, g.expected_pages >= 60 OR k.target_pages >= 60 AS very_long
         FROM gate_pages g JOIN conv_brief k ON k.doc_id = g.doc_id)""",
-    visual_pages="""SELECT capacity, (vec_id // 4) * 1024 AS doc_id, CAST(vec_id % 4 + 1 AS INTEGER) AS page, dark_ratio, centroid_y
+    visual_pages="""SELECT capacity, (vec_id // 4) * 4294967296 AS doc_id, CAST(vec_id % 4 + 1 AS INTEGER) AS page, dark_ratio, centroid_y
         FROM pix_metrics, (VALUES (20), (48)) AS t(capacity)""",
     visual_scores=f"""SELECT capacity, doc_id, page, score, class_threshold, score < least(class_threshold, 65.0) AS failed FROM (
         SELECT capacity, doc_id, page, class_threshold, CASE WHEN found AND dd <= 0.005 AND dc <= 0.02 THEN 100.0::DOUBLE ELSE
@@ -323,8 +323,8 @@ _ROMAN = "array_to_string([{t}[(n // 1000) + 1]], '')"
 
 @query(
     "b24_page_labels",
-    """WITH p AS (SELECT DISTINCT capacity, doc_id, page + CAST(doc_id // 1024 AS INTEGER) AS page, (doc_id // 1024) % 4 >= 1
-    AS has_cover, (doc_id // 1024) % 4 >= 2 AS has_prelim FROM v_place),
+    """WITH p AS (SELECT DISTINCT capacity, doc_id, page + CAST(doc_id // 4294967296 AS INTEGER) AS page, (doc_id // 4294967296) % 4 >= 1
+    AS has_cover, (doc_id // 4294967296) % 4 >= 2 AS has_prelim FROM v_place),
     c AS (SELECT *, CASE WHEN has_cover AND page = 1 THEN NULL WHEN has_cover AND has_prelim AND page = 2 THEN 1
         WHEN has_cover AND has_prelim THEN page - 2 WHEN has_cover THEN page - 1 ELSE page END AS n,
         CASE WHEN has_cover AND has_prelim AND page = 2 THEN 'lower' WHEN has_cover THEN 'decimal' ELSE 'upper' END AS f FROM p),
@@ -336,7 +336,7 @@ _ROMAN = "array_to_string([{t}[(n // 1000) + 1]], '')"
     ELSE n::VARCHAR END AS label FROM r""",
 )
 def _(spark, d):
-    conv = F.expr("doc_id div 1024")
+    conv = F.expr(f"doc_id div {R.IDS}")
     pages = v_place(spark, d).select("capacity", "doc_id", (F.col("page") + conv.cast("int")).alias("page")).distinct()
     pages = pages.select(
         "*",
@@ -384,7 +384,7 @@ def _(spark, d):
     WHERE common * 2 >= {DICE} * (ds.total + bs.total)""",
 )
 def _(spark, d):
-    corpus = spread(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("left_id"), "text")
+    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("left_id"), "text")
     refs = table(spark, d, "benchmark").select(F.col("item_id").alias("right_id"), "text")
     return M.similarity_join(corpus, refs, DICE)
 
@@ -426,7 +426,7 @@ def _visual(spark, d):
     metrics = X.page_metrics(v_pix(spark, d), 8, "vec_id")
     actual = metrics.select(
         F.explode(F.array(F.lit(20), F.lit(48))).alias("capacity"),
-        (F.expr("vec_id div 4") * 1024).alias("doc_id"),
+        (F.expr("vec_id div 4") * R.IDS).alias("doc_id"),
         (F.col("vec_id") % 4 + 1).cast("int").alias("page"),
         "dark_ratio",
         "centroid_y",
@@ -451,13 +451,13 @@ def _gate_docs(spark, d):
     )
     rules = _rules(spark, d).select("doc_id", "target_pages", Q.violations(F.col("doc_text"), render=True).alias("v"))
     profile = F.element_at(
-        F.array(F.lit("strict"), F.lit("balanced"), F.lit("high_range")), (F.expr("doc_id div 1024") % 3 + 1).cast("int")
+        F.array(F.lit("strict"), F.lit("balanced"), F.lit("high_range")), (F.expr(f"doc_id div {R.IDS}") % 3 + 1).cast("int")
     )
     return pages.join(rules, "doc_id").withColumn("profile", profile)
 
 
 def _own_thresholds():
-    return {"min_similarity": F.when(F.expr("doc_id div 1024") % 10 == 9, 80.0)}
+    return {"min_similarity": F.when(F.expr(f"doc_id div {R.IDS}") % 10 == 9, 80.0)}
 
 
 @query(

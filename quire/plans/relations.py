@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions.windows import ordered_text
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, spread, table
+from quire.plans.base import ctes, table
 
-SEGMENT = 64  # turns per conversation document, so a conversation of any length becomes bounded documents
+SEGMENT = 64  # parameter of the relation: turns per conversation document, so one of any length becomes bounded documents
+#: Ids per conversation. More segments would need turns beyond 2 ** 38; an id beyond 64 bits is an error, so ids never meet.
+IDS = 1 << 32
 
 
 def v_conv(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +26,7 @@ def v_conv(spark: SparkSession, d: str) -> DataFrame:
     )
     block = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), name, F.lit("\n"), "text")
     rows = c.select(
-        "conv_id", F.expr(f"conv_id * 1024 + turn div {SEGMENT}").alias("doc_id"), "turn", block.alias("block")
+        "conv_id", F.expr(f"conv_id * {IDS} + turn div {SEGMENT}").alias("doc_id"), "turn", block.alias("block")
     )
     return (
         rows.groupBy("doc_id")
@@ -41,7 +43,7 @@ def v_conv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v_doc(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"), "doc_id").select(
+    return table(spark, d, "documents").select(
         "doc_id", F.concat(F.lit("Document "), "doc_id").alias("title"), "text"
     )
 
@@ -53,7 +55,7 @@ PAGE_INLINE = r"</?(?:a|b|i|em|strong|span)(?: [^>]*)?>"
 
 def v_page_text(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, title, text: heading, list and paragraph lines of a page, one element per line."""
-    p = spread(table(spark, d, "pages"), "page_id")
+    p = table(spark, d, "pages")
     items = F.regexp_extract_all(F.regexp_replace("html", PAGE_INLINE, ""), F.lit(PAGE_ITEM), F.lit(0))
 
     def line(item):
@@ -74,7 +76,7 @@ def v_plan(spark: SparkSession, d: str) -> DataFrame:
         "mode",
         F.element_at(
             F.array(F.lit("auto_generate"), F.lit(" user_provides "), F.lit("skip"), F.lit("draft")),
-            ((F.expr("doc_id div 1024") + F.col("pos")) % 4 + 1).cast("int"),
+            ((F.expr(f"doc_id div {IDS}") + F.col("pos")) % 4 + 1).cast("int"),
         ),
     )
 
@@ -126,7 +128,7 @@ PHRASES = [
 
 def v_brief(spark: SparkSession, d: str) -> DataFrame:
     """brief_id, text: free-text formatting rules, phrase j kept when (orderkey * (j + 3) + j) % 5 = 0."""
-    o = spread(table(spark, d, "orders"), "o_orderkey")
+    o = table(spark, d, "orders")
     key = F.col("o_orderkey")
     kept = F.array_compact(
         F.array(*[F.when((key * (j + 3) + j) % 5 == 0, F.lit(p)) for j, p in enumerate(PHRASES)])
@@ -146,10 +148,10 @@ def _phrase_sql() -> str:
 
 
 ctes(
-    v_conv=f"""SELECT conv_id * 1024 + turn // {SEGMENT} AS doc_id, 'Conversation ' || conv_id AS title,
+    v_conv="""SELECT conv_id * 4294967296 + turn // 64 AS doc_id, 'Conversation ' || conv_id AS title,
         '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg(repeat('#', CAST(turn % 3 + 1 AS INTEGER)) || ' ' ||
         CASE role WHEN 'user' THEN 'Introduction' WHEN 'assistant' THEN 'Body' ELSE 'Conclusion' END || chr(10) || text,
-        chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // {SEGMENT}""",
+        chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id, turn // 64""",
     v_doc="SELECT doc_id, 'Document ' || doc_id AS title, text FROM documents",
     v_page_items=f"""SELECT page_id AS doc_id, url AS title, unnest(range(len(items))) AS pos, unnest(items) AS item FROM (
         SELECT page_id, url, regexp_extract_all(regexp_replace(html, '{PAGE_INLINE}', '', 'g'), '{PAGE_ITEM}') AS items
@@ -158,7 +160,7 @@ ctes(
         END || {S.collapse("regexp_replace(item, '<[^>]*>', '', 'g')")} AS line FROM v_page_items""",
     v_page_text="""SELECT p.page_id AS doc_id, p.url AS title, coalesce(string_agg(line, chr(10) ORDER BY pos), '') AS text
         FROM pages p LEFT JOIN v_page_lines l ON l.doc_id = p.page_id GROUP BY p.page_id, p.url""",
-    v_plan="""SELECT doc_id, pos, title, ['auto_generate', ' user_provides ', 'skip', 'draft'][(doc_id // 1024 + pos) % 4 + 1]
+    v_plan="""SELECT doc_id, pos, title, ['auto_generate', ' user_provides ', 'skip', 'draft'][(doc_id // 4294967296 + pos) % 4 + 1]
         AS mode FROM v_conv_ids, (VALUES (0, '  introduction '), (1, 'Body'), (2, ''), (3, 'conclusion'),
         (4, 'appendix  notes')) AS t(pos, title)""",
     v_conv_ids="SELECT doc_id FROM v_conv",

@@ -9,7 +9,7 @@ from quire.operators import briefs as K
 from quire.operators import scoring as Q
 from quire.plans import relations as R
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, spread, table
+from quire.plans.base import ctes, query, table
 from quire.plans.text_queries import _three, _union
 
 _RE2_M = "(?m)"
@@ -35,7 +35,7 @@ ctes(
     signals=f"""SELECT corpus, doc_id, {S.words('text')} AS words, {HEADS} AS heads, {BULLETS} AS bullets, {LONG} AS long_par,
         {ARTIFACTS} AS artifacts FROM corpus_text""",
     conv_brief="""SELECT c.doc_id, c.text, lower(c.text) AS low, k.* FROM v_conv c LEFT JOIN brief_compiled k
-        ON k.brief_id = c.doc_id // 1024 + c.doc_id % 1024""",
+        ON k.brief_id = c.doc_id // 4294967296 + c.doc_id % 4294967296""",
     conv_required="SELECT doc_id, unnest(string_split(required, '|')) AS section, unnest(range(99)) AS ord FROM conv_brief",
     conv_need="SELECT doc_id, section, ord, CASE WHEN section = 'body' THEN 25 ELSE 15 END AS minimum FROM conv_required WHERE section IS NOT NULL",
     conv_state=f"""SELECT n.doc_id, n.ord, upper(n.section[1]) || n.section[2:] AS name, n.section, n.minimum,
@@ -101,7 +101,7 @@ ctes(
 
 
 def _docs_with_brief(spark, d):
-    return R.v_conv(spark, d).withColumn("brief_id", F.expr("doc_id div 1024 + doc_id % 1024"))
+    return R.v_conv(spark, d).withColumn("brief_id", F.expr(f"doc_id div {R.IDS} + doc_id % {R.IDS}"))
 
 
 def _rules(spark, d):
@@ -241,7 +241,7 @@ def _(spark, d):
 
 
 def _cands(spark, d):
-    return spread(table(spark, d, "documents"), "doc_id").select(
+    return table(spark, d, "documents").select(
         F.expr("doc_id div 4").alias("item"),
         (F.col("doc_id") % 4).alias("rank"),
         F.concat(F.lit("src"), "doc_id").alias("name"),

@@ -9,7 +9,7 @@ from quire.sources import parts as M
 from quire.sources import stores as D
 from quire.functions import text as T
 from quire.plans import sqltext as S
-from quire.plans.base import ctes, query, spread, table
+from quire.plans.base import ctes, query, table
 
 CLIP = 20_000
 _ROLE = "CASE WHEN {id} % 5 = 0 THEN ' Reference ' WHEN {id} % 5 = 1 THEN '' ELSE 'content' END"
@@ -24,7 +24,7 @@ def v_file(spark, d):
     """job_id, pos, filename, mime, role, payload: every document, page, conversation turn and event as an upload."""
     plain = F.encode("text", "UTF-8")
     latin = (F.col("lang") == "fr") & ~F.col("text").rlike(r"[^\x00-\x{ff}]")
-    docs = spread(table(spark, d, "documents"), "doc_id").select(
+    docs = table(spark, d, "documents").select(
         F.expr("doc_id div 16").alias("job_id"),
         (F.col("doc_id") * 4).alias("pos"),
         F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("filename"),
@@ -33,7 +33,7 @@ def v_file(spark, d):
         F.when(latin, F.encode("text", "ISO-8859-1")).when(F.col("lang") == "de", F.encode("text", "UTF-16")).otherwise(plain).alias("raw"),
         F.col("doc_id").alias("id"),
     )
-    pages = spread(table(spark, d, "pages"), "page_id").select(
+    pages = table(spark, d, "pages").select(
         F.expr("page_id div 16").alias("job_id"),
         (F.col("page_id") * 4 + 1).alias("pos"),
         F.concat(F.lit("page_"), "page_id", F.lit(".html")).alias("filename"),
@@ -52,7 +52,7 @@ def v_file(spark, d):
         plain.alias("raw"),
         F.expr(conv_id).alias("id"),
     )
-    events = spread(table(spark, d, "events"), "event_id").select(
+    events = table(spark, d, "events").select(
         F.expr("event_id div 64").alias("job_id"),
         (F.col("event_id") * 4 + 3).alias("pos"),
         F.expr(_EVENT_NAME).alias("filename"),
@@ -106,6 +106,8 @@ ctes(
         END ELSE trim(v) END AS value FROM v_cells c LEFT JOIN part ON t = 's' AND TRY_CAST(trim(v) AS BIGINT) = p_partkey""",
     cell_rows="""SELECT book, sheet, "row", coalesce(array_to_string(list(value ORDER BY l_linenumber, l_partkey, l_suppkey,
         l_extendedprice, value) FILTER (value <> ''), chr(9)), '') AS line FROM cell_values GROUP BY book, sheet, "row\"""",
+    sheet_texts="""SELECT book, sheet, '### Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY "row") AS text
+        FROM cell_rows WHERE line <> '' GROUP BY book, sheet""",
 )
 
 
@@ -164,14 +166,36 @@ def _cells(spark, d):
     )
 
 
+def _sheets(spark, d):
+    words = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"))
+    return M.resolve_cells(_cells(spark, d), words)
+
+
+@query("s08_sheet_texts", "SELECT * FROM sheet_texts")
+def _(spark, d):
+    return M.sheet_texts(_sheets(spark, d))
+
+
 @query(
-    "s08_sheet_texts",
-    """SELECT book, sheet, "row" // 1048576 AS part, '### Sheet: ' || sheet || chr(10) || string_agg(line, chr(10) ORDER BY "row") AS text FROM cell_rows
-    WHERE line <> '' GROUP BY book, sheet, part""",
+    "s08_sheet_parts",
+    """SELECT book, sheet, part, CASE WHEN part = min(part) OVER (PARTITION BY book, sheet) THEN '### Sheet: ' || sheet || chr(10)
+    ELSE '' END || body AS text FROM (SELECT book, sheet, "row" // 3 AS part, string_agg(line, chr(10) ORDER BY "row") AS body
+    FROM cell_rows WHERE line <> '' GROUP BY book, sheet, part)""",
 )
 def _(spark, d):
-    words = table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_name").alias("text"))
-    return M.sheet_texts(M.resolve_cells(_cells(spark, d), words))
+    return M.sheet_texts(_sheets(spark, d), rows_per_part=3)
+
+
+@query(
+    "s08_book_texts",
+    """SELECT book, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY CASE sheet WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END),
+    '[XLSX parsed, but no extractable text was found.]') AS text FROM (SELECT DISTINCT (o_orderkey + 4) // 8 AS book FROM orders)
+    LEFT JOIN sheet_texts USING (book) GROUP BY book""",
+)
+def _(spark, d):
+    order = "posexplode(array('R', 'A', 'N')) AS (pos, sheet)"
+    books = table(spark, d, "orders").selectExpr("(o_orderkey + 4) div 8 AS book").distinct().selectExpr("book", order)
+    return M.book_texts(books, M.sheet_texts(_sheets(spark, d)))
 
 
 @query(
@@ -229,7 +253,7 @@ def _(spark, d):
 )
 def _(spark, d):
     raw = F.encode("html", "UTF-8")
-    return spread(table(spark, d, "pages"), "page_id").select(
+    return table(spark, d, "pages").select(
         "page_id", F.octet_length(raw).cast("bigint").alias("size"), F.sha2(raw, 256).alias("digest")
     )
 

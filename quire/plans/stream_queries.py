@@ -49,8 +49,9 @@ ctes(
 )
 def _(spark, d):
     life = _events(spark, d).selectExpr("event_id % 500 AS report_id", "event_id", "ts", f"{_STATUS} AS status")
-    out = V.upserted(_run(spark, V.latest_status(life), "status", "update"))
-    return out.select("report_id", "status", F.col("at.event_id").alias("event_id"))
+    root = f"{checkpoint_root(spark)}/status-{uuid.uuid4().hex}"
+    V.write_current(V.latest_status(life), f"{root}/out", f"{root}/state", "report_id").awaitTermination()
+    return V.read_current(spark, f"{root}/out").select("report_id", "status", F.col("at.event_id").alias("event_id"))
 
 
 @query(
@@ -109,13 +110,13 @@ def _(spark, d):
     "h15_backoff_stops",
     """SELECT report_id, CAST(least(a, b) AS INTEGER) AS stop_attempt, CASE WHEN a = least(a, b) THEN 'backoff' ELSE 'unlikely' END AS reason
     FROM (SELECT report_id, min(attempt) FILTER (streak >= 2) AS a, min(attempt) FILTER (stalled) AS b FROM att_streak
-    GROUP BY report_id) WHERE a IS NOT NULL OR b IS NOT NULL""",
+    JOIN (SELECT event_id FROM events, stream_end WHERE epoch_us(ts) <= mark) USING (event_id) GROUP BY report_id) WHERE a IS NOT NULL OR b IS NOT NULL""",
 )
 def _(spark, d):
     scores = _events(spark, d).select(
         F.col("user_id").alias("report_id"), "event_id", "ts", F.least(F.lit(100.0), F.col("value")).alias("score")
     )
-    return _run(spark, V.backoff_stops(scores), "backoff", "append").drop("batch")
+    return _run(spark, V.backoff_stops(scores, f"{DELAY_S} seconds"), "backoff", "append").drop("batch")
 
 
 @query(

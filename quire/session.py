@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,10 +38,12 @@ def local_session(cpus: str | None = None, app: str = "quire") -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for state that must outlive an executor.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that setting (a local test) gets a folder of
-    its own.
+    The cluster names it in ``spark.checkpoint.dir``; without it only a session on this machine alone, as in tests, gets a
+    folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
     return root.rstrip("/")

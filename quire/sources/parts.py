@@ -5,7 +5,7 @@ Rows are joined in two steps (cells to rows, rows to sheets), so a step gathers
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -30,28 +30,36 @@ def resolve_cells(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.select(*cells.columns, value.alias("value"))
 
 
-# Fixed value: the row limit of the sheet format.
-SHEET_ROWS = 1_048_576
+# Fixed value: the text of a workbook without any.
+EMPTY_BOOK = "[XLSX parsed, but no extractable text was found.]"
 
 
-def sheet_texts(resolved: DataFrame, rows_per_part: int = SHEET_ROWS) -> DataFrame:
-    """book, sheet, part, text: empty cells dropped, cells joined by tabs, rows by line feeds, under a sheet header.
+def sheet_texts(resolved: DataFrame, rows_per_part: int | None = None) -> DataFrame:
+    """book, sheet, text: empty cells dropped, cells joined by tabs, rows by line feeds, under a sheet header.
 
-    A sheet within the format's row limit is one part. Rows numbered beyond it start a further part, so no group grows
-    past the limit; the parts of a sheet in order are its whole text.
+    A sheet is one text cell. For sheets too large for one, ``rows_per_part`` gives book, sheet, part, text instead: row r
+    is in part r div rows_per_part, only a sheet's first part has the header, and its parts in order, joined by line feeds,
+    are the same text.
     """
     filled = F.when(F.col("value") != "", F.col("value"))
+    rows = resolved.groupBy("book", "sheet", "row").agg(ordered_text(F.col("col"), filled, "\t").alias("line"))
+    rows = rows.withColumn("line", T.strip(F.col("line"))).filter(F.col("line") != "")
+    header = F.concat(F.lit("### Sheet: "), "sheet", F.lit("\n"), "body")
+    body = ordered_text(F.col("row"), F.col("line"), "\n").alias("body")
+    if rows_per_part is None:
+        return rows.groupBy("book", "sheet").agg(body).select("book", "sheet", header.alias("text"))
     part = F.floor(F.col("row") / rows_per_part).cast("bigint")
-    rows = resolved.withColumn("part", part).groupBy("book", "sheet", "part", "row").agg(ordered_text(F.col("col"), filled, "\t").alias("line"))
-    line = T.strip(F.col("line"))
-    sheets = rows.groupBy("book", "sheet", "part").agg(ordered_text(F.col("row"), F.when(line != "", line), "\n").alias("body"))
-    return sheets.filter(F.col("body") != "").select(
-        "book", "sheet", "part", F.concat(F.lit("### Sheet: "), "sheet", F.lit("\n"), "body").alias("text")
-    )
+    parts = rows.withColumn("part", part).groupBy("book", "sheet", "part").agg(body)
+    first = F.min("part").over(Window.partitionBy("book", "sheet")) == F.col("part")
+    return parts.select("book", "sheet", "part", F.when(first, header).otherwise(F.col("body")).alias("text"))
 
 
-def book_texts(sheets: DataFrame) -> DataFrame:
-    return sheets.groupBy("book").agg(ordered_text(F.struct("sheet", "part"), F.col("text"), "\n\n").alias("text"))
+def book_texts(sheets: DataFrame, texts: DataFrame) -> DataFrame:
+    """book, text: the texts of a workbook's sheets in file order, or a fixed line if no sheet has any. sheets: book,
+    sheet, pos; texts: book, sheet, text."""
+    found = sheets.join(texts.select("book", "sheet", "text"), ["book", "sheet"], "left")
+    whole = found.groupBy("book").agg(T.strip(ordered_text(F.col("pos"), F.col("text"), "\n\n")).alias("text"))
+    return whole.select("book", F.coalesce(F.nullif("text", F.lit("")), F.lit(EMPTY_BOOK)).alias("text"))
 
 
 def member_number(name: Column) -> Column:

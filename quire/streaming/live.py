@@ -7,8 +7,10 @@ driver leaves the result unchanged. State and offsets live under the caller's ch
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -58,10 +60,29 @@ def latest_status(events: DataFrame) -> DataFrame:
     return events.groupBy("report_id").agg(F.max_by("status", at).alias("status"), F.max(at).alias("at"))
 
 
-def upserted(batches: DataFrame, key: str = "report_id") -> DataFrame:
-    """Current row per key of an update-mode output: the row of the last batch wins."""
-    rest = [c for c in batches.columns if c not in (key, "batch")]
-    return batches.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
+def write_current(stream: DataFrame, out: str, checkpoint: str, key: str) -> StreamingQuery:
+    """Keep the current row per key of an update-mode stream as one table.
+
+    Each micro-batch is merged into the table before it, whose other rows it takes over. Two slots are written in turn, so
+    at most one old version exists, and a replayed batch reads the other slot and writes the same again.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(rows.schema).parquet(f"{out}/slot={(batch_id - 1) % 2}")
+            kept = before.join(batch.select(key), key, "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
+            rows = rows.unionByName(kept)
+        rows.write.mode("overwrite").parquet(f"{out}/slot={batch_id % 2}")
+
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
+
+
+def read_current(spark: SparkSession, out: str) -> DataFrame:
+    """The table that ``write_current`` keeps."""
+    both = spark.read.parquet(out)
+    newest = both.agg(F.max("batch")).first()[0]
+    return both.filter(F.col("batch") == F.lit(newest)).drop("batch", "slot")
 
 
 def windowed_counts(events: DataFrame, size: str, slide: str | None, delay: str) -> DataFrame:
@@ -98,40 +119,68 @@ def deduplicated(events: DataFrame, keys: list[str], delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-STATE = "attempt int, prev double, delta double, streak int, done int"
+STATE = "attempt int, prev double, delta long, streak int, done boolean, last long, waiting string"
 OUTPUT = "report_id long, stop_attempt int, reason string"
-
-
-def _detect(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Advance one report by the scores of a micro-batch; emits its stop point once."""
-    attempt, prev, delta, streak, done = state.get if state.exists else (0, None, None, 0, 0)
-    frames = list(chunks)
-    rows = pd.concat(frames).sort_values(["ts", "event_id"])
-    out = []
-    for score in rows["score"]:
-        if done:
-            break
-        attempt += 1
-        before, delta = delta, (None if prev is None else round(score - prev, 2))
-        streak = streak + 1 if delta is not None and delta <= 0 else 0
-        small = float(MIN_DELTA)
-        stalled = attempt >= 3 and delta is not None and before is not None and delta <= small and before <= small
-        prev = score
-        if streak >= BACKOFF or stalled:
-            done = 1
-            out.append((key[0], attempt, "backoff" if streak >= BACKOFF else "unlikely"))
-    state.update((attempt, prev, delta, streak, done))
-    yield pd.DataFrame(out, columns=["report_id", "stop_attempt", "reason"])
-
-
-def backoff_stops(scores: DataFrame) -> DataFrame:
-    """Stop point per report as scores arrive. scores: report_id, event_id, ts, score.
-
-    State is five numbers per report. A group's rows are sorted inside one micro-batch only, whose size the trigger limits.
+#: A report without scores for longer than this, in event time, is forgotten, finished or not: the next score is its first.
+IDLE_MS = 400 * 24 * 3600 * 1000
+SMALL = int(Decimal(str(MIN_DELTA)) * 100)
+
+
+def _cents(score: float) -> int:
+    return int(Decimal(repr(score)).quantize(Decimal("0.01"), ROUND_HALF_UP) * 100)
+
+
+def _detector(idle_ms: int) -> Callable:
+    fresh = (0, None, None, 0, False)
+
+    def detect(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Advance one report by the scores the watermark has passed; later ones wait in the state. Emits its stop once."""
+        *run, last, cell = state.get if state.exists else (*fresh, None, "[]")
+        attempt, prev, delta, streak, done = run
+        waiting = json.loads(cell)
+        for chunk in chunks:
+            waiting.extend(zip(chunk["us"].tolist(), chunk["event_id"].tolist(), chunk["score"].tolist(), strict=True))
+        waiting.sort(key=lambda w: (w[0], w[1]))
+        mark = state.getCurrentWatermarkMs()
+        ready = 0
+        while ready < len(waiting) and waiting[ready][0] <= mark * 1000:
+            us, _, score = waiting[ready]
+            ready += 1
+            if last is not None and us - last > idle_ms * 1000:
+                attempt, prev, delta, streak, done = fresh
+            last = us
+            if done:
+                continue
+            attempt += 1
+            before, delta = delta, (None if prev is None else _cents(score) - _cents(prev))
+            streak = streak + 1 if prev is not None and score <= prev else 0
+            prev = score
+            stalled = attempt >= 3 and before is not None and delta <= SMALL and before <= SMALL
+            if streak >= BACKOFF or stalled:
+                done = True
+                yield pd.DataFrame([(key[0], attempt, "backoff" if streak >= BACKOFF else "unlikely")], columns=["report_id", "stop_attempt", "reason"])
+        waiting = waiting[ready:]
+        # Woken when the watermark reaches the first waiting score, else when the report has been idle.
+        wake = waiting[0][0] // 1000 - 1 if waiting else last // 1000 + idle_ms
+        if not waiting and wake < mark:
+            state.remove()
+            return
+        state.update((attempt, prev, delta, streak, done, last, json.dumps(waiting)))
+        state.setTimeoutTimestamp(max(wake, mark))
+
+    return detect
+
+
+def backoff_stops(scores: DataFrame, delay: str, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Stop point per report as scores arrive in any order. scores: report_id, event_id, ts, score.
+
+    A score counts once the watermark, ``delay`` behind the newest score of all, has passed it, so within the delay the
+    order of arrival and the cut of the micro-batches change nothing and the answer is that of the batch job; scores that
+    come later are dropped, as are null ones. State per report: six values and the scores of the last ``delay``; it is removed once the
+    report has been idle for ``idle_ms``.
     """
-    return scores.groupBy("report_id").applyInPandasWithState(
-        _detect, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    timed = scores.filter("score is not null").withWatermark("ts", delay).select("report_id", "event_id", "ts", "score", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("report_id").applyInPandasWithState(_detector(idle_ms), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingested_files(files: DataFrame) -> DataFrame:

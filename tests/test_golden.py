@@ -7,6 +7,7 @@ from quire.functions import text as T
 from quire.functions import units as U
 from quire.functions.jsontext import is_json
 from quire.operators import attempts, blocks, briefs, history, layers, packing, raster, registry, scoring
+from quire.plans import relations
 from quire.sources import ingest, parts
 
 LONG = " ".join(["word"] * 30)
@@ -200,6 +201,21 @@ def test_sheet_text(spark):
     )
     words = spark.createDataFrame([(0, "Name")], "idx long, text string")
     assert parts.sheet_texts(parts.resolve_cells(cells, words)).first().text == "### Sheet: S\nName\t9\nTRUE\t42"
+    got = {r.part: r.text for r in parts.sheet_texts(parts.resolve_cells(cells, words), rows_per_part=2).collect()}
+    assert got == {0: "### Sheet: S\nName\t9", 1: "TRUE\t42"}
+    sheets = spark.createDataFrame([(1, "T", 0), (1, "S", 1), (2, "S", 0)], "book long, sheet string, pos int")
+    books = {r.book: r.text for r in parts.book_texts(sheets, parts.sheet_texts(parts.resolve_cells(cells, words))).collect()}
+    assert books == {1: "### Sheet: S\nName\t9\nTRUE\t42", 2: parts.EMPTY_BOOK}
+
+
+def test_long_conversations_do_not_meet(spark, tmp_path):
+    """70,000 turns of one conversation and a few of the next: each document has turns of one conversation only."""
+    turns = "SELECT 0 AS conv_id, id AS turn FROM range(70000) UNION ALL SELECT 1, id FROM range(3)"
+    rows = spark.sql(f"SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, 'user' AS role, concat('c', conv_id) AS text FROM ({turns})")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = relations.v_conv(spark, str(tmp_path)).selectExpr("doc_id", "title", "contains(text, 'c0') AS a", "contains(text, 'c1') AS b").collect()
+    assert len(found) == 1095 and len({r.doc_id for r in found}) == 1095
+    assert all((r.a, r.b) == (r.title == "Conversation 0", r.title == "Conversation 1") for r in found)
 
 
 def test_slides_sort_by_number(spark):

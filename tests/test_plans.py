@@ -39,7 +39,7 @@ def test_bucketed_documents_need_no_exchange(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     stores.save_documents(docs, "quire_test_documents", 4, str(tmp_path / "docs"))
     try:
-        out = blocks.with_parents(blocks.blocks(spark.table("quire_test_documents")))
+        out = blocks.with_parents(blocks.blocks(spark.table("quire_test_documents"), placed=True))
         assert "Exchange" not in plan(spark, out)
         assert out.count() == blocks.blocks(docs).count()
     finally:

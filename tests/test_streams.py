@@ -1,10 +1,14 @@
 """Streams over several micro-batches, restarts and late rows; stores and files."""
 
+import datetime as dt
 import hashlib
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import attempts
 from quire.operators.registry import append_only
 from quire.session import checkpoint_root
 from quire.sources import ingest, stores
@@ -21,39 +25,61 @@ SCORES = "report_id long, event_id long, ts timestamp, score double"
 
 
 def _scores(n):
-    import datetime as dt
-
     start = dt.datetime(2024, 1, 1)
     seq = [10.0, 20.0, 15.0, 12.0, 50.0, 60.0]
     return [(i % 3, i, start + dt.timedelta(minutes=i), seq[(i // 3) % 6]) for i in range(n)]
 
 
-def test_backoff_state_survives_batches_and_restart(spark, tmp_path):
+def test_backoff_in_any_order_equals_the_batch_job(spark, tmp_path):
+    """Scores arrive shuffled over many batches and a restart; the stops are those of the batch job on the same scores."""
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
-    rows = _scores(18)
-    _files(spark, rows[:9], SCORES, src, 3)
+    rows = _scores(36)
+    mixed = rows[:]
+    random.Random(5).shuffle(mixed)
+    close = [(99, 999, rows[-1][2] + dt.timedelta(days=2), 1.0)]  # moves the watermark past all scores
 
     def run():
-        stream = live.backoff_stops(live.read_stream(spark, src, files_per_batch=1))
+        stream = live.backoff_stops(live.read_stream(spark, src, files_per_batch=1), "1 day")
         live.write_batches(stream, out, state, "append").awaitTermination()
 
+    _files(spark, mixed[:20], SCORES, src, 5)
     run()
-    _files(spark, rows[9:], SCORES, src, 3)
+    _files(spark, mixed[20:], SCORES, src, 4)
     run()  # resumes from the stored offsets and state
+    _files(spark, close, SCORES, src, 1)
+    run()
     got = sorted((r.report_id, r.stop_attempt, r.reason) for r in live.read_batches(spark, out).collect())
+    batch = spark.createDataFrame(rows, SCORES).withColumn("day", F.to_date("ts"))
+    stops = attempts.stop_points(attempts.streaks(batch, ["ts", "event_id"], "day")).filter("stop_attempt is not null")
+    assert got == sorted((r.report_id, r.stop_attempt, r.reason) for r in stops.collect())
     # 10, 20, 15, 12: the streak reaches two on the fourth attempt
     assert got == [(0, 4, "backoff"), (1, 4, "backoff"), (2, 4, "backoff")]
 
 
-def test_upsert_over_batches(spark, tmp_path):
+def test_idle_reports_leave_the_state(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    start = dt.datetime(2024, 1, 1)
+    _files(spark, [(1, 1, start, 5.0), (2, 2, start + dt.timedelta(days=9), 5.0), (3, 3, start + dt.timedelta(days=30), 5.0)], SCORES, src, 1)
+
+    def run():
+        stream = live.backoff_stops(live.read_stream(spark, src, files_per_batch=1), "1 hour", idle_ms=24 * 3600 * 1000)
+        q = live.write_batches(stream, out, state, "append")
+        q.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    assert run()[-1] == 1  # only the newest report is left
+
+
+def test_current_table_over_batches(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
-    rows = [(1, 1, "pending"), (2, 2, "pending"), (1, 3, "processing"), (2, 4, "failed"), (1, 5, "completed")]
-    _files(spark, rows, "report_id long, event_id long, status string", src, 2)
-    events = live.read_stream(spark, src, files_per_batch=1).withColumn("ts", F.timestamp_seconds("event_id"))
-    live.write_batches(live.latest_status(events), out, state, "update").awaitTermination()
-    assert len([d for d in os.listdir(out) if d.startswith("batch=")]) >= 3
-    got = {r.report_id: r.status for r in live.upserted(live.read_batches(spark, out)).collect()}
-    assert got == {1: "completed", 2: "failed"}
+    rows = [(1, 1, "pending"), (2, 2, "pending"), (1, 3, "processing"), (2, 4, "failed"), (1, 5, "completed"), (3, 6, "pending"), (3, 7, "failed")]
+    for part in (rows[:3], rows[3:]):  # a restart in between
+        _files(spark, part, "report_id long, event_id long, status string", src, 1)
+        events = live.read_stream(spark, src, files_per_batch=1).withColumn("ts", F.timestamp_seconds("event_id"))
+        live.write_current(live.latest_status(events), out, state, "report_id").awaitTermination()
+    assert sorted(d for d in os.listdir(out) if d.startswith("slot=")) == ["slot=0", "slot=1"]
+    got = {r.report_id: r.status for r in live.read_current(spark, out).collect()}
+    assert got == {1: "completed", 2: "failed", 3: "failed"}
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -101,11 +127,13 @@ def test_append_records_and_registry(spark, tmp_path):
 
 def test_checkpoint_root_prefers_the_session():
     class Session:
-        def __init__(self, value):
-            self.value, self.conf = value, self
+        def __init__(self, value, master="spark://host:7077"):
+            self.value, self.conf, self.sparkContext, self.master = value, self, self, master
 
         def get(self, key, default=None):
             return self.value if key == "spark.checkpoint.dir" else default
 
     assert checkpoint_root(Session("/shared/")) == "/shared"
-    assert os.path.isdir(checkpoint_root(Session(None)))
+    assert os.path.isdir(checkpoint_root(Session(None, "local[8]")))
+    with pytest.raises(ValueError):
+        checkpoint_root(Session(None))
