@@ -29,9 +29,66 @@ DEFAULTS = {
     "body_line_spacing_rule": "auto",
     "body_space_before": "0",
     "body_space_after": "120",
-    "headings.1.font": "Calibri",
-    "headings.1.size_halfpt": "36",
+    "body_first_line_indent_dxa": "0",
+    "body_line_spacing_factors.single": "1.0",
+    "body_line_spacing_factors.1": "1.0",
+    "body_line_spacing_factors.1.0": "1.0",
+    "body_line_spacing_factors.1.5": "1.5",
+    "body_line_spacing_factors.double": "2.0",
+    "cover_title_size_pt": "20.0",
+    "cover_title_leading_factor": "1.15",
+    "cover_title_alignment": "center",
+    "cover_title_space_after_pt": "12.0",
+    "cover_title_bold": "true",
+    "cover_subtitle_size_pt": "10.0",
+    "cover_subtitle_leading_factor": "1.1",
+    "cover_subtitle_alignment": "center",
+    "cover_subtitle_space_after_pt": "10.0",
+    "cover_subtitle_italic": "true",
+    "cover_summary_size_pt": "9.0",
+    "cover_summary_leading_factor": "1.05",
+    "cover_summary_alignment": "center",
+    "cover_summary_space_after_pt": "8.0",
+    "signature_alignment": "center",
+    "signature_label_size_pt": "10.0",
+    "signature_label_bold": "true",
+    "signature_line_size_pt": "10.0",
+    "signature_name_size_pt": "9.0",
+    "signature_name_italic": "false",
+    "signature_block_space_before_pt": "18.0",
+    "heading_leading_factor": "1.2",
+    "list_left_indent_pt": "18.0",
+    "list_block_spacing_pt": "6.0",
+    "has_page_numbers": "false",
+    "page_number_alignment": "center",
+    "prelim_page_format": "lowerRoman",
+    "body_page_format": "decimal",
+    "page_number_section_restart": "false",
+    "detected_section_headings": "[]",
+    "has_toc": "false",
+    "has_list_of_figures": "false",
+    "has_bulleted_lists": "false",
+    "has_numbered_lists": "false",
+    "table_count": "0",
+    "tables_use_borders": "true",
+    "image_count": "0",
+    "has_cover_image": "false",
+    "footer_count": "0",
+    "header_count": "0",
+    "has_markdown_leak": "false",
+    "has_xml_artifact_numbers": "false",
+    "has_mixed_fonts": "false",
+    "has_inconsistent_sizes": "false",
+    "font_substitution_detected": "false",
+    "extraction_warnings": "[]",
+    "confidence": "high",
 }
+# Size, spacing before and after by heading level; what all levels share.
+HEADING_LEVELS = {1: ("36", "240", "120"), 2: ("32", "200", "100"), 3: ("28", "160", "80"), 4: ("26", "120", "60"), 5: ("24", "100", "50"), 6: ("22", "80", "40")}
+HEADING_SHARED = {"font": "Calibri", "bold": "true", "italic": "false", "underline": "false", "caps": "false", "small_caps": "false", "alignment": "left", "numbering": "false"}
+for _level, _own in HEADING_LEVELS.items():
+    _leaves = HEADING_SHARED | dict(zip(("size_halfpt", "space_before", "space_after"), _own))
+    DEFAULTS |= {f"headings.{_level}.{k}": v for k, v in _leaves.items()}
 SPACING_FACTORS = {"single": 1.0, "1": 1.0, "1.0": 1.0, "1.5": 1.5, "double": 2.0}
 REQUIRED = ["page_width_dxa", "page_height_dxa", "margin_top_dxa", "body_font", "body_size_halfpt"]
 MARGINS = ["margin_top_dxa", "margin_bottom_dxa", "margin_left_dxa", "margin_right_dxa"]

@@ -13,15 +13,42 @@ from quire.functions import text as T
 from quire.functions.text import let
 from quire.functions.windows import bucketed
 
-# Fallbacks of the flat style record, fonts that count as substituted, cover markers.
+# Fallbacks of the flat style record.
 FALLBACKS = {
     "body_font": "Times New Roman",
     "body_size_halfpt": "24",
     "body_alignment": "both",
-    "headings_1_font": "Calibri",
-    "headings_1_size_halfpt": "36",
-    "h1_alignment": "left",
+    "body_line_spacing_val": "360",
+    "body_line_spacing_rule": "auto",
+    "body_space_before": "0",
+    "body_space_after": "120",
+    "body_first_line_indent_dxa": "0",
+    "body_is_bold": "false",
+    "body_is_italic": "false",
+    "body_is_underline": "false",
 }
+# Size, spacing before and after by heading level (levels 4 to 6 have no spacing, 5 and 6 no underline).
+HEADING_FALLBACKS = {1: ("36", "240", "120"), 2: ("32", "200", "100"), 3: ("28", "160", "80"), 4: ("26",), 5: ("24",), 6: ("22",)}
+for _level, (_size, *_spaces) in HEADING_FALLBACKS.items():
+    _own = {"font": "Calibri", "size_halfpt": _size, "alignment": "left", "is_bold": "true", "is_italic": "false"}
+    _own |= {"is_underline": "false"} if _level < 5 else {}
+    _own |= dict(zip(("space_before", "space_after"), _spaces))
+    FALLBACKS |= {f"h{_level}_{k}": v for k, v in _own.items()}
+# Page numbers, counts and flags.
+FALLBACKS |= {
+    "has_page_numbers": "false",
+    "page_number_format": "decimal",
+    "page_number_alignment": "center",
+    "element_count_tables": "0",
+    "element_count_images": "0",
+    "element_count_lists": "0",
+    "element_count_paragraphs": "0",
+    "flag_markdown_leak": "false",
+    "flag_artifact_numbers": "false",
+    "flag_mixed_fonts": "false",
+    "flag_inconsistent_spacing": "false",
+}
+# Fonts that count as substituted, cover markers.
 SUBSTITUTED = ["SimSun", "Courier", "Arial", "Calibri"]
 COVER_ROWS, BODY_ROWS = 30, 10
 MARKERS = ["submitted by", "partial fulfillment"]
@@ -188,12 +215,16 @@ def confidence(*fields: str) -> Column:
 
 
 def fill(rows: DataFrame) -> DataFrame:
-    """Headings without a font or alignment of their own inherit the body's, then the fallbacks fill what is left."""
-    own = ["h1_alignment"] if "h1_alignment" in rows.columns else []
-    inherited = rows.withColumn("headings_1_font", F.coalesce("headings_1_font", "body_font")).withColumn(
-        "h1_alignment", F.coalesce(*own, "body_alignment")
-    )
-    return inherited.select("entity", *[F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in FALLBACKS.items()])
+    """entity and every key of the flat style record: the row's own value, else for a heading's font or alignment the
+    body's, else the fallback. A column that ``rows`` lacks counts as null."""
+
+    def own(key: str) -> Column:
+        return F.col(key) if key in rows.columns else F.lit(None).cast("string")
+
+    def body(key: str) -> list[Column]:
+        return [own(f"body_{key[3:]}")] if key[0] == "h" and key[3:] in ("font", "alignment") else []
+
+    return rows.select("entity", *[F.coalesce(own(k), *body(k), F.lit(v)).alias(k) for k, v in FALLBACKS.items()])
 
 
 def find_styles(requests: DataFrame, styles: DataFrame) -> DataFrame:

@@ -38,6 +38,9 @@ def _items():
         yield key, f"'{L.DEFAULTS[key]}'", 0, i, "defaults"
         yield key, f"CASE WHEN {_K} % 3 = 0 THEN NULL ELSE {expr.format(k=_K)} END", 1, i, "extracted"
         yield key, f"CASE WHEN {_K} % 7 = 0 THEN {expr.format(k='(' + _K + ' + 5)')} ELSE NULL END", 2, i, "override"
+    for i, (key, value) in enumerate(L.DEFAULTS.items()):
+        if key not in LAYER:
+            yield key, f"'{value}'", 0, 100 + i, "defaults"
 
 
 def _props():

@@ -244,15 +244,37 @@ def _(spark, d):
     )
 
 
-@query(
-    "l21_inferred_fill",
-    """SELECT entity, coalesce(body_font, 'Times New Roman') AS body_font, coalesce(body_size_halfpt, '24') AS body_size_halfpt,
-    coalesce(body_alignment, 'both') AS body_alignment, coalesce(headings_1_font, body_font, 'Calibri') AS headings_1_font,
-    coalesce(headings_1_size_halfpt, '36') AS headings_1_size_halfpt, coalesce(body_alignment, 'left') AS h1_alignment
-    FROM rule_raw_wide""",
-)
+# A record with own values for some headings; the rest is inherited or falls back.
+_RECORD = ["*", "headings_1_font AS h1_font", "headings_1_size_halfpt AS h1_size_halfpt"]
+_RECORD += ["CASE WHEN entity % 3 = 0 THEN 'center' END AS h1_alignment", "CASE WHEN entity % 4 = 0 THEN 'Georgia' END AS h4_font"]
+_RECORD += ["CASE WHEN entity % 5 = 0 THEN '7' END AS element_count_tables", "CASE WHEN entity % 2 = 0 THEN 'true' END AS h6_is_italic"]
+
+
+def _record_sql() -> str:
+    own = {"h1_font", "h1_size_halfpt", "h1_alignment", "h4_font", "element_count_tables", "h6_is_italic", "body_font", "body_size_halfpt"}
+    own |= {"body_alignment", "body_line_spacing_val", "body_line_spacing_rule", "body_space_before", "body_space_after"}
+    rest = "body_font=Times New Roman body_size_halfpt=24 body_alignment=both body_line_spacing_val=360 body_line_spacing_rule=auto"
+    items = rest.replace("Times New Roman", "Times_New_Roman").split() + ["body_space_before=0", "body_space_after=120"]
+    items += ["body_first_line_indent_dxa=0", "body_is_bold=false", "body_is_italic=false", "body_is_underline=false"]
+    for n, size in enumerate("36 32 28 26 24 22".split(), 1):
+        items += [f"h{n}_font=Calibri", f"h{n}_size_halfpt={size}", f"h{n}_alignment=left", f"h{n}_is_bold=true", f"h{n}_is_italic=false"]
+    items += [f"h{n}_is_underline=false" for n in (1, 2, 3, 4)]
+    items += "h1_space_before=240 h1_space_after=120 h2_space_before=200 h2_space_after=100 h3_space_before=160 h3_space_after=80".split()
+    items += "has_page_numbers=false page_number_format=decimal page_number_alignment=center".split()
+    items += [f"element_count_{x}=0" for x in ("tables", "images", "lists", "paragraphs")]
+    items += [f"flag_{x}=false" for x in ("markdown_leak", "artifact_numbers", "mixed_fonts", "inconsistent_spacing")]
+    out = []
+    for key, value in (i.split("=") for i in items):
+        chain = [key] if key in own else []
+        chain += [f"body_{key[3:]}"] if key[:1] == "h" and key[2:] in ("_font", "_alignment") else []
+        text = value.replace("_", " ")
+        out.append(f"coalesce({', '.join([*chain, repr(text)])}) AS {key}")
+    return f"SELECT entity, {', '.join(out)} FROM (SELECT {', '.join(_RECORD)} FROM rule_raw_wide)"
+
+
+@query("l21_inferred_fill", _record_sql())
 def _(spark, d):
-    return Y.fill(_raw_wide(spark, d))
+    return Y.fill(_raw_wide(spark, d).selectExpr(*_RECORD))
 
 
 @query(
