@@ -18,6 +18,8 @@ from quire.llm.common import shared_root, slices, texts_in
 #: End-of-document identifier of the public vocabulary, and documents written to one file.
 END, PER_FILE = 50256, 5000
 BLOCK = 1 << 20
+#: Text that a worker encodes at a time.
+TEXT_BYTES = 2 << 20
 
 
 def write_token_files(docs: DataFrame, path: str, end: int = END, vocabulary: str | None = None) -> None:
@@ -29,7 +31,7 @@ def write_token_files(docs: DataFrame, path: str, end: int = END, vocabulary: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = memo(vocabulary)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, counts = table.documents(texts_in(batch))
             if len(ids) and (ids.max() > 0xFFFF or (ids == end).any()):
                 raise ValueError("an id is the end identifier or does not fit in 16 bits")
