@@ -20,6 +20,8 @@ from quire.llm.common import slices, texts_in
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces remembered in a worker; beyond it the table starts anew, so memory stays bounded.
 REMEMBERED = 1 << 18
+#: Text or ids that a worker handles at a time.
+CELL_BYTES = 2 << 20
 
 # White space and the letters and numbers below U+02B0, as the public pattern's classes have them.
 SPACE = "\t-\r \x85\xa0"
@@ -220,7 +222,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = memo(path)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=CELL_BYTES):
             ids, counts = table.documents(texts_in(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), binary_column(ids.astype("<u4"), counts)], ["doc_id", "ids"])
 
@@ -233,7 +235,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, begin = token_bytes(path)
         lengths = np.diff(begin)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", CELL_BYTES):
             cells = [x or b"" for x in batch.column(1).to_pylist()]
             ids = np.frombuffer(b"".join(cells), "<u4").astype(np.int64)
             sizes = lengths[ids]
