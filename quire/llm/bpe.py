@@ -22,6 +22,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 REMEMBERED = 1 << 18
 #: Text or ids that a worker handles at a time.
 CELL_BYTES = 2 << 20
+#: Bytes of a piece beyond which it is a matrix of its own, whose rounds merge all places of the leftmost minimum-rank pair.
+LONG = 1024
 
 # White space and the letters and numbers below U+02B0, as the public pattern's classes have them.
 SPACE = "\t-\r \x85\xa0"
@@ -55,7 +57,9 @@ class Merger:
     """Merges of many pieces at once.
 
     Pieces of like length are rows of a padded matrix. Each round every row merges its leftmost pair of minimum rank, found
-    through a hashed pair table, and the row closes its gap; rows without a mergeable pair leave.
+    through a hashed pair table, and the row closes its gap; rows without a mergeable pair leave. A piece of over ``LONG``
+    bytes is alone in its matrix, and a round also merges the pair's later places that do not overlap: they would be the
+    next rounds' choices, because a token's parts have smaller ranks than the token in every trained vocabulary.
     """
 
     NONE = np.int32(2**31 - 1)
@@ -108,8 +112,12 @@ class Merger:
         starts = np.cumsum(lengths) - lengths
         counts = np.zeros(len(words), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []  # rows and their padded ids
-        for width in sorted({1 << int(n - 1).bit_length() for n in lengths.tolist() if n}):
-            bucket = np.flatnonzero((lengths <= width) & (lengths > width // 2))
+        for row in np.flatnonzero(lengths > LONG):
+            ids = self._long(flat[starts[row] : starts[row] + lengths[row]])
+            counts[row] = len(ids)
+            done.append((np.array([row]), ids[None]))
+        for width in sorted({1 << int(n - 1).bit_length() for n in lengths.tolist() if 0 < n <= LONG}):
+            bucket = np.flatnonzero((lengths <= min(width, LONG)) & (lengths > width // 2))
             for part in np.array_split(bucket, max(1, len(bucket) * width >> 20)):
                 if len(part):
                     self._bucket(part, flat, starts, lengths, width, counts, done)
@@ -120,6 +128,24 @@ class Merger:
             out[(begin[rows][:, None] + np.arange(ids.shape[1]))[valid]] = ids[valid]
         return out, counts
 
+    def _long(self, ids: np.ndarray) -> np.ndarray:
+        ids = ids.copy()
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ranks):
+            lowest = ranks.min()
+            if lowest == self.NONE:
+                break
+            at = np.flatnonzero(ranks == lowest)
+            begins = np.diff(at, prepend=-2) > 1  # in a run of overlapping places, every second one from its left end
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))) % 2 == 0]
+            ids[at] = lowest
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            at = at - np.arange(len(at))
+            for k in (at - 1, at):
+                k = k[(k >= 0) & (k < len(ranks))]
+                ranks[k] = self.rank(ids[k], ids[k + 1])
+        return ids
+
     def _bucket(self, rows, flat, starts, lengths, width, counts, done) -> None:
         at = np.arange(width)
         inside = at < lengths[rows][:, None]
