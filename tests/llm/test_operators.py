@@ -184,6 +184,14 @@ def test_documents_over_several_files(spark, tmp_path):
     got = tokencount.token_counts(spark, str(tmp_path), width=4, end=0).orderBy("ordinal").collect()
     assert [(r.ordinal, r.start, r.n_tokens) for r in got] == [(0, 0, 2), (1, 3, 4), (2, 8, 2)]
 
+def test_long_pieces():
+    encoding, rng = reference_encoding(), np.random.default_rng(5)
+    texts = ["a" * 20_001, "international" * 900, " " * 5000, "=-" * 4000, "é" * 3000]
+    texts += ["".join(rng.choice(list(letters), n)) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz") for n in (bpe.LONG, bpe.LONG + 1, 6000)]
+    ids, counts = bpe.Memo(bpe.memo().encode).documents(texts)
+    want = [encoding.encode_ordinary(t) for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
 
 def luhn(number):
     digits = [int(c) for c in reversed(re.sub(r"\D", "", number))]
@@ -217,6 +225,16 @@ def test_pseudonyms(spark):
     assert got[10].n_found == 2 and got[10].kinds == {"ip": 2}
 
 
+def test_pseudonyms_in_very_long_runs(spark):
+    """Unbroken letters, endless domains, and addresses that touch: linear time, nothing overlooked."""
+    texts = ["a" * 300_000 + " 5", "x@" + "a." * 20_000 + "5", "1.2." * 20_000, "a@b.com-c@d.org, e@f.net", "." * 50_000 + "a.b@c.example.org..."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymised(frame).collect()}
+    assert [got[i].text == t for i, t in enumerate(texts)] == [True, True, True, False, False]
+    assert got[3].n_found == 3 and re.fullmatch(r"u\w{12}@mail\.invalidu\w{12}@mail\.invalid, u\w{12}@mail\.invalid", got[3].text)
+    assert got[4].n_found == 1 and got[4].text.endswith("@mail.invalid...")
+
+
 def test_feistel_is_one_to_one(spark):
     frame = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("n"))
     assert frame.select(pii.permuted_digits(F.col("n"), "t").alias("p")).where("length(p) = 3").distinct().count() == 1000
