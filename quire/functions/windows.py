@@ -2,15 +2,14 @@
 
 A plain window puts every row of a key into one task. These helpers cut a key's order into buckets (a time slice, a
 block of positions), work inside each ``(key, bucket)`` first, carry one summary row per bucket over the key, and join
-the carry back. The carry table is smaller than the data by the bucket size, so a key holding a third of all rows is
+the carry back. The caller chooses buckets that hold a bounded number of rows of one key at its data's rate. The carry
+table is smaller than the data by the bucket size, so a key holding a third of all rows is
 spread over as many tasks as it has buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ def bucketed(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     prevs: dict[str, Column] | None = None,
+    keep_slot: bool = False,
 ) -> DataFrame:
     """Running values over ``keys`` ordered by ``order``.
 
@@ -32,44 +32,41 @@ def bucketed(
     lasts: name -> value; last non-null value up to and including the row
     prevs: name -> value; value of the row before (null on a key's first row); values must not be null
     ``bucket`` must be monotone in ``order``.
+
+    The rows move once, to their slot (keys and bucket as one value, so null keys are a key of their own). The carry is
+    combined before it moves, and joins on the slot. keep_slot=True leaves the column ``_slot`` for a further call, whose
+    rows then stay where they are.
     """
     sums, lasts, prevs = sums or {}, lasts or {}, prevs or {}
-    local = Window.partitionBy(*keys, bucket).orderBy(*order)
+    values = {**sums, **lasts, **prevs}
+    rows = df if "_slot" in df.columns else df.withColumn("_slot", F.struct(*keys, F.col(bucket).alias("_bucket")))
+    rows = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
+    local = Window.partitionBy("_slot").orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for n, c in {**sums, **lasts, **prevs}.items():
-        out = out.withColumn(f"_v_{n}", c)
-    out = out.select(
+    out = rows.select(
         "*",
         *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in sums],
         *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in lasts],
         *[F.lag(f"_v_{n}").over(local).alias(f"_l_{n}") for n in prevs],
     )
     rank = F.struct(*order)
-    carry = df
-    for n, c in {**sums, **lasts, **prevs}.items():
-        carry = carry.withColumn(f"_v_{n}", c)
-    carry = carry.groupBy(*keys, bucket).agg(
+    carry = rows.groupBy("_slot").agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_t_{n}") for n in lasts],
         *[F.max_by(f"_v_{n}", rank).alias(f"_t_{n}") for n in prevs],
     )
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    on = [*keys, bucket]
+    before = Window.partitionBy(*[f"_slot.{k}" for k in keys]).orderBy("_slot._bucket")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)],
+        "_slot",
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
-        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in prevs],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in [*lasts, *prevs]],
     )
-    # Null keys are a key of their own, as in a plain window.
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(on)]
-    joined = out.join(carry, reduce(and_, match))
-    return joined.select(
-        *[c for c in df.columns],
+    return out.join(carry, "_slot").select(
+        *[c for c in df.columns if c != "_slot"],
         *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_c_{n}")).alias(n) for n in sums],
-        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in lasts],
-        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in prevs],
+        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in [*lasts, *prevs]],
+        *(["_slot"] if keep_slot else []),
     )
 
 

@@ -28,14 +28,15 @@ def attempt_score(accepted: Column, similarity: Column, visual: Column, heading_
     return F.when(F.coalesce(accepted, F.lit(False)), 100.0).otherwise(F.round(mixed, 2).cast("double"))
 
 
-def numbered(scores: DataFrame, order: list[str], bucket: str) -> DataFrame:
+def numbered(scores: DataFrame, order: list[str], bucket: str, keep_slot: bool = False) -> DataFrame:
     """scores: report_id, score, order columns, bucket -> attempt (1-based) and prev score."""
-    return bucketed(scores, ["report_id"], bucket, order, sums={"attempt": F.lit(1)}, prevs={"prev": F.col("score")})
+    sums, prevs = {"attempt": F.lit(1)}, {"prev": F.col("score")}
+    return bucketed(scores, ["report_id"], bucket, order, sums=sums, prevs=prevs, keep_slot=keep_slot)
 
 
 def streaks(scores: DataFrame, order: list[str], bucket: str) -> DataFrame:
     """Adds attempt, prev, streak (attempts since the last improvement) and stalled (the last two deltas are small)."""
-    rows = numbered(scores, order, bucket)
+    rows = numbered(scores, order, bucket, keep_slot=True)
     delta = F.col("score").cast("decimal(12,2)") - F.col("prev").cast("decimal(12,2)")
     rows = rows.withColumn("_delta", F.coalesce(delta, F.lit(_FAR).cast("decimal(13,2)")))
     improved = F.col("prev").isNull() | (F.col("score") > F.col("prev"))

@@ -193,7 +193,9 @@ def _(spark, d):
     reports = e.select(
         "user_id", F.col("event_id").alias("report_id"), F.when(F.col("event_type") != "error", F.col("ts")).alias("created_at")
     )
-    bucket = F.coalesce(-F.unix_date(F.to_date("created_at")), F.lit(2**30))
+    # Days, newest first; reports without a time follow in slices of their identifiers.
+    late = F.lit(2**40) + F.expr("report_id div 4096")
+    bucket = F.coalesce(-F.unix_date(F.to_date("created_at")).cast("bigint"), late)
     return H.newest_first(reports, bucket).select("user_id", "report_id", "rank")
 
 

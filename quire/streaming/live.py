@@ -106,7 +106,7 @@ def batch_sessions(events: DataFrame, gap_seconds: int, bucket: str) -> DataFram
     from quire.functions.windows import bucketed
 
     order = ["ts", "event_id"]
-    rows = bucketed(events, ["user_id"], bucket, order, prevs={"_prev": F.unix_micros("ts")})
+    rows = bucketed(events, ["user_id"], bucket, order, prevs={"_prev": F.unix_micros("ts")}, keep_slot=True)
     fresh = F.col("_prev").isNull() | (F.unix_micros("ts") - F.col("_prev") >= gap_seconds * 1_000_000)
     rows = bucketed(rows, ["user_id"], bucket, order, sums={"session": F.coalesce(fresh.cast("int"), F.lit(1))})
     return rows.groupBy("user_id", "session").agg(

@@ -35,6 +35,19 @@ def test_one_exchange_below_the_explode(spark, sf, name):
     assert len(moved) <= (1 if name == "p03_packing" else 0)  # packing also groups by capacity
 
 
+@pytest.mark.parametrize("name", ["q29_delta_class", "h01_newest_first", "h10_stage_latency", "q28_streaks", "h13_batch_sessions"])
+def test_ordered_values_move_the_rows_once(spark, sf, name):
+    """Every slot exchange but one is below the carry's aggregate: rows that lie in their slot stay there."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(spark, QUERIES[name](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = text[: text.index("FileScan")].splitlines()  # the path of the rows themselves comes first
+    assert len([line for line in first if re.search(r"Exchange hashpartitioning\(_slot", line)]) == 1
+    assert "<=>" not in text
+
+
 def test_bucketed_documents_need_no_exchange(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     stores.save_documents(docs, "quire_test_documents", 4, str(tmp_path / "docs"))
