@@ -172,6 +172,29 @@ def stage_latency(events: DataFrame, bucket: str) -> DataFrame:
     )
 
 
+def stage_spans(events: DataFrame, key: str, stages: dict[str, tuple[str, str]], bucket: str) -> DataFrame:
+    """key, stage, event_id, elapsed_ms: each end event with the latest start event of its stage before it.
+
+    stages: name -> (start event, end event). An end without a start has no span.
+    """
+    micros = F.unix_micros("ts")
+    lasts = {f"_s_{n}": F.when(F.col("event") == start, micros) for n, (start, _) in stages.items()}
+    rows = bucketed(events, [key], bucket, ["ts", "event_id"], lasts=lasts)
+    stage, began = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for n, (_, end) in stages.items():
+        stage = F.when(F.col("event") == end, n).otherwise(stage)
+        began = F.when(F.col("event") == end, F.col(f"_s_{n}")).otherwise(began)
+    # Milliseconds with two decimals, rounded half up, as exact hundredths.
+    rows = rows.select(key, stage.alias("stage"), "event_id", (micros - began + 5).alias("_us"))
+    elapsed = (F.expr("_us div 10").cast("decimal(20,0)") / 100).cast("decimal(20,2)")
+    return rows.filter(F.col("_us").isNotNull()).select(key, "stage", "event_id", elapsed.alias("elapsed_ms"))
+
+
+def report_stages(spans: DataFrame, key: str) -> DataFrame:
+    """key, stage, runs, elapsed_ms: the stage's time per report."""
+    return spans.groupBy(key, "stage").agg(F.count("*").alias("runs"), F.sum("elapsed_ms").cast("double").alias("elapsed_ms"))
+
+
 def clip_record(rows: DataFrame) -> DataFrame:
     """Clip request maps and file entries to their stored lengths."""
     clip = lambda m, n: F.transform_values(m, lambda _, v: F.substring(v, 1, n))

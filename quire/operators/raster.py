@@ -89,23 +89,40 @@ def compare(pairs: DataFrame, a: str, b: str, *ids: str) -> DataFrame:
     return m.select(*ids, F.round(ssim, 6).alias("ssim"), F.round(v("ad") / n, 6).alias("mad"))
 
 
-def baseline_check(actual: DataFrame, baseline: DataFrame, key: str, gate: float = SSIM_GATE) -> DataFrame:
-    """key, pages_expected, pages_actual, mean_ssim, failures, passed.
-
-    Pages are paired by key and number; pages without a partner count as one page-count failure, a key without any
-    baseline page as one missing-baseline failure.
-    """
+def paired_pages(actual: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
+    """key, page, has_a, has_b, ssim, mad: pages paired by key and number; scores only where both are there."""
     a = actual.select(key, "page", F.col("pixels").alias("a"))
     b = baseline.select(key, "page", F.col("pixels").alias("b"))
     joined = a.join(b, [key, "page"], "full_outer")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    scored = compare(
+    return compare(
         joined.select(
             key, "page", F.col("a").isNotNull().alias("has_a"), F.col("b").isNotNull().alias("has_b"),
             F.when(both, F.col("a")).alias("a"), F.when(both, F.col("b")).alias("b"),
         ),
         "a", "b", key, "page", "has_a", "has_b",
     )
+
+
+def baseline_failures(actual: DataFrame, baseline: DataFrame, key: str, gate: float = SSIM_GATE) -> DataFrame:
+    """key, page, ssim, reason: one row per page below the gate; page 0 stands for a key whose page counts differ, or that
+    has no baseline page at all (then its only row)."""
+    scored = paired_pages(actual, baseline, key)
+    low = scored.filter(F.col("ssim") < gate).select(key, "page", "ssim", F.lit(f"ssim_below_threshold threshold={gate}").alias("reason"))
+    g = scored.groupBy(key).agg(F.count_if("has_b").alias("expected"), F.count_if("has_a").alias("got"))
+    mismatch = F.format_string("page_count_mismatch expected=%d actual=%d", "expected", "got")
+    reason = F.when(F.col("expected") == 0, "baseline_missing").otherwise(mismatch)
+    whole = g.filter(F.col("expected") != F.col("got"))
+    return low.unionByName(whole.select(key, F.lit(0).cast(scored.schema["page"].dataType).alias("page"), F.lit(0.0).alias("ssim"), reason.alias("reason")))
+
+
+def baseline_check(actual: DataFrame, baseline: DataFrame, key: str, gate: float = SSIM_GATE) -> DataFrame:
+    """key, pages_expected, pages_actual, mean_ssim, failures, passed.
+
+    Pages without a partner count as one page-count failure, a key without any baseline page as one missing-baseline
+    failure; ``baseline_failures`` lists them.
+    """
+    scored = paired_pages(actual, baseline, key)
     g = scored.groupBy(key).agg(
         F.count_if("has_b").alias("pages_expected"),
         F.count_if("has_a").alias("pages_actual"),

@@ -322,6 +322,22 @@ def _(spark, d):
     return H.stage_latency(e, DAY)
 
 
+@query(
+    "h10_report_stages",
+    """SELECT report_id, stage, count(*) AS runs, sum((us - s + 5) // 10)::DOUBLE / 100 AS elapsed_ms
+    FROM (SELECT report_id, us, CASE event_type WHEN 'purchase' THEN 'layout' WHEN 'signup' THEN 'input' END AS stage,
+    CASE event_type WHEN 'purchase' THEN last_value(CASE WHEN event_type = 'click' THEN us END IGNORE NULLS) OVER w
+    WHEN 'signup' THEN last_value(CASE WHEN event_type = 'view' THEN us END IGNORE NULLS) OVER w END AS s
+    FROM (SELECT *, event_id % 500 AS report_id, epoch_us(ts) AS us FROM events)
+    WINDOW w AS (PARTITION BY report_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    WHERE s IS NOT NULL GROUP BY report_id, stage""",
+)
+def _(spark, d):
+    e = events(spark, d).withColumnRenamed("event_type", "event").withColumn("report_id", F.col("event_id") % 500)
+    spans = H.stage_spans(e, "report_id", {"input": ("view", "signup"), "layout": ("click", "purchase")}, DAY)
+    return H.report_stages(spans, "report_id")
+
+
 _KINDS = {"candidate": "view", "retry": "click", "selected": "signup", "used": "purchase", "error": "error"}
 
 

@@ -527,6 +527,17 @@ def _(spark, d):
     return X.compare(_neighbours(spark, d), "a", "b", "vec_id").select("vec_id", "mad")
 
 
+def _page_sets(spark, d):
+    """Pages as they are and as the baseline has them."""
+    pix = v_pix(spark, d).select(
+        F.expr("vec_id div 4").alias("doc_key"), (F.col("vec_id") % 4 + 1).alias("page"), "label", "pixels"
+    )
+    baseline = pix.filter(F.col("label") != 0).withColumn(
+        "pixels", F.when(F.col("label") < 5, F.col("pixels")).otherwise(F.reverse("pixels"))
+    )
+    return pix, baseline
+
+
 @query(
     "q32_baseline_check",
     f"""WITH cells AS (SELECT vec_id // 4 AS doc_key, vec_id, label, i, pixels[i] AS va, CASE WHEN label = 0 THEN NULL WHEN label < 5
@@ -542,10 +553,21 @@ def _(spark, d):
     pages_expected <> pages_actual THEN 1 ELSE 0 END END AS f FROM g)""",
 )
 def _(spark, d):
-    pix = v_pix(spark, d).select(
-        F.expr("vec_id div 4").alias("doc_key"), (F.col("vec_id") % 4 + 1).alias("page"), "label", "pixels"
-    )
-    baseline = pix.filter(F.col("label") != 0).withColumn(
-        "pixels", F.when(F.col("label") < 5, F.col("pixels")).otherwise(F.reverse("pixels"))
-    )
-    return X.baseline_check(pix, baseline, "doc_key")
+    return X.baseline_check(*_page_sets(spark, d), "doc_key")
+
+
+@query(
+    "q32_failure_rows",
+    f"""WITH cells AS (SELECT vec_id // 4 AS doc_key, vec_id % 4 + 1 AS page, label, pixels[i] AS va, CASE WHEN label = 0 THEN NULL
+        WHEN label < 5 THEN pixels[i] ELSE pixels[65 - i] END AS vb FROM v_pix, range(1, 65) AS t(i)),
+    pg AS (SELECT doc_key, page, any_value(label) <> 0 AS has_b, avg(va) AS mx, avg(vb) AS my, avg(va * va) AS sxx, avg(vb * vb) AS syy,
+        avg(va * vb) AS sxy FROM cells GROUP BY doc_key, page),
+    sc AS (SELECT *, round(greatest(-1.0, least(1.0, (2 * mx * my + {X.C1}) * (2 * (sxy - mx * my) + {X.C2}) / ((mx * mx + my * my
+        + {X.C1}) * ((sxx - mx * mx) + (syy - my * my) + {X.C2})))), 6) AS ssim FROM pg)
+    SELECT doc_key, page, ssim, 'ssim_below_threshold threshold=0.97' AS reason FROM sc WHERE has_b AND ssim < 0.97
+    UNION ALL SELECT doc_key, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CASE WHEN count(*) FILTER (has_b) = 0 THEN 'baseline_missing' ELSE
+    'page_count_mismatch expected=' || count(*) FILTER (has_b) || ' actual=' || count(*) END FROM sc GROUP BY doc_key
+    HAVING count(*) FILTER (has_b) <> count(*)""",
+)
+def _(spark, d):
+    return X.baseline_failures(*_page_sets(spark, d), "doc_key")

@@ -152,6 +152,11 @@ def _(spark, d):
     return I.summary(_ingested(spark, d))
 
 
+@query("s07_file_entries", "SELECT job_id, pos, filename, mime, role, status, bytes, error FROM ingested")
+def _(spark, d):
+    return I.file_entries(_ingested(spark, d))
+
+
 def _cells(spark, d):
     return table(spark, d, "lineitem").selectExpr(
         "l_orderkey div 8 AS book",

@@ -152,8 +152,14 @@ def role_texts(ingested: DataFrame, max_chars: int, bucket: Column) -> DataFrame
     return joined.withColumn("text", F.substring(T.strip(F.col("text")), 1, max_chars))
 
 
+def file_entries(ingested: DataFrame) -> DataFrame:
+    """The summary's per-file list as rows: job_id, pos, filename, mime, role, status, bytes (processed) or error (failed)."""
+    done = F.col("status") == "processed"
+    return ingested.select("job_id", "pos", "filename", "mime", "role", "status", F.when(done, F.col("bytes")).alias("bytes"), "error")
+
+
 def summary(ingested: DataFrame) -> DataFrame:
-    """job_id, processed, failed, bytes. The per-file list is the ingested table itself, not a gathered array."""
+    """job_id, processed, failed, bytes. The per-file list is ``file_entries``, not a gathered array."""
     return ingested.groupBy("job_id").agg(
         F.count_if(F.col("status") == "processed").alias("processed"),
         F.count_if(F.col("status") == "failed").alias("failed"),

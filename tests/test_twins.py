@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quire.functions.windows import bucketed
-from quire.operators import attempts, blocks, packing, presets, similarity, styles
+from quire.operators import attempts, blocks, history, packing, presets, raster, similarity, styles
 from quire.sources import ingest
 
 
@@ -186,3 +186,24 @@ def test_mode_tie_takes_first_seen(spark):
     rows = [(1, 0, "x"), (1, 1, "y"), (1, 2, "y"), (1, 3, "x"), (1, 4, None)]
     df = spark.createDataFrame(rows, "doc long, pos long, v string")
     assert styles.first_mode(df, ["doc"], "v", "pos").first().v == "x"
+
+
+def test_stage_spans_pair_each_end_with_the_latest_start(spark):
+    rows = [(1, 1, 0.0, "a_start"), (1, 2, 1.0, "a_start"), (1, 3, 1.5, "a_end"), (1, 4, 2.0, "b_end"), (2, 5, 3.0, "a_end"),
+            (None, 6, 4.0, "a_start"), (None, 7, 9.25, "a_end"), (1, 8, 90_000.0, "a_end")]
+    df = spark.createDataFrame(rows, "k long, event_id long, s double, event string").withColumn("ts", F.col("s").cast("timestamp"))
+    df = df.withColumn("day", F.to_date("ts"))
+    spans = history.stage_spans(df, "k", {"a": ("a_start", "a_end"), "b": ("b_start", "b_end")}, "day")
+    assert sorted((str(r.k), r.stage, r.event_id, float(r.elapsed_ms)) for r in spans.collect()) == [
+        ("1", "a", 3, 500.0), ("1", "a", 8, 89_999_000.0), ("None", "a", 7, 5250.0)
+    ]
+    assert {(str(r.k), r.runs, r.elapsed_ms) for r in history.report_stages(spans, "k").collect()} == {("1", 2, 89_999_500.0), ("None", 1, 5250.0)}
+
+
+def test_baseline_failure_rows(spark):
+    page = [float(i % 7) for i in range(64)]
+    other = [float((i * 5) % 11) * 20 for i in range(64)]
+    actual = spark.createDataFrame([("x", 1, page), ("x", 2, other), ("y", 1, page), ("z", 1, page)], "k string, page long, pixels array<double>")
+    base = spark.createDataFrame([("x", 1, page), ("x", 2, page), ("x", 3, page), ("z", 1, page)], "k string, page long, pixels array<double>")
+    got = sorted((r.k, r.page, r.reason) for r in raster.baseline_failures(actual, base, "k").collect())
+    assert got == [("x", 0, "page_count_mismatch expected=3 actual=2"), ("x", 2, "ssim_below_threshold threshold=0.97"), ("y", 0, "baseline_missing")]
