@@ -23,8 +23,8 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
     Texts are equal if identical after every run of blanks is one space; null counts as empty. Content sort: Spark samples
     splitters over (beginning, hash, salt) and deals rows into ranges, each range is sorted externally by these and the
-    whole text, neighbours that are equal in full form a run whose head is its smallest doc_id, and the heads of a text's few runs are merged. Only this pass moves texts. Repeated
-    doc_ids are kept as separate rows; other columns, whatever their names, are ignored; an empty table gives no rows.
+    whole text, neighbours that are equal in full form a run whose head is its smallest doc_id, and the heads of a text's
+    few runs are merged. Only this pass moves texts. Repeated doc_ids are kept as separate rows; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", normalised().alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_salt"))
     keyed = keyed.withColumn("_start", F.substring("_text", 1, PREFIX)).withColumn("_hash", F.xxhash64("_text"))

@@ -137,8 +137,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
 
     Pieces are dealt into groups of about ``share`` and packed by best fit decreasing. Lower bounds certify each group's
     count. While the total is above the bound of the whole table (from the at most ``capacity`` counts per length), groups
-    with a gap, and if none has one all groups, exchange the pieces of their unfilled sequences and are packed again; a
-    round that saves nothing is the last and is not used. Every input row is packed, repeated doc_ids too; an empty table
+    with a gap (in every second round, or if none has one, all groups) exchange the pieces of their unfilled sequences and
+    are packed again; a round that saves nothing is the last and is not used. Every input row is packed, repeated doc_ids too; an empty table
     gives no rows.
     """
     items = saved(token_pieces(docs, capacity, end, path), "pieces")
