@@ -142,6 +142,20 @@ def test_language_model_scores(spark, sf, docs, local, odd_docs):
     assert hpylm.scored(odd_docs.limit(0)).count() == 0
 
 
+def test_heavy_words_anywhere(spark):
+    """Frequent only behind the beginning of long texts, or only in the last of many rows."""
+    code = lambda w: xxhash.xxh3_64_intdigest(w)
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    deep = [(k, own(k, 900) + " hot" * 500) for k in range(4)]
+    late = [(k, own(k, 3)) for k in range(2500)] + [(2500 + k, "hot " * 400) for k in range(20)]
+    for rows in (deep, late):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        counts = Counter(w for _, t in rows for w in hpylm.words_of(t))
+        n = sum(counts.values())
+        want = {code(w) for w, c in counts.items() if c * hpylm.HEAVY > n}
+        assert code(b"hot") in want and set(hpylm.heavy_words(frame).tolist()) == want
+
+
 def test_byte_pairs_round_trip(docs, local, odd_docs):
     encoding = reference_encoding()
     for frame, rows in ((docs, local), (odd_docs, odd_docs.toPandas())):
