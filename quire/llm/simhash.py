@@ -149,12 +149,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Words are runs of non-blanks after lower-casing A-Z; shingles have three words; fingerprints link at two or fewer
     differing bits. Equal fingerprints are compared once. Texts without words all have fingerprint zero and link like any
-    other. Repeated doc_ids stay separate rows; other columns are ignored; an empty table gives no rows.
+    other. Rows without doc_id link too; component_id is null only if no row of the group has a doc_id. Repeated doc_ids
+    stay separate rows; other columns are ignored; an empty table gives no rows.
     """
     marked = saved(fingerprints(docs), "fingerprints")
-    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    groups = components(near_links(distinct)).withColumnRenamed("id", "_id")
-    heads = distinct.join(groups, distinct["id"] == groups["_id"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
+    distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    # a fingerprint is its own id, as those of rows without doc_id need one too
+    groups = components(near_links(distinct.select(F.col("fp").alias("id"), "fp"))).withColumnRenamed("id", "_id")
+    heads = saved(distinct.join(groups, distinct["fp"] == groups["_id"], "left").select(F.col("fp").alias("_fp"), "low", F.coalesce("component", "fp").alias("_head")), "heads")
+    lowest = heads.groupBy("_head").agg(F.min("low").alias("component_id"))
+    heads = heads.join(lowest, "_head").select("_fp", "component_id")
     return marked.join(heads, marked["fp"] == heads["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

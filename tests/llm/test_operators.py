@@ -287,6 +287,27 @@ def test_simhash_groups(docs, local, odd_docs):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_simhash_of_near_copies_without_id(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(50):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 600)]
+        texts = [" ".join(base), " ".join([*base[:300], "other", *base[301:]]), " ".join([*base[:500], "more", *base[501:]])]
+        fps = [simhash.fingerprint(simhash.shingle_hashes(t)) for t in texts]
+        if len({*fps}) == 3 and all((fps[0] ^ f).bit_count() <= 2 for f in fps[1:]):
+            break
+    else:
+        raise AssertionError("no near copies drawn")
+    alone = " ".join(f"v{k}" for k in range(600))
+    for ids in ((7, None, 3), (None, 5, 9), (5, None, None), (None, None, None)):
+        rows = [*zip(ids, texts, strict=True), (None, alone), (20, "one more text")]
+        got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        low = min((i for i in ids if i is not None), default=None)
+        hexes = [f"{f:016x}" for f in fps]
+        assert sorted((r.fingerprint, str(r.doc_id)) for r in got if r.fingerprint in hexes) == sorted(zip(hexes, map(str, ids), strict=True))
+        assert all(r.component_id == low for r in got if r.fingerprint in hexes)
+        assert sorted((str(r.doc_id), str(r.component_id)) for r in got if r.fingerprint not in hexes) == [("20", "20"), ("None", "None")]
+
+
 def test_hot_simhash_key_is_split(spark):
     rng = np.random.default_rng(6)
     fps = np.unique(rng.integers(0, 1 << 12, 600, dtype=np.int64))  # all equal in the upper blocks
