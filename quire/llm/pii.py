@@ -12,11 +12,15 @@ SHAPES = {
     # begins where its characters begin or the match before ended, and never gives characters back: linear in any text
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
-    "date": r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-])|(?<![\w./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![\w/])",
+    "date": r"(?:(?<![\w.-])|(?<=[0-9]{4}-[0-9]{2}-[0-9]{2}-))[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?!\w)|(?=[Tt][0-9]{2}))|(?<![\w./])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?:(?![\w/])|(?=[Tt][0-9]{2}))",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])",
-    "card": r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
+    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])"
+    # in pairs behind a country code; plain, with or without the long-distance 1
+    r"|(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\(0\) ?)?[0-9]{1,4}(?:[ .-][0-9]{2}){3,4}(?![\w-])|(?<![\w.+-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9])",
 }
+# A run of digit groups of 13 digits or more, which may hold card numbers; it ends before a value of another shape.
+GROUP = r"[0-9]++(?!\w|-(?![0-9]))"
+SHAPES["card"] = rf"(?<![\w-])(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ -](?!{'|'.join(SHAPES[k] for k in ('date', 'ssn', 'phone'))}){GROUP})*+"
 ANY = "|".join(SHAPES.values())
 #: 28-year cycles of the Julian rule that the Gregorian calendar follows from 1901-01-01 to 2096-12-31: 147 x 487 days.
 FIRST_DAY, DAYS = "1901-01-01", (147, 487)
@@ -125,36 +129,93 @@ def _is(kind: str, m: Column) -> Column:
 
 
 def valid(m: Column) -> Column:
-    """Kind of a match, or null if its number or date cannot be real."""
-    number = digits(m)
+    """Kind of a match that is one value, or null if its number or date cannot be real, or if it is a run of digit groups."""
     octets = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     good_ssn = ~m.substr(1, 3).isin("000", "666") & (m.substr(1, 1) != "9") & (m.substr(5, 2) != "00") & (m.substr(8, 4) != "0000")
     good_day = _day(m).between(F.lit(FIRST_DAY).cast("date"), F.lit("2096-12-31").cast("date"))
-    good_card = F.length(number).between(13, 19) & (luhn_sum(number) % 10 == 0)
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(_is("ip", m), F.when(octets, F.lit("ip")))
         .when(_is("date", m), F.when(good_day, F.lit("date")))
         .when(_is("ssn", m), F.when(good_ssn, F.lit("ssn")))
         .when(_is("phone", m), F.lit("phone"))
-        .when(good_card, F.lit("card"))
     )
 
 
+def _good_card(number: Column) -> Column:
+    return F.when(F.length(number).between(13, 19), luhn_sum(number) % 10 == 0).otherwise(False)
+
+
+def _cards(groups: Column) -> Column:
+    """(first, size) of the card numbers among digit groups: whole groups of together 13 to 19 digits that pass Luhn.
+
+    All groups together come first; then, from left to right, the fewest groups that are a number. One that meets a later
+    one of fewer groups gives way to it, unless that gives way itself.
+    """
+
+    def fewest(i: Column) -> Column:
+        near = F.transform(F.sequence(i, F.least(i + 18, F.size(groups))), lambda j: digits(F.get(groups, j - 1)))
+        numbers = lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda k: F.array_join(F.slice(w, 1, k), ""))
+        size = lambda w: F.array_position(F.transform(numbers(w), _good_card), True).cast("int")
+        return F.struct(i.alias("first"), F.element_at(F.transform(F.array(near), size), 1).alias("size"))
+
+    def inside(windows: Column, w: Column) -> Column:
+        later = F.transform(F.sequence(w["first"], w["first"] + w["size"] - 1), lambda j: F.get(windows, j - 1))
+        return F.filter(later, lambda v: (v["size"] > 0) & (v["size"] < w["size"]))
+
+    free = lambda acc, w: F.size(acc).eqNullSafe(0) | (F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["size"] <= w["first"])
+
+    def picked(windows: Column) -> Column:
+        stays = lambda w: (w["size"] > 0) & ~F.exists(inside(windows, w), lambda v: F.size(inside(windows, v)) == 0)
+        return F.aggregate(F.filter(windows, stays), F.array().cast("array<struct<first:int,size:int>>"), lambda acc, w: F.when(free(acc, w), F.concat(acc, F.array(w))).otherwise(acc))
+
+    windows = F.transform(F.sequence(F.lit(1), F.size(groups)), fewest)
+    whole = F.element_at(F.transform(F.array(digits(F.array_join(groups, ""))), _good_card), 1)
+    all_ = F.array(F.struct(F.lit(1).alias("first"), F.size(groups).alias("size")))
+    return F.when(whole, all_).otherwise(F.element_at(F.transform(F.array(windows), picked), 1))
+
+
+def _run(m: Column, key: str) -> Column:
+    """(text, kinds) of a run of digit groups with its card numbers replaced."""
+
+    def rebuilt(r: Column) -> Column:
+        groups, cards = r["groups"], r["cards"]
+        # groups are read by place, as a slice would go through all of them each time
+        part = lambda i, n: F.when(n > 0, F.array_join(F.transform(F.sequence(i, i + n - 1), lambda j: F.get(groups, j - 1)), "")).otherwise("")
+        end = lambda c: c["first"] + c["size"]
+        before = lambda i: F.when(i == 0, F.lit(1)).otherwise(end(F.get(cards, i - 1)))
+        pieces = F.transform(cards, lambda c, i: F.concat(part(before(i), c["first"] - before(i)), _card(part(c["first"], c["size"]), key)))
+        last = before(F.size(cards))
+        text = F.concat(F.array_join(pieces, ""), part(last, F.size(groups) - last + 1))
+        return F.struct(text.alias("text"), F.transform(cards, lambda c: F.lit("card")).alias("kinds"))
+
+    with_cards = lambda g: F.struct(g.alias("groups"), _cards(g).alias("cards"))
+    groups = F.array(F.regexp_extract_all(m, F.lit("[ -]?[0-9]+"), F.lit(0)))
+    return F.element_at(F.transform(F.transform(groups, with_cards), rebuilt), 1)
+
+
+def replaced(m: Column, key: str = KEY) -> Column:
+    """(text, kinds): what stands for a match, and the kinds of the values in it; one that is not valid stays as it is."""
+
+    def made(k: Column) -> Column:
+        out = F.when(k.isNull(), m)
+        for name, make in {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone}.items():
+            out = out.when(k == name, make(m, key))
+        one = F.struct(out.alias("text"), F.filter(F.array(k), lambda x: x.isNotNull()).alias("kinds"))
+        return F.when(k.isNull() & _is("card", m), _run(m, key)).otherwise(one)
+
+    return F.element_at(F.transform(F.array(valid(m)), made), 1)
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The value that stands for a match; a match that is not valid stays as it is."""
-    kind = valid(m)
-    made = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
-    out = F.when(kind.isNull(), m)
-    for name, make in made.items():
-        out = out.when(kind == name, make(m, key))
-    return out
+    return replaced(m, key)["text"]
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """``docs`` with personal values in ``column`` replaced and two columns added: n_found, kinds (kind to count).
 
-    Card numbers (Luhn), phone numbers, social security numbers, IPv4 addresses and dates become other valid values of the
+    Card numbers (Luhn; also beside other digit groups), phone numbers (behind a country code, also in pairs, with an area
+    code in parentheses, or plain as 3-3-4 digits), social security numbers, IPv4 addresses and dates (also of date-times) become other valid values of the
     same form by keyed permutation; a mail address becomes a keyed pseudonym. Equal values are equal afterwards in every
     document, whatever separates their digits. Null texts stay null with nothing found. If ``docs`` already has columns of
     the added names, they are replaced. Rows are handled one by one: no exchange, no order, repeated rows stay repeated.
@@ -168,9 +229,9 @@ def _rewritten(docs: DataFrame, key: str, column: str) -> DataFrame:
     rows = docs.drop("n_found", "kinds").withColumn("_found", found)
     has = F.size("_found") > 0
     between = F.split(text, ANY, -1)
-    new = F.transform("_found", lambda m: pseudonym(m, key))
-    whole = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    kinds = F.filter(F.transform("_found", valid), lambda k: k.isNotNull())
+    rows = rows.withColumn("_new", F.transform("_found", lambda m: replaced(m, key)))
+    whole = F.array_join(F.zip_with(between, F.concat(F.col("_new.text"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    kinds = F.flatten(F.col("_new.kinds"))
     rows = rows.withColumn("_kinds", F.when(has, kinds)).withColumn(column, F.when(has, whole).otherwise(text))
     count = F.map_from_entries(F.transform(F.array_distinct("_kinds"), lambda k: F.struct(k, F.size(F.filter("_kinds", lambda x: x == k)))))
-    return rows.withColumn("n_found", F.when(has, F.size("_kinds")).otherwise(0).cast("long")).withColumn("kinds", F.when(has, count)).drop("_found", "_kinds")
+    return rows.withColumn("n_found", F.when(has, F.size("_kinds")).otherwise(0).cast("long")).withColumn("kinds", F.when(has, count)).drop("_found", "_new", "_kinds")

@@ -239,6 +239,34 @@ def test_pseudonyms(spark):
     assert got[10].n_found == 2 and got[10].kinds == {"ip": 2}
 
 
+def test_pseudonyms_beside_other_digits(spark):
+    cases = [
+        ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card", " 123"),
+        ("4111111111111111 12/27", "4111111111111111", "card", " 12/27"),
+        ("qty 2 4111111111111111", "4111111111111111", "card", "qty 2 "),
+        ("99 98 97 96 95 4111 1111 1111 1111", "4111 1111 1111 1111", "card", "99 98 97 96 95 "),
+        ("4111111111111111-2", "4111111111111111", "card", "-2"),
+        ("call 555-123-4567", "555-123-4567", "phone", "call "),
+        ("212 555 0100.", "212 555 0100", "phone", "."),
+        ("1-800-555-0100", "800-555-0100", "phone", "1-"),
+        ("+33 1 23 45 67 89", "1 23 45 67 89", "phone", "+"),
+        ("1984-02-29T10:15:00Z", "1984-02-29", "date", "T10:15:00Z"),
+        ("1984-02-29-10:15", "1984-02-29", "date", "-10:15"),
+        ("29.02.1984T10:15", "29.02.1984", "date", "T10:15"),
+    ]
+    texts = [c[0] for c in cases] + ["4111111111111111 123-45-6789", "4111111111111111 4242424242424242 212-555-0100", "1 " * 5 + "2 " * 5_000, "9" * 300_000, "1984-02-29-1985-03-01"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in pii.pseudonymised(frame).orderBy("doc_id").collect()]
+    for r, (text, value, kind, rest) in zip(got, cases, strict=False):
+        assert r.n_found == 1 and r.kinds == {kind: 1} and len(r.text) == len(text), text
+        assert value not in r.text and rest in r.text, text
+        if kind == "card":
+            assert luhn(r.text[text.index(value) :][: len(value)])
+    assert [got[k].kinds for k in (12, 13, 16)] == [{"card": 1, "ssn": 1}, {"card": 2, "phone": 1}, {"date": 2}]
+    assert len({re.sub(r"\D", "", r.text)[:16] for r in got[12:14]}) == 1
+    assert len(got[14].text) == len(texts[14]) and got[15].text == texts[15]
+
+
 def test_pseudonyms_in_very_long_runs(spark):
     """Unbroken letters, endless domains, and addresses that touch: linear time, nothing overlooked."""
     texts = ["a" * 300_000 + " 5", "x@" + "a." * 20_000 + "5", "1.2." * 20_000, "a@b.com-c@d.org, e@f.net", "." * 50_000 + "a.b@c.example.org..."]
