@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import saved, slices
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-LETTER = re.compile(r"[^\W\d_]")
+#: A character of one of Unicode's letter categories; other numbers and marks are none.
+LETTER = regex.compile(r"\p{L}")
 #: Units per direction, bytes per window, windows per text and texts per language used in training (the fitted sample's bound).
 UNITS, WINDOW, WINDOWS, TEXTS = 8, 48, 6, 400
 STEPS, BATCH, RATE = 300, 192, 0.02
-#: Drawn identifiers go to every task as a broadcast only up to this many; beyond it texts are joined by exchange.
-MOST_DRAWN = 1 << 20
 UNKNOWN = "und"
 FOLDS, HELD = 3, 1
 
@@ -137,7 +137,6 @@ def train(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> Networ
     few = rows.join(F.broadcast(sizes), "lang").where(F.pmod("_draw", F.lit(1 << 30)) * F.col("_n") < 2 * texts * (1 << 30))
     drawn = few.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_draw", "_id"))).where(F.col("_rank") <= texts)
     drawn = saved(drawn.select("_id").distinct(), "drawn")
-    small = drawn.count() <= MOST_DRAWN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -149,7 +148,7 @@ def train(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> Networ
                         out.append((doc, int(k), lang, rows[k].tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(("id", "k", "lang", "w"), r, strict=True)) for r in out], schema=pa.schema([("id", pa.int64()), ("k", pa.int32()), ("lang", pa.string()), ("w", pa.binary())]))
 
-    cuts = docs.join(F.broadcast(drawn) if small else drawn, docs["doc_id"] == drawn["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    cuts = docs.join(drawn, docs["doc_id"] == drawn["_id"], "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     sample = cuts.mapInArrow(cut, "id long, k int, lang string, w binary").toPandas().drop_duplicates(["id", "k", "lang", "w"]).sort_values(["id", "k", "w"])
     if sample.empty:
         return None
@@ -164,16 +163,16 @@ def train(docs: DataFrame, texts: int = TEXTS, windows: int = WINDOWS) -> Networ
     return network
 
 
-def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row: the mean over all bytes of the whole text of each language's probability.
+def labelled(docs: DataFrame, network: Network | None) -> DataFrame:
+    """(row, lang_pred, score) with each whole row of ``docs`` as one struct: the mean over all bytes of the whole text of each language's probability.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if nothing was learned. Only the text
-    is looked at. Repeated rows get equal results; other columns are ignored.
+    is looked at. Of equally probable languages the first in alphabetical order is named. Repeated rows get equal results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=2 << 20):
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             good = [bool(network and t and LETTER.search(t)) for t in texts]
             label, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             data = [t.encode().translate(LOWER) for t, ok in zip(texts, good, strict=True) if ok]
@@ -194,9 +193,16 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
                 score[places] = np.clip(mean[np.arange(len(best)), best], 0, 1)
                 for p, b in zip(places.tolist(), best.tolist(), strict=True):
                     label[p] = network.labels[b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(label), pa.array(score)], ["row", "lang_pred", "score"])
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select("text", F.struct("*").alias("row")).mapInArrow(run, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row; other columns are ignored."""
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return labelled(few, network).select("row.doc_id", "lang_pred", "score")
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -19,8 +20,8 @@ from quire.llm.bpe import Memo
 from quire.llm.common import saved, slices, texts_in
 
 VOCABULARY, END, CAPACITY = "byte_bpe_50k.json", 2, 1024
-#: Pieces packed together in one task, and rounds of exchange.
-SHARE, ROUNDS = 32_768, 4
+#: Pieces packed together in one task.
+SHARE = 32_768
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,6 +49,31 @@ def memo(path: str | None = None) -> Memo:
     return Memo(encode)
 
 
+@cache
+def added_tokens(path: str | None = None) -> tuple[re.Pattern, dict[str, int]]:
+    """A pattern of the tokenizer's added tokens, longest first, and their ids."""
+    with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
+        ids = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")"), ids
+
+
+def token_ids(texts: list[str], path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and each text's count. An added token in a text is its id, and the text before
+    and behind it is encoded apart."""
+    table, (marker, ids_of) = memo(path), added_tokens(path)
+    if not ids_of or not any(t in x for t in ids_of for x in texts):
+        return table.documents(texts)
+    cut = [marker.split(t) for t in texts]
+    parts = [p for c in cut for p in c[::2]]
+    ids, counts = table.documents(parts)
+    ends, own = np.cumsum(counts), np.array([len(c) // 2 + 1 for c in cut])
+    last = np.cumsum(own)
+    inner = np.ones(len(parts), bool)
+    inner[last - 1] = False
+    ids = np.insert(ids, ends[inner], [ids_of[m] for c in cut for m in c[1::2]])
+    return ids, np.add.reduceat(counts, last - own) + own - 1
+
+
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and an end id, cut only where longer than capacity.
 
@@ -55,9 +81,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = memo(path)
         for batch in slices(batches):
-            ids, counts = table.documents(texts_in(batch))
+            ids, counts = token_ids(texts_in(batch), path)
             closed = np.insert(ids.astype("<u4"), np.cumsum(counts), end)
             counts = counts + 1
             whole = memoryview(np.ascontiguousarray(closed)).cast("B")
@@ -116,8 +141,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return at, offset, used
 
 
-def _packed(items: DataFrame, groups: int, salt: int, capacity: int) -> DataFrame:
-    """One round: deal pieces into groups and pack each; ``gap`` is a group's count above its own lower bound."""
+def _packed(items: DataFrame, by: list[str], groups: int, salt: int, capacity: int) -> DataFrame:
+    """One round: deal pieces into groups by the hash of ``by``, which tells them apart, and pack each; ``gap`` is a group's count above its own lower bound."""
 
     def pack(table: pa.Table) -> pa.Table:
         lengths = np.asarray(table["length"])
@@ -128,40 +153,40 @@ def _packed(items: DataFrame, groups: int, salt: int, capacity: int) -> DataFram
         new = [pa.array(at + base), pa.array(offset), pa.array(fill), pa.array(np.full(len(lengths), gap))]
         return pa.table([*(table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), *new], names=[*("doc_id", "piece", "start", "length", "ids_crc32"), "sequence_id", "offset", "fill", "gap"])
 
-    dealt = items.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(groups)).cast("int"))
-    return dealt.groupBy("_group").applyInArrow(pack, f"{PIECE}, sequence_id long, offset long, fill long, gap long")
+    dealt = items.withColumn("_group", F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(groups)).cast("int"))
+    return dealt.select("_group", "doc_id", "piece", "start", "length", "ids_crc32").groupBy("_group").applyInArrow(pack, f"{PIECE}, sequence_id long, offset long, fill long, gap long")
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None, share: int = SHARE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Pieces are dealt into groups of about ``share`` and packed by best fit decreasing. Lower bounds certify each group's
     count. While the total is above the bound of the whole table (from the at most ``capacity`` counts per length), groups
-    with a gap (in every second round, or if none has one, all groups) exchange the pieces of their unfilled sequences and
-    are packed again; a round that saves nothing is the last and is not used. Every input row is packed, repeated doc_ids too; an empty table
+    with a gap exchange the pieces of their unfilled sequences and are packed again, in turn with the unfilled sequences of
+    all groups; a round that saves nothing is not used, and packing ends when each of the two has saved nothing in turn. Every input row is packed, repeated doc_ids too; an empty table
     gives no rows.
     """
-    items = saved(token_pieces(docs, capacity, end, path), "pieces")
+    items = saved(token_pieces(docs, capacity, end, path).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = items.groupBy("length").count().toPandas()  # at most `capacity` rows
     total = int(histogram["count"].sum())
     counts = np.zeros(capacity + 1, np.int64)
     counts[histogram["length"].to_numpy()] = histogram["count"].to_numpy()
     bound = lower_bound(counts, capacity)
-    state = saved(_packed(items, max(1, math.ceil(total / share)), 0, capacity), "packed-0")
-    for k in range(1, rounds + 1):
-        used = state.select("sequence_id").distinct().count()
-        if used <= bound:
-            break
-        gaps = state.where("gap > 0 and fill < %d" % capacity)
-        pool = gaps if not gaps.isEmpty() and k % 2 else state.where(f"fill < {capacity}")
-        size = pool.agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("s")).first()
-        if not size["n"]:
-            break
-        again = saved(_packed(pool.drop("sequence_id", "offset", "fill", "gap"), max(1, math.ceil(size["n"] / share)), k, capacity), f"packed-{k}")
-        if again.select("sequence_id").distinct().count() >= size["s"]:
-            break
-        moved = pool.select("sequence_id").distinct()
-        rest = state.join(moved, "sequence_id", "left_anti").select(*state.columns)
-        state = saved(rest.unionByName(again), f"state-{k}")
+    state = saved(_packed(items, ["_row"], max(1, math.ceil(total / share)), 0, capacity), "packed-0")
+    used, k, idle = state.where("offset = 0").count(), 0, 0
+    while used > bound and idle < 2:
+        k += 1
+        pool = state.where(f"fill < {capacity}" + (" and gap > 0" if k % 2 else ""))
+        size = pool.agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("s")).first()
+        idle += 1
+        if size["s"] < 2:
+            continue
+        again = saved(_packed(pool, ["sequence_id", "offset"], max(1, math.ceil(size["n"] / share)), k, capacity), f"packed-{k}")
+        saving = size["s"] - again.where("offset = 0").count()
+        if saving > 0:
+            moved = pool.select("sequence_id").distinct()
+            rest = state.join(moved, "sequence_id", "left_anti").select(*state.columns)
+            state = saved(rest.unionByName(again), f"state-{k}")
+            used, idle = used - saving, 0
     return state.drop("fill", "gap")
 

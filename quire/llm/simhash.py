@@ -43,14 +43,17 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number. Null and blank texts have fingerprint zero."""
+    """(doc_id, fp), and _n if ``docs`` has it: the fingerprint as a signed 64-bit number. Null and blank texts have zero."""
+    number = ["_n"] if "_n" in docs.columns else []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(shingle_hashes(t)) for t in texts_in(batch)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *number])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + "".join(f", {n} long" for n in number)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *number).mapInArrow(make, schema)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -152,17 +155,29 @@ def near_groups(docs: DataFrame) -> DataFrame:
     other. Rows without doc_id link too; component_id is null only if no row of the group has a doc_id. Repeated doc_ids
     stay separate rows; other columns are ignored; an empty table gives no rows.
     """
-    marked = saved(fingerprints(docs), "fingerprints")
+    marked = saved(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    heads = head_fingerprints(marked).select("_fp", "component_id")
+    return marked.join(heads, marked["fp"] == heads["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def head_fingerprints(marked: DataFrame) -> DataFrame:
+    """_fp, _head, component_id: each fingerprint of (doc_id, fp) with its group and the group's smallest doc_id."""
     distinct = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     # a fingerprint is its own id, as those of rows without doc_id need one too
     groups = components(near_links(distinct.select(F.col("fp").alias("id"), "fp"))).withColumnRenamed("id", "_id")
     heads = saved(distinct.join(groups, distinct["fp"] == groups["_id"], "left").select(F.col("fp").alias("_fp"), "low", F.coalesce("component", "fp").alias("_head")), "heads")
     lowest = heads.groupBy("_head").agg(F.min("low").alias("component_id"))
-    heads = heads.join(lowest, "_head").select("_fp", "component_id")
-    return marked.join(heads, marked["fp"] == heads["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return heads.join(lowest, "_head").select("_fp", "_head", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, with all their columns."""
-    kept = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """One row of each group, with all its columns: one with the smallest doc_id, or any if no row of the group has one.
+
+    Rows get a number and are written before fingerprints are made, so repeated and missing doc_ids need no key.
+    """
+    rows = saved(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_n")), "numbered-documents")
+    marked = saved(fingerprints(rows.select("row.doc_id", "row.text", "_n")), "fingerprints")
+    groups = head_fingerprints(marked).select("_fp", "_head")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_n")
+    kept = marked.join(groups, marked["fp"] == groups["_fp"]).groupBy("_head").agg(F.min(order).alias("least"))
+    return rows.join(kept.select(F.col("least._n").alias("_kept")), F.col("_n") == F.col("_kept"), "left_semi").select("row.*")

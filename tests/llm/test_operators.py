@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -50,6 +51,29 @@ def test_exact_groups_of_odd_rows(odd_docs):
     assert by[4].text_sha256 == hashlib.sha256(b" ").hexdigest()
 
 
+def test_exact_groups_without_ids(spark):
+    """A missing doc_id beside every salt hides no smaller doc_id, and no group is lost."""
+    rows = [(None, "a  b")] * 5 + [(i, "a b") for i in range(40, 140)] + [(40, "a b"), (None, "only"), (None, "only"), (7, "x"), (7, "x"), (None, None), (8, " ")]
+    frame = spark.createDataFrame([(*r, i, "s") for i, r in enumerate(rows)], "doc_id long, text string, row int, _salt string")
+    for salts in (1, 7, None):
+        got = exact.exact_groups(frame, salts).toPandas()
+        big = got[got["group_size"] == 106]
+        assert len(big) == 106 and (big["keep_id"] == 40).all() and big["kept"].sum() == 2 and (big.loc[big["kept"], "doc_id"] == 40).all()
+        assert got.loc[got["doc_id"] == 7, "kept"].all() and got[got["keep_id"].isna()]["kept"].sum() == 2
+    kept = exact.drop_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted((str(r.doc_id), re.sub(" +", " ", r.text or "")) for r in kept.collect()) == [("40", "a b"), ("7", "x"), ("8", " "), ("None", ""), ("None", "only")]
+
+
+def test_near_copies_without_ids_keep_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (5, text + " "), (5, text), (None, "quite another text without an id"), (None, "quite another text without an id"), (1, "")]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _n int")
+    kept = simhash.drop_near_copies(frame)
+    assert kept.columns == frame.columns
+    assert sorted((str(r.doc_id), r.text.strip()) for r in kept.collect()) == [("1", ""), ("5", text), ("None", "quite another text without an id")]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (601, 600)], "a long, b long")
     got = {r.id: r.component for r in graph.components(links).collect()}
@@ -350,8 +374,8 @@ def test_hot_simhash_key_is_split(spark):
 
 def test_packing(docs, local, odd_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    for frame, rows in ((docs, local), (odd_docs, odd_docs.toPandas())):
+    marked = docs.sparkSession.createDataFrame([(0, "a <|endoftext|> b"), (1, "<|endoftext|><|endoftext|>"), (2, "x  <|endoftext|>\ny"), (3, "<|endof"), (None, "z"), (4, None)], "doc_id long, text string")
+    for frame, rows in ((docs, local), (odd_docs, odd_docs.toPandas()), (marked, marked.toPandas())):
         got = packing.packed(frame).toPandas()
         want = Counter()
         for i, text in zip(rows["doc_id"], rows["text"], strict=True):
@@ -447,6 +471,9 @@ def test_language_accuracy(docs, local, odd_docs):
     odd = langid.languages(odd_docs).toPandas()
     by = {r.doc_id: r for r in odd.itertuples() if r.doc_id == r.doc_id}
     assert len(odd) == 12 and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (2, 3, 4, 7))
+    numbers = docs.sparkSession.createDataFrame([(1, "½ ² ① Ⅷ"), (2, "a½")], "doc_id long, text string")
+    signs = {r.doc_id: r.lang_pred for r in langid.predicted(numbers, langid.Network(["b", "a"])).collect()}
+    assert signs == {1: "und", 2: signs[2]} and signs[2] != "und"
     assert langid.languages(odd_docs.limit(0)).count() == 0
     assert langid.languages(odd_docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
@@ -459,7 +486,7 @@ def test_pipeline(spark, sf, docs, odd_docs):
         assert out.columns == docs.columns
         before, after = {r.doc_id: r for r in now.collect()}, {r.doc_id: r for r in out.collect()}
         if name == "language":
-            assert all((i in after) == bool(re.search(r"[^\W\d_]", r.text)) for i, r in before.items())
+            assert all((i in after) == bool(regex.search(r"\p{L}", r.text)) for i, r in before.items())
         elif name == "exact_dedup":
             groups = {}
             for i in sorted(before):
@@ -475,7 +502,12 @@ def test_pipeline(spark, sf, docs, odd_docs):
     got = corpus_pipeline.run(spark, sf).toPandas()
     assert set(got["doc_id"]) == {r.doc_id for r in now.collect()}
     odd = odd_docs.select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
-    for frame in (odd, odd.limit(0)):
+    marked = odd.union(odd.where("doc_id is null or doc_id = 1"))
+    network = langid.train(marked)
+    texts = Counter(r.text for r in corpus_pipeline.language_stage(spark, marked, sf).collect())
+    kept = langid.labelled(marked, network).where("lang_pred <> 'und'").select("row.*").collect()
+    assert texts == Counter(r.text for r in kept) and texts["no identifier here at all"] == 2
+    for frame in (odd, odd.limit(0), marked):
         now = frame
         for _, stage in corpus_pipeline.STAGES:
             now = spark.createDataFrame(stage(spark, now, sf).collect(), stage(spark, now, sf).schema)
@@ -490,4 +522,4 @@ def test_native_plans_have_no_python(spark, sf, name):
 
 def test_queries_are_whole(sf):
     n = duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchall()[0][0]
-    assert n and set(queries.SQL) <= set(queries.QUERIES) and len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+    assert n and set(queries.SQL) <= set(queries.QUERIES) and len([q for q in queries.QUERIES if q.startswith("op")]) == 13
