@@ -10,24 +10,27 @@ from pyspark.sql import functions as F
 from quire.llm import exact, langid, packing, pii, simhash
 from quire.llm.common import shared_root
 
-#: A document stays if its text has a letter and some language holds at least this share of its bytes.
-MIN_SCORE = 0.3
+#: A document stays if its text has a letter and some language holds more than its bytes' even share by this factor.
+MIN_LEAD = 1.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told (no letters, or no language prevails)."""
-    seen = langid.languages(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    kept = seen.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """Drop documents whose language cannot be told (no letters, or no language prevails).
+
+    Rows are judged one by one, with or without a doc_id and however often it occurs; without labelled rows none is told.
+    """
+    network = langid.train(docs)
+    least = MIN_LEAD / len(network.labels) if network and len(network.labels) > 1 else 0
+    return langid.labelled(docs, network).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the document with the smallest identifier."""
+    """Of equal texts, keep one row: with the smallest doc_id, or any if none has one."""
     return exact.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keep the document with the smallest identifier."""
+    """Of each group of near copies, keep one row: with the smallest doc_id, or any if none has one."""
     return simhash.drop_near_copies(docs)
 
 
