@@ -1,6 +1,6 @@
 """Attempt histories: scores, non-improvement streaks, stop points.
 
-All ordered steps run bucket by bucket (see functions.windows), so a report with very many attempts is spread over tasks.
+All ordered steps run on sampled pieces (see functions.windows), so a report with very many attempts is spread over tasks.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.windows import bucketed
+from quire.functions.windows import Ordered, ordered
 
 # Stop after this many non-improving attempts; smallest delta that counts as progress.
 BACKOFF, MIN_DELTA = 2, "0.2"
@@ -28,26 +28,19 @@ def attempt_score(accepted: Column, similarity: Column, visual: Column, heading_
     return F.when(F.coalesce(accepted, F.lit(False)), 100.0).otherwise(F.round(mixed, 2).cast("double"))
 
 
-def numbered(scores: DataFrame, order: list[str], bucket: str, keep_slot: bool = False) -> DataFrame:
-    """scores: report_id, score, order columns, bucket -> attempt (1-based) and prev score."""
-    sums, prevs = {"attempt": F.lit(1)}, {"prev": F.col("score")}
-    return bucketed(scores, ["report_id"], bucket, order, sums=sums, prevs=prevs, keep_slot=keep_slot)
+def numbered(scores: DataFrame, order: list[str]) -> DataFrame:
+    """scores: report_id, score, order columns -> attempt (1-based) and prev score."""
+    return ordered(scores, ["report_id"], order, sums={"attempt": F.lit(1)}, prevs={"prev": F.col("score")})
 
 
-def streaks(scores: DataFrame, order: list[str], bucket: str) -> DataFrame:
+def streaks(scores: DataFrame, order: list[str]) -> DataFrame:
     """Adds attempt, prev, streak (attempts since the last improvement) and stalled (the last two deltas are small)."""
-    rows = numbered(scores, order, bucket, keep_slot=True)
+    pieces = Ordered(scores, ["report_id"], order)
+    rows = pieces.running(pieces.rows, sums={"attempt": F.lit(1)}, prevs={"prev": F.col("score")})
     delta = F.col("score").cast("decimal(12,2)") - F.col("prev").cast("decimal(12,2)")
     rows = rows.withColumn("_delta", F.coalesce(delta, F.lit(_FAR).cast("decimal(13,2)")))
     improved = F.col("prev").isNull() | (F.col("score") > F.col("prev"))
-    rows = bucketed(
-        rows,
-        ["report_id"],
-        bucket,
-        order,
-        lasts={"_reset": F.when(improved, F.col("attempt"))},
-        prevs={"_before": F.col("_delta")},
-    )
+    rows = pieces.running(rows, lasts={"_reset": F.when(improved, F.col("attempt"))}, prevs={"_before": F.col("_delta")}).drop("_slot")
     small = F.lit(MIN_DELTA).cast("decimal(12,2)")
     stalled = (F.col("attempt") >= 3) & (F.col("_delta") <= small) & (F.col("_before") <= small)
     return rows.withColumn("streak", F.col("attempt") - F.col("_reset")).withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.jsontext import is_json
-from quire.functions.windows import bucketed
+from quire.functions.windows import ordered
 
 # Error prefixes, public messages and the legal status steps.
 INPUT_PREFIX, RENDER_PREFIX = "INPUT_VALIDATION:", "RENDER_VALIDATION:"
@@ -18,12 +18,11 @@ OTHER_MESSAGE = "Generation failed due to a temporary processing issue. Please t
 STEPS = [(None, "pending"), ("pending", "processing"), ("processing", "completed"), ("processing", "failed")]
 
 
-def newest_first(reports: DataFrame, bucket: Column) -> DataFrame:
-    """user_id, rank, ...: rank 1 is the newest report of a user, null times last. Counted bucket by bucket."""
+def newest_first(reports: DataFrame) -> DataFrame:
+    """user_id, rank, ...: rank 1 is the newest report of a user, null times last. Counted on sampled pieces."""
     # Descending order is ascending order of the negated time; a null time becomes the largest value.
     late = F.coalesce(-F.unix_micros("created_at"), F.lit(2**62))
-    rows = reports.withColumn("_late", late).withColumn("_bucket", bucket)
-    return bucketed(rows, ["user_id"], "_bucket", ["_late", "report_id"], sums={"rank": F.lit(1)}).drop("_late", "_bucket")
+    return ordered(reports.withColumn("_late", late), ["user_id"], ["_late", "report_id"], sums={"rank": F.lit(1)}).drop("_late")
 
 
 def fold(updates: DataFrame, fields: list[str]) -> DataFrame:
@@ -36,9 +35,9 @@ def fold(updates: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
-def illegal_steps(updates: DataFrame, bucket: str) -> DataFrame:
+def illegal_steps(updates: DataFrame) -> DataFrame:
     """report_id, event_id, before, after: status changes the lifecycle does not allow."""
-    rows = bucketed(updates, ["report_id"], bucket, ["ts", "event_id"], prevs={"before": F.col("status")})
+    rows = ordered(updates, ["report_id"], ["ts", "event_id"], prevs={"before": F.col("status")})
     legal = F.lit(False)
     for a, b in STEPS:
         legal = legal | (F.col("before").eqNullSafe(F.lit(a)) & (F.col("status") == b))
@@ -156,12 +155,12 @@ def parse_events(lines: DataFrame, column: str = "line") -> tuple[DataFrame, Dat
     return rows.filter(good).select(*keep, "_e.*"), rows.filter(~F.coalesce(good, F.lit(False))).select(*lines.columns)
 
 
-def stage_latency(events: DataFrame, bucket: str) -> DataFrame:
+def stage_latency(events: DataFrame) -> DataFrame:
     """stage, n, mean and percentiles of whole seconds since the user's previous event.
 
     Latencies are counted per (stage, second) first; the percentiles then run over the counts.
     """
-    rows = bucketed(events, ["user_id"], bucket, ["ts", "event_id"], prevs={"_prev": F.unix_micros("ts")})
+    rows = ordered(events, ["user_id"], ["ts", "event_id"], prevs={"_prev": F.unix_micros("ts")})
     secs = F.floor((F.unix_micros("ts") - F.col("_prev")) / 1_000_000).cast("bigint")
     hist = rows.filter(F.col("_prev").isNotNull()).groupBy("event", secs.alias("s")).agg(F.count("*").alias("w"))
     return hist.groupBy("event").agg(
@@ -172,14 +171,14 @@ def stage_latency(events: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def stage_spans(events: DataFrame, key: str, stages: dict[str, tuple[str, str]], bucket: str) -> DataFrame:
+def stage_spans(events: DataFrame, key: str, stages: dict[str, tuple[str, str]]) -> DataFrame:
     """key, stage, event_id, elapsed_ms: each end event with the latest start event of its stage before it.
 
     stages: name -> (start event, end event). An end without a start has no span.
     """
     micros = F.unix_micros("ts")
     lasts = {f"_s_{n}": F.when(F.col("event") == start, micros) for n, (start, _) in stages.items()}
-    rows = bucketed(events, [key], bucket, ["ts", "event_id"], lasts=lasts)
+    rows = ordered(events, [key], ["ts", "event_id"], lasts=lasts)
     stage, began = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     for n, (_, end) in stages.items():
         stage = F.when(F.col("event") == end, n).otherwise(stage)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.text import let
-from quire.functions.windows import bucketed
+from quire.functions.windows import ordered
 
 # Fallbacks of the flat style record.
 FALLBACKS = {
@@ -71,9 +71,9 @@ def array_median(values: Column) -> Column:
     return let(known, mid)
 
 
-def with_rank(paras: DataFrame, order: list[str], bucket: str) -> DataFrame:
-    """pos: 0-based paragraph number per doc, computed bucket by bucket."""
-    out = bucketed(paras, ["doc"], bucket, order, sums={"pos": F.lit(1)})
+def with_rank(paras: DataFrame, order: list[str]) -> DataFrame:
+    """pos: 0-based paragraph number per doc."""
+    out = ordered(paras, ["doc"], order, sums={"pos": F.lit(1)})
     return out.withColumn("pos", F.col("pos") - 1)
 
 

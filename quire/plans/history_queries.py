@@ -12,7 +12,6 @@ from quire.plans import sqltext as S
 from quire.plans.base import ctes, query, table
 from quire.plans.layer_queries import _wide
 
-DAY = "day"
 _STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END"
 _DETAIL = """CASE event_id % 5 WHEN 0 THEN 'INPUT_VALIDATION: No text for ' || CAST(event_id AS STRING) WHEN 1 THEN
     'RENDER_VALIDATION: low similarity; pages ; ' WHEN 2 THEN 'Output quality validation failed after one retry: missing ' ||
@@ -47,14 +46,13 @@ ctes(
 
 
 def events(spark, d):
-    """events with ts as an instant and the day as the order bucket."""
-    e = table(spark, d, "events")
-    return e.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(DAY, F.to_date("ts"))
+    """events with ts as an instant."""
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def v_att(spark, d):
     return events(spark, d).select(
-        F.col("user_id").alias("report_id"), "event_id", "ts", DAY, F.least(F.lit(100.0), F.col("value")).alias("score")
+        F.col("user_id").alias("report_id"), "event_id", "ts", F.least(F.lit(100.0), F.col("value")).alias("score")
     )
 
 
@@ -63,7 +61,6 @@ def v_life(spark, d):
         "event_id % 500 AS report_id",
         "event_id",
         "ts",
-        DAY,
         "user_id",
         f"{_STATUS} AS status",
         "CASE WHEN event_type = 'purchase' THEN CAST(floor(value) AS BIGINT) END AS score",
@@ -101,7 +98,7 @@ def _(spark, d):
     "SELECT report_id, event_id, attempt, score, streak, stalled FROM att_streak",
 )
 def _(spark, d):
-    return A.streaks(v_att(spark, d), ["ts", "event_id"], DAY).select(
+    return A.streaks(v_att(spark, d), ["ts", "event_id"]).select(
         "report_id", "event_id", "attempt", "score", "streak", "stalled"
     )
 
@@ -113,7 +110,7 @@ def _(spark, d):
     min(attempt) FILTER (stalled) AS b FROM att_streak GROUP BY report_id)""",
 )
 def _(spark, d):
-    return A.stop_points(A.streaks(v_att(spark, d), ["ts", "event_id"], DAY))
+    return A.stop_points(A.streaks(v_att(spark, d), ["ts", "event_id"]))
 
 
 @query(
@@ -122,7 +119,7 @@ def _(spark, d):
     'flat' END AS class FROM v_att""",
 )
 def _(spark, d):
-    rows = A.numbered(v_att(spark, d), ["ts", "event_id"], DAY)
+    rows = A.numbered(v_att(spark, d), ["ts", "event_id"])
     return rows.select("report_id", "attempt", A.delta_class(F.col("prev"), F.col("score")).alias("class"))
 
 
@@ -193,10 +190,7 @@ def _(spark, d):
     reports = e.select(
         "user_id", F.col("event_id").alias("report_id"), F.when(F.col("event_type") != "error", F.col("ts")).alias("created_at")
     )
-    # Days, newest first; reports without a time follow in slices of their identifiers.
-    late = F.lit(2**40) + F.expr("report_id div 4096")
-    bucket = F.coalesce(-F.unix_date(F.to_date("created_at")).cast("bigint"), late)
-    return H.newest_first(reports, bucket).select("user_id", "report_id", "rank")
+    return H.newest_first(reports).select("user_id", "report_id", "rank")
 
 
 @query("h02_status_fold", "SELECT * FROM life_folded")
@@ -211,7 +205,7 @@ def _(spark, d):
     after = 'processing') OR (before = 'processing' AND after IN ('completed', 'failed')), false))""",
 )
 def _(spark, d):
-    return H.illegal_steps(v_life(spark, d), DAY)
+    return H.illegal_steps(v_life(spark, d))
 
 
 @query(
@@ -319,7 +313,7 @@ def _(spark, d):
 )
 def _(spark, d):
     e = events(spark, d).withColumnRenamed("event_type", "event")
-    return H.stage_latency(e, DAY)
+    return H.stage_latency(e)
 
 
 @query(
@@ -334,7 +328,7 @@ def _(spark, d):
 )
 def _(spark, d):
     e = events(spark, d).withColumnRenamed("event_type", "event").withColumn("report_id", F.col("event_id") % 500)
-    spans = H.stage_spans(e, "report_id", {"input": ("view", "signup"), "layout": ("click", "purchase")}, DAY)
+    spans = H.stage_spans(e, "report_id", {"input": ("view", "signup"), "layout": ("click", "purchase")})
     return H.report_stages(spans, "report_id")
 
 

@@ -140,7 +140,7 @@ def _(spark, d):
 
 @query("s06_role_texts", "SELECT * FROM role_texts")
 def _(spark, d):
-    return I.role_texts(_ingested(spark, d), CLIP, F.expr("pos div 256"))
+    return I.role_texts(_ingested(spark, d), CLIP, v_file(spark, d))
 
 
 @query(
@@ -248,7 +248,7 @@ def _(spark, d):
 )
 def _(spark, d):
     typed = table(spark, d, "part").selectExpr("p_partkey AS job_id", "CASE WHEN p_size > 25 THEN p_name ELSE '' END AS typed")
-    texts = I.role_texts(_ingested(spark, d), CLIP, F.expr("pos div 256"))
+    texts = I.role_texts(_ingested(spark, d), CLIP, v_file(spark, d))
     return I.merge_content(typed, texts, 15_000)
 
 

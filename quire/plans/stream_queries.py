@@ -88,8 +88,8 @@ def _(spark, d):
 
 @query("h13_batch_sessions", "SELECT user_id, start_us, end_us, n FROM gap_sessions")
 def _(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.to_date("ts"))
-    out = V.batch_sessions(e, 3600, "day")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = V.batch_sessions(e, 3600)
     return out.select("user_id", _time("start").alias("start_us"), _time("end").alias("end_us"), "n")
 
 

@@ -83,7 +83,7 @@ def v_para(spark, d, ranked=True):
     li = table(spark, d, "lineitem").selectExpr(
         "l_orderkey AS doc", *_ORDER, *cols, f"array({', '.join(_RUNS)}) AS run_sizes"
     )
-    return Y.with_rank(li, _ORDER, "l_linenumber") if ranked else li
+    return Y.with_rank(li, _ORDER) if ranked else li
 
 
 @query(

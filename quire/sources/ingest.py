@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.jsontext import is_json
-from quire.functions.windows import bucketed, ordered_text
+from quire.functions.windows import ordered, ordered_text
 
 # Size limit and the type tables of the router.
 MAX_FILE_BYTES = 50_000_000
@@ -131,21 +131,23 @@ def ingest(files: DataFrame, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     )
 
 
-def role_texts(ingested: DataFrame, max_chars: int, bucket: Column) -> DataFrame:
+def role_texts(ingested: DataFrame, max_chars: int, files: DataFrame | None = None) -> DataFrame:
     """job_id, role (content or reference), text: headed file blocks in order, clipped to ``max_chars``.
 
-    The running length decides which blocks can reach into the clip; only those are gathered.
+    A block is cut to what the clip can hold before it moves, and keeps its full length; the running length decides which
+    blocks can reach into the clip, and only those are gathered. ``files`` (job_id, role, pos) spares decoding payloads to
+    sample a job's order.
     """
     block = F.concat(F.lit("\n\n### Source File: "), "filename", F.lit("\n"), T.strip(F.coalesce("text", F.lit(""))), F.lit("\n"))
-    rows = ingested.filter(F.col("status") == "processed").select(
-        "job_id",
-        F.when(F.col("role") == "reference", "reference").otherwise("content").alias("role"),
-        "pos",
-        bucket.alias("_bucket"),
-        block.alias("_block"),
-    )
-    rows = bucketed(rows, ["job_id", "role"], "_bucket", ["pos"], sums={"_end": F.length("_block") + 1})
-    begin = F.col("_end") - F.length("_block") - 1
+    role = F.when(F.lower(T.strip(F.coalesce("role", F.lit("")))) == "reference", "reference").otherwise("content").alias("role")
+    rows = ingested.filter(F.col("status") == "processed").select("job_id", role, "pos", block.alias("_block"))
+    size, most = F.length("_block"), max_chars + 16
+    # The mark behind a cut block lies beyond the clip; it keeps blanks before the cut from being stripped as the text's end.
+    cut = F.concat(F.substring("_block", 1, most), F.when(size > most, "#").otherwise(""))
+    rows = rows.select("job_id", "role", "pos", size.alias("_size"), cut.alias("_block"))
+    like = None if files is None else files.select("job_id", role, "pos")
+    rows = ordered(rows, ["job_id", "role"], ["pos"], sums={"_end": F.col("_size") + 1}, like=like)
+    begin = F.col("_end") - F.col("_size") - 1
     # Eight more characters cover the stripped line feeds in front and the separators a dropped block would leave behind.
     near = rows.filter(begin < max_chars + 8)
     joined = near.groupBy("job_id", "role").agg(ordered_text(F.col("pos"), F.col("_block"), "\n").alias("text"))

@@ -101,14 +101,14 @@ def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
     )
 
 
-def batch_sessions(events: DataFrame, gap_seconds: int, bucket: str) -> DataFrame:
-    """Batch twin of ``sessions``: a new session starts after a gap; numbered bucket by bucket."""
-    from quire.functions.windows import bucketed
+def batch_sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
+    """Batch twin of ``sessions``: a new session starts after a gap; numbered on sampled pieces."""
+    from quire.functions.windows import Ordered
 
-    order = ["ts", "event_id"]
-    rows = bucketed(events, ["user_id"], bucket, order, prevs={"_prev": F.unix_micros("ts")}, keep_slot=True)
+    pieces = Ordered(events, ["user_id"], ["ts", "event_id"])
+    rows = pieces.running(pieces.rows, prevs={"_prev": F.unix_micros("ts")})
     fresh = F.col("_prev").isNull() | (F.unix_micros("ts") - F.col("_prev") >= gap_seconds * 1_000_000)
-    rows = bucketed(rows, ["user_id"], bucket, order, sums={"session": F.coalesce(fresh.cast("int"), F.lit(1))})
+    rows = pieces.running(rows, sums={"session": F.coalesce(fresh.cast("int"), F.lit(1))})
     return rows.groupBy("user_id", "session").agg(
         F.min("ts").alias("start"), (F.max("ts") + F.expr(f"INTERVAL {gap_seconds} SECONDS")).alias("end"), F.count("*").alias("n")
     )

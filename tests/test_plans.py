@@ -35,17 +35,19 @@ def test_one_exchange_below_the_explode(spark, sf, name):
     assert len(moved) <= (1 if name == "p03_packing" else 0)  # packing also groups by capacity
 
 
-@pytest.mark.parametrize("name", ["q29_delta_class", "h01_newest_first", "h10_stage_latency", "q28_streaks", "h13_batch_sessions"])
-def test_ordered_values_move_the_rows_once(spark, sf, name):
-    """Every slot exchange but one is below the carry's aggregate: rows that lie in their slot stay there."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+@pytest.mark.parametrize("width", [8, 400])
+@pytest.mark.parametrize("name", ["q28_streaks", "q29_delta_class", "h01_newest_first", "h02_illegal_steps", "h10_stage_latency", "h13_batch_sessions", "l13_cover_sizes"])
+def test_ordered_values_scan_and_move_the_rows_once(spark, sf, name, width):
+    """One scan and one exchange to the pieces, with hot keys (of 400 pieces every user holds some) or without."""
+    spark.conf.set("spark.sql.shuffle.partitions", width)
     try:
         text = plan(spark, QUERIES[name](spark, sf))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    first = text[: text.index("FileScan")].splitlines()  # the path of the rows themselves comes first
-    assert len([line for line in first if re.search(r"Exchange hashpartitioning\(_slot", line)]) == 1
-    assert "<=>" not in text
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert text.count("FileScan") == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(_slot", text)) == 1
+    if not name.startswith(("h02", "l13")):
+        assert ("_bounds" in text) == (width == 400)
 
 
 def test_bucketed_documents_need_no_exchange(spark, sf, tmp_path):

@@ -4,9 +4,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.windows import bucketed
+from quire.functions import windows
 from quire.operators import attempts, blocks, history, packing, presets, raster, similarity, styles
 from quire.sources import ingest
 
@@ -86,22 +87,48 @@ def test_packing_and_repair(spark):
     assert fixed == sorted((d, p[0], p[2], p[3]) for d, ps in want.items() for p in repaired(ps))
 
 
-def test_bucketed_equals_a_plain_loop_under_a_hot_key(spark):
+@pytest.mark.parametrize("width", [1, 8, 61])
+def test_ordered_equals_a_plain_loop_under_a_hot_key(spark, width):
+    """Half of the rows share one key and some have none; a third have no time; values of the row before may be null."""
     rng = random.Random(11)
-    # half of the rows share one key, some have none
-    rows = [(rng.choice([0, 0, 0, None, rng.randrange(1, 20)]), i, rng.choice([None, 1.0, 2.5])) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k long, i long, v double").withColumn("b", F.expr("i div 50"))
-    out = bucketed(
-        df, ["k"], "b", ["i"], sums={"n": F.lit(1)}, lasts={"seen": F.col("v")}, prevs={"before": F.col("i")}
-    )
-    n, seen, before, want = Counter(), {}, {}, {}
-    for k, i, v in rows:
+    rows = [(rng.choice([0, 0, 0, None, rng.randrange(1, 20)]), rng.choice([None, *range(40), *range(40)]), i, rng.choice([None, 1.0, 2.5])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, t int, i long, v double").withColumns({"_key": F.lit("clash"), "piece": F.lit(3)})
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        pieces = windows.Ordered(df, ["k"], ["t", "i"])
+        one = pieces.running(pieces.rows, sums={"n": F.lit(1)}, lasts={"seen": F.col("v")}, prevs={"before": F.col("v")})
+        two = pieces.running(one, sums={"total": F.col("n") * 2}, prevs={"early": F.col("n")}).drop("_slot")
+        assert two.columns == [*df.columns, "n", "seen", "before", "total", "early"]
+        got = {r.i: (r.n, r.seen, r.before, r.total, r.early) for r in two.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    n, seen, before, total, want = Counter(), {}, {}, Counter(), {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
         n[k] += 1
+        total[k] += 2 * n[k]
         if v is not None:
             seen[k] = v
-        want[i] = (n[k], seen.get(k), before.get(k))
-        before[k] = i
-    assert {r.i: (r.n, r.seen, r.before) for r in out.collect()} == want
+        want[i] = (n[k], seen.get(k), before.get(k), total[k], n[k] - 1 or None)
+        before[k] = v
+    assert got == want
+
+
+def test_ordered_pieces_of_a_hot_key_without_times(spark):
+    """A third of all rows has one key and no time; no piece holds much more than a task's share."""
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4000 + 100).alias("k"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("t"), "id"
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        sizes = [r["count"] for r in windows.Ordered(df, ["k"], ["t", "id"]).rows.groupBy("_slot").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert sum(sizes) == 60_000 and max(sizes) <= 3 * 60_000 / 40 and len(sizes) >= 4000
+
+
+def test_ordered_values_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k string, t timestamp")
+    assert windows.ordered(df, ["k"], ["t"], sums={"n": F.lit(1)}).count() == 0
 
 
 def test_streaks_and_stops(spark):
@@ -121,8 +148,8 @@ def test_streaks_and_stops(spark):
                 stop = (n, "backoff" if streak >= 2 else "unlikely")
             prev, prev_delta = score, delta
         stops[rid] = stop or (None, None)
-    df = spark.createDataFrame(rows, "report_id long, n long, score double").withColumn("b", F.expr("n div 4"))
-    out = attempts.streaks(df, ["n"], "b").cache()
+    df = spark.createDataFrame(rows, "report_id long, n long, score double")
+    out = attempts.streaks(df, ["n"]).cache()
     assert {(r.report_id, r.n): r.streak for r in out.collect()} == streaks
     got = {r.report_id: (r.stop_attempt, r.reason) for r in attempts.stop_points(out).collect()}
     assert got == stops
@@ -170,7 +197,7 @@ def test_role_texts_equal_join_then_clip(spark):
         for job, _, name, _, role, _, text in files:
             want.setdefault((job, role), []).append(f"\n\n### Source File: {name}\n{text.strip()}\n")
         want = {k: "\n".join(v).strip()[:clip] for k, v in want.items()}
-        got = {(r.job_id, r.role): r.text for r in ingest.role_texts(df, clip, F.expr("pos div 7")).collect()}
+        got = {(r.job_id, r.role): r.text for r in ingest.role_texts(df, clip, df).collect()}
         assert got == want, clip
 
 
@@ -193,7 +220,7 @@ def test_stage_spans_pair_each_end_with_the_latest_start(spark):
             (None, 6, 4.0, "a_start"), (None, 7, 9.25, "a_end"), (1, 8, 90_000.0, "a_end")]
     df = spark.createDataFrame(rows, "k long, event_id long, s double, event string").withColumn("ts", F.col("s").cast("timestamp"))
     df = df.withColumn("day", F.to_date("ts"))
-    spans = history.stage_spans(df, "k", {"a": ("a_start", "a_end"), "b": ("b_start", "b_end")}, "day")
+    spans = history.stage_spans(df, "k", {"a": ("a_start", "a_end"), "b": ("b_start", "b_end")})
     assert sorted((str(r.k), r.stage, r.event_id, float(r.elapsed_ms)) for r in spans.collect()) == [
         ("1", "a", 3, 500.0), ("1", "a", 8, 89_999_000.0), ("None", "a", 7, 5250.0)
     ]
