@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.packing import PROFILES
+from quire.session import materialised
 
 
 def tokens(c: Column) -> Column:
@@ -69,63 +73,145 @@ def heading_match(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", F.when(F.col("expected") == 0, 1.0).otherwise(ratio))
 
 
-def similarity_join(corpus: DataFrame, refs: DataFrame, threshold: float, hot: int = 2000) -> DataFrame:
-    """left_id, right_id, similarity: all pairs (corpus row, reference row) with multiset Dice >= threshold.
+#: Buckets of the frequency table that orders elements; entries of an inverted list that meet in one task.
+BUCKETS, TILE = 1 << 14, 4096
+#: Similarities are compared as whole ten-thousandths.
+_UNIT = 10_000
+
+
+def bag_rows(df: DataFrame, id_col: str, group: Column | None = None, sizes: tuple[float, float] | None = None) -> DataFrame:
+    """id_col, grp, h, n, toks: every row's sorted tokens and their digest; rows without tokens, or with a number of them
+    outside ``sizes``, are left out.
 
-    Exact, without comparing all pairs: with tokens in one global order, two bags reaching the threshold must share an
-    element among the first |bag| - ceil(|bag| x t / (2 - t)) + 1 elements of each side, so only those are joined. The
-    order puts the ``hot`` most frequent tokens last (a fixed-size list, so it may be broadcast), which keeps them out of
-    the join keys. Equal texts are compared once and expanded at the end.
+    Written once to the session's shared folder, so a text is tokenised once however often its bag is used.
     """
+    grp = F.coalesce(group.cast("string"), F.lit("")) if group is not None else F.lit("")
+    toks = T.settle(df.select(id_col, "text", grp.alias("grp")), [id_col, "grp"], toks=F.sort_array(tokens(F.col("text")))).filter(F.size("toks") > 0)
+    if sizes:
+        toks = toks.filter(F.size("toks").between(*sizes))
+    return materialised(toks.select(id_col, "grp", F.sha2(F.array_join("toks", " "), 256).alias("h"), F.size("toks").alias("n"), "toks"), "token-rows")
 
-    share = threshold / (2 - threshold)
-
-    def distinct_bags(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-        toks = T.settle(df, [id_col], toks=F.array_sort(tokens(F.col("text")))).filter(F.size("toks") > 0)
-        keyed = toks.select(id_col, F.sha2(F.array_join("toks", " "), 256).alias("h"), F.size("toks").alias("n"), "toks")
-        return keyed.select(id_col, "h", "n"), keyed.groupBy("h", "n").agg(F.any_value("toks").alias("toks"))
-
-    right_members, right = distinct_bags(refs, "right_id")
-    # Bags whose sizes differ too much cannot reach the threshold: the reference sizes bound the corpus sizes.
-    widest = right_members.agg(F.max("n")).scalar() / share
-    narrowest = right_members.agg(F.min("n")).scalar() * share
-    left_members, left = distinct_bags(corpus, "left_id")
-    in_range = (F.col("n") <= widest + 1e-6) & (F.col("n") >= narrowest - 1e-6)
-    left_members, left = left_members.filter(in_range), left.filter(in_range)
-    every = left.select(F.explode("toks").alias("tok")).unionAll(right.select(F.explode("toks").alias("tok")))
-    ranked = every.groupBy("tok").count().orderBy(F.desc("count"), "tok").limit(hot)
-
-    def elements(bags: DataFrame) -> DataFrame:
-        rows = bags.select("h", F.explode("toks").alias("tok")).groupBy("h", "tok").count()
-        rows = rows.join(F.broadcast(ranked.select("tok", F.col("count").alias("freq"))), "tok", "left")
-        order = F.struct(
-            F.coalesce("freq", F.lit(0)).alias("freq"), F.xxhash64("tok").alias("x"), "tok", F.col("count").alias("n")
-        )
-        packed = rows.groupBy("h").agg(F.array_sort(F.collect_list(order)).alias("els"))
-        flat = F.flatten(
-            F.transform(
-                "els",
-                lambda e: F.transform(
-                    F.sequence(F.lit(1), e["n"].cast("int")), lambda i: F.concat(e["tok"], F.lit("\u0001"), i.cast("string"))
-                ),
-            )
-        )
-        return packed.select("h", flat.alias("bag"))
-
-    def prefixes(bags: DataFrame, side: str) -> DataFrame:
-        keep = F.size("bag") - F.ceil(F.size("bag") * share - 1e-9).cast("int") + 1
-        return bags.select(F.col("h").alias(f"{side}_h"), F.explode(F.slice("bag", F.lit(1), keep)).alias("el"))
-
-    lbags, rbags = elements(left), elements(right)
-    cand = prefixes(lbags, "l").join(prefixes(rbags, "r"), "el").select("l_h", "r_h").distinct()
-    both = cand.join(lbags.select(F.col("h").alias("l_h"), F.col("bag").alias("a")), "l_h").join(
-        rbags.select(F.col("h").alias("r_h"), F.col("bag").alias("b")), "r_h"
-    )
-    common = F.size(F.array_intersect("a", "b"))
-    dice = common.cast("decimal(20,6)") * 2 / (F.size("a") + F.size("b"))
-    hits = both.select("l_h", "r_h", dice.alias("dice")).filter(F.col("dice") >= F.lit(str(threshold)).cast("decimal(10,6)"))
-    return (
-        hits.join(left_members.withColumnRenamed("h", "l_h"), "l_h")
-        .join(right_members.withColumnRenamed("h", "r_h"), "r_h")
-        .select("left_id", "right_id", F.round(F.col("dice") * 100, 2).cast("double").alias("similarity"))
+
+def bag_classes(rows: DataFrame, id_col: str) -> DataFrame:
+    """id_col, grp, class_id: the smallest identifier among the rows of the group with the same tokens."""
+    heads = rows.groupBy("grp", "h").agg(F.min(id_col).alias("class_id"))
+    return rows.select(id_col, "grp", "h").join(heads, ["grp", "h"]).select(id_col, "grp", "class_id")
+
+
+def _bags(rows: DataFrame, id_col: str) -> DataFrame:
+    """grp, h, n, rep, els: each distinct bag of a group once, its elements being (token, how many of it so far)."""
+    one = rows.groupBy("grp", "h", "n").agg(F.min(id_col).alias("rep"), F.any_value("toks").alias("toks"))
+    # Counts stay where the bag is: group and digest are part of every key.
+    counts = one.select("grp", "h", "n", "rep", F.explode("toks").alias("tok")).groupBy("grp", "h", "n", "rep", "tok").agg(F.count("*").alias("k"))
+    each = F.transform(F.sequence(F.lit(1).cast("long"), F.col("k")), lambda i: F.concat("tok", F.lit("\u0001"), i.cast("string")))
+    return materialised(counts.groupBy("grp", "h", "n", "rep").agg(F.flatten(F.collect_list(each)).alias("els")), "bags")
+
+
+def _bucket(el: Column) -> Column:
+    return F.pmod(F.xxhash64(el), F.lit(BUCKETS)).cast("int")
+
+
+def _frequencies(elements: DataFrame) -> list[int]:
+    """How many of ``elements`` (el) fall into each bucket of their hash: BUCKETS numbers, whatever the data."""
+    counts = elements.groupBy(_bucket(F.col("el")).alias("b")).agg(F.count("*").alias("n")).toArrow()
+    out = [0] * BUCKETS
+    for b, n in zip(counts["b"].to_pylist(), counts["n"].to_pylist(), strict=True):
+        out[b] = n
+    return out
+
+
+def _numbers(values: list[int]) -> Column:
+    """One constant array."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _prefixes(bags: DataFrame, counts: list[int], least: int) -> DataFrame:
+    """grp, h, n, el, place: of each bag the elements, rarest first, of which a partner must share one."""
+    order = _numbers(counts)
+    ranked = F.sort_array(F.transform("els", lambda e: F.struct(F.get(order, _bucket(e)).alias("f"), e.alias("el"))))
+    over = 2 * _UNIT - least
+    keep = F.col("n") - F.expr(f"cast((cast(n as bigint) * {least} + {over - 1}) div {over} as int)") + 1
+    cut = bags.select("grp", "h", "n", F.slice(ranked, F.lit(1), keep).alias("first"))
+    return cut.select("grp", "h", "n", F.posexplode("first").alias("place", "e")).select("grp", "h", "n", F.col("e.el").alias("el"), "place")
+
+
+def _near_bags(left: DataFrame, right: DataFrame, least: int, tile: int, twice: bool) -> DataFrame:
+    """grp, l_rep, r_rep, l_h, r_h, dice (a decimal): pairs of bags of a group from ``least`` ten-thousandths on.
+
+    Elements are ordered rarest first by a bucketed frequency table of fixed size; a pair must share an element of both
+    prefixes and be near enough in size. What it shares up to the last such element is counted; with the elements that
+    either side has behind it, that must still be enough.
+    Entries of a long inverted list are cut into tiles, and every two tiles meet in a task of their own. With
+    ``twice`` both sides are one table, and each pair of different bags is made once.
+    """
+    every = left.select(F.explode("els").alias("el"))
+    order = _frequencies(every if twice else every.unionAll(right.select(F.explode("els").alias("el"))))
+    lp = _prefixes(left, order, least)
+    rp = lp if twice else _prefixes(right, order, least)
+    l_size = _frequencies(lp.select("el"))
+    r_size = l_size if twice else _frequencies(rp.select("el"))
+
+    def dealt(prefix: DataFrame, own: list[int], other: list[int], side: str, mine_first: bool) -> DataFrame:
+        parts = lambda counts: F.get(_numbers([max(1, -(-n // tile)) for n in counts]), _bucket(F.col("el")))
+        rows = prefix.select("*", F.pmod(F.xxhash64("h"), parts(own)).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), parts(other) - 1)).alias("other"))
+        pair = F.array("own", "other") if mine_first else F.array("other", "own")
+        return rows.select("grp", "el", pair.alias("tiles"), *[F.col(c).alias(f"{side}_{c}") for c in ("h", "n", "place")])
+
+    l, r = dealt(lp, l_size, r_size, "l", True), dealt(rp, r_size, l_size, "r", False)
+    n = lambda side: F.col(f"{side}_n").cast("long")
+    sizes = (n("l") * (2 * _UNIT - least) >= n("r") * least) & (n("r") * (2 * _UNIT - least) >= n("l") * least)
+    near = sizes & (F.col("l_h") < F.col("r_h")) if twice else sizes
+    found = l.join(r, ["grp", "el", "tiles"]).where(near).groupBy("grp", "l_h", "r_h", "l_n", "r_n").agg(
+        F.count("*").alias("shared"), F.max("l_place").alias("l_place"), F.max("r_place").alias("r_place")
     )
+    behind = F.least(n("l") - F.col("l_place"), n("r") - F.col("r_place")) - 1
+    found = found.where((F.col("shared") + behind) * (2 * _UNIT) >= (n("l") + n("r")) * least).select("grp", "l_h", "r_h")
+    bag = lambda b, side: b.select("grp", *[F.col(c).alias(f"{side}_{c}") for c in ("h", "n", "rep", "els")])
+    both = found.join(bag(left, "l"), ["grp", "l_h"]).join(bag(right, "r"), ["grp", "r_h"])
+    common = F.size(F.array_intersect("l_els", "r_els")).cast("long")
+    both = both.select("grp", "l_h", "r_h", "l_rep", "r_rep", common.alias("c"), (n("l") + n("r")).alias("total"))
+    dice = F.col("c").cast("decimal(20,6)") * 2 / F.col("total")
+    return both.where(F.col("c") * (2 * _UNIT) >= F.col("total") * least).select("grp", "l_h", "r_h", "l_rep", "r_rep", dice.alias("dice"))
+
+
+def _percent(dice: Column) -> Column:
+    return F.round(dice * 100, 2).cast("double")
+
+
+def similarity_join(corpus: DataFrame, refs: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """left_id, right_id, similarity: all pairs (corpus row, reference row) with multiset Dice >= threshold.
+
+    Exact: see ``_near_bags``. Equal bags are compared once and expanded at the end; each text is tokenised once.
+    """
+    least = round(threshold * _UNIT)
+    rows_r = bag_rows(refs, "right_id")
+    low, high = rows_r.agg(F.min("n"), F.max("n")).first()
+    share = least / (2 * _UNIT - least)
+    # A corpus row that differs too much in size from every reference row is not looked at further.
+    rows_l = bag_rows(corpus, "left_id", sizes=(int((low or 0) * share), int((high or 0) / share) + 1))
+    hits = _near_bags(_bags(rows_l, "left_id"), _bags(rows_r, "right_id"), least, tile, twice=False)
+    pairs = hits.join(rows_l.select("left_id", F.col("h").alias("l_h")), "l_h").join(rows_r.select("right_id", F.col("h").alias("r_h")), "r_h")
+    return pairs.select("left_id", "right_id", _percent(F.col("dice")).alias("similarity"))
+
+
+def similar_pairs(rows: DataFrame, id_col: str, threshold: float, tile: int = TILE) -> DataFrame:
+    """grp, left_id, right_id, similarity: pairs of different bags of the same group with multiset Dice >= threshold.
+
+    ``rows`` comes from ``bag_rows``. Rows with equal bags are one class (``bag_classes``), named by its smallest identifier;
+    a pair names two classes, the smaller identifier first, and is made once.
+    """
+    bags = _bags(rows, id_col)
+    hits = _near_bags(bags, bags, round(threshold * _UNIT), tile, twice=True)
+    return hits.select("grp", F.least("l_rep", "r_rep").alias("left_id"), F.greatest("l_rep", "r_rep").alias("right_id"), _percent(F.col("dice")).alias("similarity"))
+
+
+def gate(similarity: Column) -> Column:
+    """The strictest acceptance profile whose similarity gate a percentage passes, or null."""
+    out = F.lit(None).cast("string")
+    for name, fields in sorted(PROFILES.items(), key=lambda x: x[1][0]):
+        out = F.when(similarity >= fields[0], name).otherwise(out)
+    return out
+
+
+#: The lowest similarity gate of the profiles, as a share.
+LOWEST_GATE = min(fields[0] for fields in PROFILES.values()) / 100

@@ -389,6 +389,59 @@ def _(spark, d):
     return M.similarity_join(corpus, refs, DICE)
 
 
+_GATES = "CASE WHEN similarity >= 88 THEN 'strict' WHEN similarity >= 85 THEN 'balanced' WHEN similarity >= 82 THEN 'high_range' END"
+
+ctes(
+    doc_bags=f"""SELECT doc_id, coalesce(lang, '') AS grp, list_sort(regexp_extract_all(lower(text), '{T.WORD}')) AS toks FROM documents
+        WHERE len(regexp_extract_all(lower(text), '{T.WORD}')) > 0""",
+    doc_classes="SELECT doc_id, grp, toks, min(doc_id) OVER (PARTITION BY grp, toks) AS class_id FROM doc_bags",
+    class_tokens="""SELECT grp, class_id, tok, count(*) AS n FROM (SELECT grp, class_id, unnest(toks) AS tok FROM doc_classes WHERE
+        doc_id = class_id) GROUP BY ALL""",
+    class_sizes="SELECT grp, class_id, len(toks) AS total FROM doc_classes WHERE doc_id = class_id",
+)
+
+
+@query("q18_bag_classes", "SELECT doc_id, grp, class_id FROM doc_classes")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    return M.bag_classes(M.bag_rows(docs, "doc_id", F.col("lang")), "doc_id")
+
+
+@query(
+    "q18_document_pairs",
+    f"""WITH near AS (SELECT a.grp, a.class_id AS l, b.class_id AS r, a.total + b.total AS total FROM class_sizes a JOIN class_sizes b
+        ON a.grp = b.grp AND a.class_id < b.class_id AND 200 * least(a.total, b.total) >= 82 * (a.total + b.total)),
+    c AS (SELECT near.grp, l, r, total, sum(least(x.n, y.n)) AS common FROM near JOIN class_tokens x ON x.grp = near.grp AND
+        x.class_id = l JOIN class_tokens y ON y.grp = near.grp AND y.class_id = r AND y.tok = x.tok GROUP BY ALL),
+    s AS (SELECT grp, l AS left_id, r AS right_id, {S.round_half_up('common * 200 / total::DECIMAL(18,6)')} AS similarity FROM c
+        WHERE common * 200 >= 82 * total)
+    SELECT grp, left_id, right_id, similarity, {_GATES} AS gate FROM s""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    pairs = M.similar_pairs(M.bag_rows(docs, "doc_id", F.col("lang")), "doc_id", M.LOWEST_GATE)
+    return pairs.withColumn("gate", M.gate(F.col("similarity")))
+
+
+@query(
+    "q18_reference_gates",
+    f"""WITH dt AS (SELECT doc_id AS left_id, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text),
+        '{T.WORD}')) AS tok FROM documents) GROUP BY ALL),
+    bt AS (SELECT item_id AS right_id, tok, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),
+        '{T.WORD}')) AS tok FROM benchmark) GROUP BY ALL),
+    ds AS (SELECT left_id, sum(n) AS total FROM dt GROUP BY left_id), bs AS (SELECT right_id, sum(n) AS total FROM bt
+        GROUP BY right_id),
+    c AS (SELECT left_id, right_id, sum(least(dt.n, bt.n)) AS common FROM dt JOIN bt ON bt.tok = dt.tok GROUP BY left_id, right_id),
+    s AS (SELECT c.left_id, c.right_id, {S.round_half_up('common * 200 / (ds.total + bs.total)::DECIMAL(18,6)')} AS similarity
+        FROM c JOIN ds ON ds.left_id = c.left_id JOIN bs ON bs.right_id = c.right_id WHERE common * 200 >= 82 * (ds.total + bs.total))
+    SELECT left_id, right_id, similarity, {_GATES} AS gate FROM s""",
+)
+def _(spark, d):
+    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("left_id"), "text")
+    refs = table(spark, d, "benchmark").select(F.col("item_id").alias("right_id"), "text")
+    return M.similarity_join(corpus, refs, M.LOWEST_GATE).withColumn("gate", M.gate(F.col("similarity")))
+
+
 @query("q19_heading_match", "SELECT * FROM pair_ratio")
 def _(spark, d):
     return M.heading_match(v_pair(spark, d))

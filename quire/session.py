@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
+from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | None = None, app: str = "quire") -> SparkSession:
@@ -35,6 +37,11 @@ def local_session(cpus: str | None = None, app: str = "quire") -> SparkSession:
     return spark
 
 
+@cache
+def _own_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix="quire-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for state that must outlive an executor.
 
@@ -45,5 +52,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="quire-")
+        root = _own_root(spark.sparkContext.applicationId)
     return root.rstrip("/")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: it is computed once, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -171,8 +171,49 @@ def test_similarity_join_is_exact(spark):
                 common = sum((ca & cb).values())
                 if 2 * common >= t * (sum(ca.values()) + sum(cb.values())) - 1e-12:
                     want.add((i, j))
-        got = {(r.left_id, r.right_id) for r in similarity.similarity_join(left, right, t, hot=5).collect()}
+        got = {(r.left_id, r.right_id) for r in similarity.similarity_join(left, right, t, tile=7).collect()}
         assert got == want, t
+    assert similarity.similarity_join(left, right.limit(0), 0.6).count() == 0
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_similar_pairs_of_a_group_are_exact(spark, tile):
+    """Each pair of different bags once, none across groups; a third of the rows is one text, an element is in every bag."""
+    rng = random.Random(tile)
+    words = [f"w{i}" for i in range(30)]
+    base = [rng.choices(words, k=rng.randrange(2, 30)) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        toks = list(rng.choice(base)) if i % 3 else list(base[0])
+        for _ in range(rng.randrange(3) if i % 3 else 0):
+            toks[rng.randrange(len(toks))] = rng.choice(words)
+        rng.shuffle(toks)
+        rows.append((i, rng.choice(["en", "de", None]), " ".join(["the", *toks])))
+    rows += [(500, "en", None), (501, "en", "  "), (502, None, "Only here"), (503, None, "only HERE")]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("h", F.lit("clash"))
+    kept = similarity.bag_rows(frame, "doc_id", F.col("lang"))
+    first: dict = {}
+    for i, lang, text in rows:
+        if text and text.strip():
+            first.setdefault((lang or "", tuple(sorted(text.lower().split()))), i)
+    got = {r.doc_id: (r.grp, r.class_id) for r in similarity.bag_classes(kept, "doc_id").collect()}
+    assert got == {i: (lang or "", first[lang or "", tuple(sorted(text.lower().split()))]) for i, lang, text in rows if text and text.strip()}
+    for t in (0.82, 0.88, 0.5):
+        want = {}
+        for (g, a), i in first.items():
+            for (o, b), k in first.items():
+                if g == o and i < k:
+                    common, total = sum((Counter(a) & Counter(b)).values()), len(a) + len(b)
+                    if 200 * common >= round(t * 100) * total:
+                        want[g, i, k] = 200 * common / total
+        pairs = similarity.similar_pairs(kept, "doc_id", t, tile).collect()
+        assert len(pairs) == len(want) and {(r.grp, r.left_id, r.right_id) for r in pairs} == set(want)
+        assert all(abs(r.similarity - want[r.grp, r.left_id, r.right_id]) < 0.006 for r in pairs)
+
+
+def test_gates_are_the_strictest_that_pass(spark):
+    rows = spark.createDataFrame([(81.99,), (82.0,), (84.99,), (85.0,), (87.5,), (88.0,), (100.0,)], "s double")
+    assert [r[0] for r in rows.select(similarity.gate(F.col("s"))).collect()] == [None, "high_range", "high_range", "balanced", "balanced", "strict", "strict"]
 
 
 def test_bag_dice(spark):
