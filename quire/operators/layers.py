@@ -6,6 +6,8 @@ Nested settings use dotted keys (``headings.1.font``), which merges nested maps
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,9 +123,60 @@ def widen(merged: DataFrame, keys: list[str]) -> DataFrame:
     return wide
 
 
-def coalesce_layers(wide: DataFrame, key: str) -> Column:
-    """Wide-form merge of three layer columns of one key."""
-    return F.coalesce(f"override_{key}", f"extracted_{key}", f"default_{key}")
+def layer_maps(rules: DataFrame, names: dict[int, str]) -> DataFrame:
+    """entity and, per priority -> name, a map of its leaves: key -> value, nulls left out; the last row of a key wins.
+
+    Rows are combined per leaf before they move, then per entity; a map has at most one entry per key.
+    """
+    known = rules.filter(F.col("value").isNotNull() & F.col("priority").isin(*names))
+    leaf = known.groupBy("entity", "key", "priority").agg(F.max_by("value", "seq").alias("value"))
+
+    def one(priority: int) -> Column:
+        entries = F.collect_list(F.when(F.col("priority") == priority, F.struct("key", "value")))
+        return F.map_from_entries(F.array_sort(entries)).alias(names[priority])
+
+    return leaf.groupBy("entity").agg(*[one(p) for p in names])
+
+
+def default_map(defaults: dict[str, str] | None = None) -> Column:
+    """The defaults as one constant map."""
+    return F.from_json(F.lit(json.dumps(DEFAULTS if defaults is None else defaults)), "map<string, string>")
+
+
+def no_rules() -> Column:
+    return F.create_map().cast("map<string, string>")
+
+
+def resolved(extracted: Column, overrides: Column, defaults: Column | None = None) -> Column:
+    """key -> (value, source): the highest layer with a value wins leaf by leaf; a null never overrides, a null map is empty.
+
+    Layers hold only the leaves that are there. They are laid over the constant default map where the row is, so defaults are
+    neither rows nor part of a shuffle.
+    """
+
+    def tagged(layer: Column, source: str) -> Column:
+        known = F.map_filter(F.coalesce(layer, no_rules()), lambda _, v: v.isNotNull())
+        return F.transform_values(known, lambda _, v: F.struct(v.alias("value"), F.lit(source).alias("source")))
+
+    def over(low: Column, high: Column) -> Column:
+        return F.map_zip_with(low, high, lambda _, a, b: F.coalesce(b, a))
+
+    base = tagged(default_map() if defaults is None else defaults, "defaults")
+    return over(over(base, tagged(extracted, "extracted")), tagged(overrides, "override"))
+
+
+def rule_rows(rows: DataFrame, rules: Column) -> DataFrame:
+    """entity, key, value, source of a map made by ``resolved``."""
+    leaves = rows.select("entity", F.explode(rules).alias("key", "leaf"))
+    return leaves.select("entity", "key", "leaf.value", "leaf.source")
+
+
+def diff_maps(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    """entity, key, before, after: leaves whose values differ between two maps of a row, null-safe."""
+    both = F.map_zip_with(F.coalesce(before, no_rules()), F.coalesce(after, no_rules()), lambda _, a, b: F.struct(a.alias("before"), b.alias("after")))
+    changed = F.map_filter(both, lambda _, x: ~x["before"].eqNullSafe(x["after"]))
+    leaves = rows.select("entity", F.explode(changed).alias("key", "leaf"))
+    return leaves.select("entity", "key", "leaf.before", "leaf.after")
 
 
 def split_priorities(props: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,22 +279,65 @@ def spacing_factor(mode: Column, value: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), F.round(base.try_cast("double") / 240.0, 6), F.lit(1.0))
 
 
+# How each field of the effective formatting falls back. A falsy value (null, empty, zero, false) gives the
+# default; only a null gives the default; no default; whether the value is truthy.
+FALSY_FIELDS = [
+    "page_width_dxa", "page_height_dxa", "margin_top_dxa", "margin_bottom_dxa", "margin_left_dxa", "margin_right_dxa", "margin_header_dxa",
+    "margin_footer_dxa", "body_size_halfpt", "body_line_spacing_val", "body_space_after", "body_page_format", "prelim_page_format",
+    "page_number_alignment",
+]
+NULL_FIELDS = [
+    "body_space_before", "cover_title_size_pt", "cover_title_leading_factor", "cover_title_alignment", "cover_title_space_after_pt",
+    "cover_title_bold", "cover_subtitle_size_pt", "cover_subtitle_leading_factor", "cover_subtitle_alignment", "cover_subtitle_space_after_pt",
+    "cover_subtitle_italic", "cover_summary_size_pt", "cover_summary_leading_factor", "cover_summary_alignment", "cover_summary_space_after_pt",
+    "signature_alignment", "signature_label_size_pt", "signature_label_bold", "signature_line_size_pt", "signature_name_size_pt",
+    "signature_name_italic", "signature_block_space_before_pt", "heading_leading_factor", "list_left_indent_pt", "list_block_spacing_pt",
+]
+PLAIN_FIELDS = [
+    "body_left_indent_dxa", "body_right_indent_dxa", "body_first_line_indent_dxa", "list_first_line_indent_pt", "h1_left_indent_dxa",
+    "h1_right_indent_dxa", "h1_first_line_indent_dxa", "h2_left_indent_dxa", "h2_right_indent_dxa", "h2_first_line_indent_dxa",
+    "h3_left_indent_dxa", "h3_right_indent_dxa", "h3_first_line_indent_dxa",
+]
+FLAG_FIELDS = ["has_page_numbers", "page_number_section_restart", "has_cover_section", "has_prelim_section", "has_cover_image"]
+HEADING_FIELDS = ["font", "size_halfpt", "alignment", "space_before", "space_after", "bold", "italic", "underline", "caps", "small_caps", "numbering"]
+
+
+def truthy(value: Column) -> Column:
+    return falsy_default(value, F.lit(None).cast("string")).isNotNull()
+
+
 def effective_formatting(rows: DataFrame) -> DataFrame:
-    """Formatting row: resolved value, then typography, then default. Most keys treat falsy as missing, the spacing-before
-    key only null."""
+    """entity and every field a document writer reads, from ``rules`` and ``flat`` (maps of leaves), ``typography`` (font_family,
+    alignment, line_spacing), ``heading_numbering`` and ``cover_summary_text``.
+
+    Resolved value, then typography, then default. Without any resolved rule the flat ones stand in. Most keys treat falsy as
+    missing, the cover, signature, list and spacing-before keys only null. A missing body-section flag is true. A heading
+    attribute that is there counts even if it is null. Headings come as columns heading_<level>_<attribute> of six levels.
+    """
+    flat = F.coalesce("flat", no_rules())
+    own = F.coalesce("rules", no_rules())
+    own = F.when((F.size(own) == 0) & F.exists(F.map_values(flat), lambda v: v.isNotNull()), flat).otherwise(own)
+    rows = rows.withColumn("_r", own)
+    r = lambda k: F.try_element_at("_r", F.lit(k))
+    t = lambda k: F.try_element_at("typography", F.lit(k))
     d = lambda k: F.lit(DEFAULTS[k])
-    font = falsy_default(F.col("body_font"), falsy_default(F.col("type_font"), d("body_font")))
-    align = falsy_default(F.col("body_alignment"), falsy_default(F.col("type_alignment"), d("body_alignment")))
-    mode = falsy_default(F.col("type_spacing"), F.col("body_line_spacing_rule"))
-    keys = ["page_width_dxa", "page_height_dxa", *MARGINS, "body_size_halfpt", "body_line_spacing_val", "body_space_after"]
-    return rows.select(
-        "entity",
-        *[falsy_default(F.col(k), d(k)).alias(k) for k in keys],
-        font.alias("body_font"),
-        align.alias("body_alignment"),
-        null_default(F.col("body_space_before"), d("body_space_before")).alias("body_space_before"),
-        spacing_factor(mode, F.col("body_line_spacing_val")).alias("spacing_factor"),
-    )
+    mode = falsy_default(t("line_spacing"), r("body_line_spacing_rule"))
+    out = {k: falsy_default(r(k), d(k)) for k in FALSY_FIELDS}
+    out["body_font"] = falsy_default(r("body_font"), falsy_default(t("font_family"), d("body_font")))
+    out["body_alignment"] = falsy_default(r("body_alignment"), falsy_default(t("alignment"), d("body_alignment")))
+    out["body_line_spacing_factor"] = spacing_factor(mode, r("body_line_spacing_val"))
+    out |= {k: null_default(r(k), d(k)) for k in NULL_FIELDS}
+    out |= {k: r(k) for k in PLAIN_FIELDS}
+    out |= {k: truthy(r(k)) for k in FLAG_FIELDS}
+    out["has_body_section"] = ~F.map_contains_key("_r", "has_body_section") | truthy(r("has_body_section"))
+    out["heading_numbering"] = F.coalesce("heading_numbering", F.lit(False))
+    out["page_number_format"] = falsy_default(r("page_number_format"), falsy_default(r("body_page_format"), d("body_page_format")))
+    out["cover_summary_text"] = falsy_default(r("cover_summary_text"), F.col("cover_summary_text"))
+    for level in HEADING_LEVELS:
+        for field in HEADING_FIELDS:
+            key = f"headings.{level}.{field}"
+            out[f"heading_{level}_{field}"] = F.when(F.map_contains_key("_r", key), r(key)).otherwise(d(key))
+    return rows.select("entity", *[c.alias(k) for k, c in out.items()])
 
 
 def first_filled(*candidates: Column, default: str = "") -> Column:

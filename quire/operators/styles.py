@@ -130,11 +130,22 @@ def cover_sizes(paras: DataFrame) -> DataFrame:
     ).filter(F.col("title_size").isNotNull() | F.col("subtitle_size").isNotNull())
 
 
+HEADING_FLAGS = ("bold", "italic", "underline", "numbering")
+HEADING_SWITCHES = ("caps", "small_caps")  # off only by the value 0
+HEADING_VALUES = ("font", "size", "alignment", "space_before", "space_after")
+
+
 def heading_map(styles: DataFrame) -> DataFrame:
-    """doc, headings: map level -> struct(font, size, bold) of the first style row of each level 1-6."""
-    first = styles.filter(F.col("level").between(1, 6)).groupBy("doc", "level").agg(
-        F.min_by(F.struct("font", "size", "bold"), "pos").alias("attrs")
+    """doc, headings: map level -> all attributes of the first style row of each level 1-6.
+
+    Flags are null where the style lacks them and then false; caps and small caps hold the written value, on unless it is 0.
+    """
+    attrs = F.struct(
+        *HEADING_VALUES,
+        *[F.coalesce(c, F.lit(False)).alias(c) for c in HEADING_FLAGS],
+        *[F.coalesce(F.col(c) != "0", F.lit(False)).alias(c) for c in HEADING_SWITCHES],
     )
+    first = styles.filter(F.col("level").between(1, 6)).groupBy("doc", "level").agg(F.min_by(attrs, "pos").alias("attrs"))
     return first.groupBy("doc").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "attrs")))).alias("headings")
     )
@@ -239,22 +250,25 @@ def find_styles(requests: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 def usage_facts(paras: DataFrame) -> DataFrame:
-    """doc, body font and size: first non-null among the first paragraphs; bold and italic: seen in any of them."""
+    """doc, body font and size: first filled value among the first paragraphs; bold, italic and underline: seen in any of them;
+    alignment, spacing and first-line indent: those of the first paragraph alone."""
     head = paras.filter(F.col("pos") < BODY_ROWS)
 
     def first(name: str) -> Column:
-        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("pos")))
+        return F.min_by(name, F.when(F.nullif(F.col(name).cast("string"), F.lit("")).isNotNull(), F.col("pos")))
 
+    lead = F.col("pos") == 0
     return head.groupBy("doc").agg(
         first("font").alias("body_font"),
         first("size").alias("body_size"),
-        F.bool_or("bold").alias("bold"),
-        F.bool_or("italic").alias("italic"),
+        *[F.bool_or(c).alias(c) for c in ("bold", "italic", "underline")],
+        *[F.max(F.when(lead, F.nullif(F.col(c), F.lit("")))).alias(c) for c in ("alignment", "line_spacing_rule")],
+        *[F.max(F.when(lead, F.col(c))).alias(c) for c in ("line_spacing", "space_before", "space_after", "first_line")],
     )
 
 
 def heading_usage(paras: DataFrame, order: list[str]) -> DataFrame:
-    """doc, level: last non-null font, size, alignment of the level's paragraphs; flags seen anywhere."""
+    """doc, level: last non-null font, size, alignment and spacing of the level's paragraphs; flags seen anywhere."""
     rows = paras.withColumn("level", F.regexp_extract("style", r"^Heading (\d)", 1).try_cast("int")).filter(
         F.col("level").isNotNull()
     )
@@ -263,9 +277,6 @@ def heading_usage(paras: DataFrame, order: list[str]) -> DataFrame:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(*order)))
 
     return rows.groupBy("doc", "level").agg(
-        last("font").alias("font"),
-        last("size").alias("size"),
-        last("alignment").alias("alignment"),
-        F.bool_or("bold").alias("bold"),
-        F.bool_or("italic").alias("italic"),
+        *[last(c).alias(c) for c in ("font", "size", "alignment", "space_before", "space_after")],
+        *[F.bool_or(c).alias(c) for c in ("bold", "italic", "underline")],
     )

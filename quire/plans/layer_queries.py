@@ -28,6 +28,18 @@ LAYER = {
     "body_space_after": "CAST(({k} % 3) * 60 AS STRING)",
     "headings.1.font": "CASE WHEN {k} % 2 = 0 THEN NULL ELSE 'Calibri Light' END",
     "headings.1.size_halfpt": "CAST(36 + {k} % 8 AS STRING)",
+    "headings.2.bold": "CASE {k} % 3 WHEN 0 THEN 'false' WHEN 1 THEN '' ELSE NULL END",
+    "headings.6.alignment": "CASE WHEN {k} % 5 = 0 THEN 'center' ELSE NULL END",
+    "margin_header_dxa": "CAST(({k} % 4) * 300 AS STRING)",
+    "has_page_numbers": "CASE {k} % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '' ELSE NULL END",
+    "has_body_section": "CASE {k} % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE NULL END",
+    "page_number_format": "CASE {k} % 3 WHEN 0 THEN 'upperRoman' WHEN 1 THEN '' ELSE NULL END",
+    "body_page_format": "CASE WHEN {k} % 5 = 0 THEN 'lowerLetter' ELSE NULL END",
+    "cover_title_bold": "CASE {k} % 3 WHEN 0 THEN 'false' WHEN 1 THEN '' ELSE NULL END",
+    "cover_summary_text": "CASE {k} % 4 WHEN 0 THEN 'Summary ' || c_name WHEN 1 THEN '' ELSE NULL END",
+    "signature_name_size_pt": "CASE WHEN {k} % 2 = 0 THEN '0' ELSE NULL END",
+    "list_first_line_indent_pt": "CASE WHEN {k} % 2 = 0 THEN CAST({k} % 9 AS STRING) ELSE NULL END",
+    "h1_left_indent_dxa": "CASE WHEN {k} % 3 = 0 THEN '0' ELSE CAST({k} % 200 AS STRING) END",
 }
 _K = "c_custkey"
 
@@ -35,7 +47,8 @@ _K = "c_custkey"
 def _items():
     """(key, value expression, priority, seq, source) of every rule row of a customer."""
     for i, (key, expr) in enumerate(LAYER.items()):
-        yield key, f"'{L.DEFAULTS[key]}'", 0, i, "defaults"
+        if key in L.DEFAULTS:
+            yield key, f"'{L.DEFAULTS[key]}'", 0, i, "defaults"
         yield key, f"CASE WHEN {_K} % 3 = 0 THEN NULL ELSE {expr.format(k=_K)} END", 1, i, "extracted"
         yield key, f"CASE WHEN {_K} % 7 = 0 THEN {expr.format(k='(' + _K + ' + 5)')} ELSE NULL END", 2, i, "override"
     for i, (key, value) in enumerate(L.DEFAULTS.items()):
@@ -143,9 +156,33 @@ def _raw_wide(spark, d):
     return L.widen(_kv(spark, d).filter(F.col("priority") == 1), KEYS)
 
 
+def _layer(condition: str, shift: str = "") -> str:
+    leaves = ", ".join(f"'{k}', {e.format(k=f'({_K}{shift})')}" for k, e in LAYER.items())
+    return f"CASE WHEN {condition} THEN map({leaves}) END"
+
+
+def v_layers(spark, d):
+    """A customer's extracted and override layer as maps; leaves may be null, a layer may be missing."""
+    return table(spark, d, "customer").selectExpr(
+        "c_custkey AS entity", f"{_layer(_K + ' % 3 <> 0')} AS extracted", f"{_layer(_K + ' % 7 = 0', ' + 5')} AS overrides"
+    )
+
+
+def _sparse(spark, d):
+    """The leaves of the two layers as rows, without the defaults."""
+    return _spark_rows(spark, d, [x for x in _items() if x[2] > 0]).filter(F.col("value").isNotNull())
+
+
 @query("l01_layered_merge", "SELECT * FROM rule_merged")
 def _(spark, d):
-    return L.merge(_kv(spark, d))
+    return L.rule_rows(v_layers(spark, d), L.resolved(F.col("extracted"), F.col("overrides")))
+
+
+@query("l01_row_merge", "SELECT * FROM rule_merged")
+def _(spark, d):
+    maps = L.layer_maps(_sparse(spark, d), {1: "extracted", 2: "overrides"})
+    every = table(spark, d, "customer").select(F.col("c_custkey").alias("entity")).join(maps, "entity", "left")
+    return L.rule_rows(every, L.resolved(F.col("extracted"), F.col("overrides")))
 
 
 @query(
@@ -203,8 +240,19 @@ def _(spark, d):
     ON a.entity = b.entity AND a.key = b.key WHERE a.value IS DISTINCT FROM b.value""",
 )
 def _(spark, d):
-    extracted = _kv(spark, d).filter((F.col("priority") == 1) & F.col("value").isNotNull())
-    return L.diff(extracted, L.merge(_kv(spark, d)))
+    known = F.map_filter(F.col("extracted"), lambda _, v: v.isNotNull())
+    merged = F.transform_values(L.resolved(F.col("extracted"), F.col("overrides")), lambda _, x: x["value"])
+    return L.diff_maps(v_layers(spark, d), known, merged)
+
+
+@query(
+    "l05_row_diff",
+    """SELECT entity, key, max(value) FILTER (priority = 1) AS before, max(value) FILTER (priority = 2) AS after FROM v_rulekv
+    WHERE priority > 0 AND value IS NOT NULL GROUP BY entity, key HAVING before IS DISTINCT FROM after""",
+)
+def _(spark, d):
+    rows = _sparse(spark, d)
+    return L.diff(rows.filter("priority = 1"), rows.filter("priority = 2"))
 
 
 @query(
@@ -253,20 +301,75 @@ _TYPE = {
 }
 
 
-@query(
-    "l08_effective_formatting",
-    f"""SELECT entity, {', '.join(_falsy(k, "'" + L.DEFAULTS[k] + "'") + ' AS ' + k for k in ["page_width_dxa", "page_height_dxa", *L.MARGINS, "body_size_halfpt", "body_line_spacing_val", "body_space_after"])},
-    {_falsy('body_font', '(' + _falsy('type_font', "'Times New Roman'") + ')')} AS body_font,
-    {_falsy('body_alignment', '(' + _falsy('type_alignment', "'both'") + ')')} AS body_alignment,
-    coalesce(body_space_before, '0') AS body_space_before,
-    CASE lower(trim(coalesce({_falsy('type_spacing', 'body_line_spacing_rule')}, ''))) WHEN 'single' THEN 1.0 WHEN '1' THEN 1.0
-    WHEN '1.0' THEN 1.0 WHEN '1.5' THEN 1.5 WHEN 'double' THEN 2.0 ELSE
-    round(CAST(coalesce(body_line_spacing_val, '360') AS DOUBLE) / 240.0, 6) END::DOUBLE AS spacing_factor
-    FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _TYPE.items())} FROM rule_raw_wide)""",
-)
+# The expected defaults, written out for the SQL text alone.
+_L8_FALSY = """page_width_dxa 11906, page_height_dxa 16838, margin_top_dxa 1440, margin_bottom_dxa 1440, margin_left_dxa 1800, margin_right_dxa 1800,
+    margin_header_dxa 720, margin_footer_dxa 720, body_size_halfpt 24, body_line_spacing_val 360, body_space_after 120, body_page_format decimal,
+    prelim_page_format lowerRoman, page_number_alignment center"""
+_L8_NULL = """body_space_before 0, cover_title_size_pt 20.0, cover_title_leading_factor 1.15, cover_title_alignment center,
+    cover_title_space_after_pt 12.0, cover_title_bold true, cover_subtitle_size_pt 10.0, cover_subtitle_leading_factor 1.1,
+    cover_subtitle_alignment center, cover_subtitle_space_after_pt 10.0, cover_subtitle_italic true, cover_summary_size_pt 9.0,
+    cover_summary_leading_factor 1.05, cover_summary_alignment center, cover_summary_space_after_pt 8.0, signature_alignment center,
+    signature_label_size_pt 10.0, signature_label_bold true, signature_line_size_pt 10.0, signature_name_size_pt 9.0,
+    signature_name_italic false, signature_block_space_before_pt 18.0, heading_leading_factor 1.2, list_left_indent_pt 18.0,
+    list_block_spacing_pt 6.0"""
+_L8_PLAIN = """body_left_indent_dxa body_right_indent_dxa body_first_line_indent_dxa list_first_line_indent_pt h1_left_indent_dxa
+    h1_right_indent_dxa h1_first_line_indent_dxa h2_left_indent_dxa h2_right_indent_dxa h2_first_line_indent_dxa h3_left_indent_dxa
+    h3_right_indent_dxa h3_first_line_indent_dxa"""
+_L8_SIZES = {1: "36 240 120", 2: "32 200 100", 3: "28 160 80", 4: "26 120 60", 5: "24 100 50", 6: "22 80 40"}
+_L8_SHARED = "font Calibri, alignment left, bold true, italic false, underline false, caps false, small_caps false, numbering false"
+
+
+def _effective_sql() -> str:
+    pairs = lambda text: [x.split() for x in text.split(",")]
+    r = lambda k: f"m['{k}']"
+    truthy = lambda x: f"NOT ({x} IS NULL OR {x} IN ('', '0', '0.0', 'false'))"
+    out = {k: _falsy(r(k), f"'{v}'") for k, v in pairs(_L8_FALSY)}
+    out["body_font"] = _falsy(r("body_font"), "(" + _falsy("type_font", "'Times New Roman'") + ")")
+    out["body_alignment"] = _falsy(r("body_alignment"), "(" + _falsy("type_alignment", "'both'") + ")")
+    out["body_line_spacing_factor"] = f"""(CASE lower(trim(coalesce({_falsy('type_spacing', r('body_line_spacing_rule'))}, ''))) WHEN 'single' THEN 1.0
+        WHEN '1' THEN 1.0 WHEN '1.0' THEN 1.0 WHEN '1.5' THEN 1.5 WHEN 'double' THEN 2.0 ELSE
+        round(CAST(coalesce({r('body_line_spacing_val')}, '360') AS DOUBLE) / 240.0, 6) END)::DOUBLE"""
+    out |= {k: f"coalesce({r(k)}, '{v}')" for k, v in pairs(_L8_NULL)}
+    out |= {k: r(k) for k in _L8_PLAIN.split()}
+    out |= {k: truthy(r(k)) for k in "has_page_numbers page_number_section_restart has_cover_section has_prelim_section has_cover_image".split()}
+    out["has_body_section"] = f"NOT list_contains(map_keys(m), 'has_body_section') OR {truthy(r('has_body_section'))}"
+    out["heading_numbering"] = "coalesce(numbered, false)"
+    out["page_number_format"] = _falsy(r("page_number_format"), "(" + _falsy(r("body_page_format"), "'decimal'") + ")")
+    out["cover_summary_text"] = _falsy(r("cover_summary_text"), "compiled_summary")
+    for level, sizes in _L8_SIZES.items():
+        own = dict(zip(("size_halfpt", "space_before", "space_after"), sizes.split(), strict=True)) | dict(pairs(_L8_SHARED))
+        for field, value in own.items():
+            key = f"headings.{level}.{field}"
+            out[f"heading_{level}_{field}"] = f"CASE WHEN list_contains(map_keys(m), '{key}') THEN {r(key)} ELSE '{value}' END"
+    layer = ", ".join(f"{{'k': '{k}', 'v': {e.format(k=_K)}}}" for k, e in LAYER.items())
+    return f"""SELECT entity, {', '.join(f'{e} AS {k}' for k, e in out.items())} FROM (SELECT *, map_from_entries(list_filter(CASE
+        WHEN entity % 3 = 0 AND entity % 2 = 0 THEN [{{'k': 'body_font', 'v': 'Flat'}}, {{'k': 'body_space_after', 'v': NULL}}]
+        WHEN entity % 3 = 0 THEN [] ELSE own END, lambda x: x.v IS NOT NULL OR x.k = 'headings.2.bold')) AS m FROM (SELECT
+        c_custkey AS entity, [{layer}] AS own, {', '.join(f'{e} AS {n}' for n, e in _TYPE.items())} FROM customer))"""
+
+
+_TYPE = {
+    "type_font": "CASE WHEN c_custkey % 4 = 0 THEN 'Georgia' WHEN c_custkey % 4 = 1 THEN '' ELSE NULL END",
+    "type_alignment": "CASE WHEN c_custkey % 2 = 0 THEN 'left' ELSE NULL END",
+    "type_spacing": "CASE c_custkey % 5 WHEN 0 THEN ' Double ' WHEN 1 THEN '1.5' WHEN 2 THEN '' ELSE NULL END",
+    "numbered": "CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END",
+    "compiled_summary": "CASE WHEN c_custkey % 2 = 0 THEN 'compiled' ELSE NULL END",
+}
+
+
+@query("l08_effective_formatting", _effective_sql())
 def _(spark, d):
-    rows = _raw_wide(spark, d).selectExpr("*", *[f"{e} AS {n}" for n, e in _TYPE.items()])
-    return L.effective_formatting(rows)
+    """The extracted layer as the resolved rules: null leaves are left out but for one, which counts though it is null."""
+    kept = "map_filter(extracted, (k, v) -> v IS NOT NULL OR k = 'headings.2.bold')"
+    rows = table(spark, d, "customer").selectExpr(
+        "c_custkey AS entity", f"{_layer(_K + ' % 3 <> 0')} AS extracted", *[f"{e} AS {n}" for n, e in _TYPE.items()]
+    )
+    return L.effective_formatting(rows.selectExpr(
+        "entity", f"{kept} AS rules",
+        "CASE WHEN entity % 2 = 0 THEN map('body_font', 'Flat', 'body_space_after', CAST(NULL AS STRING)) END AS flat",
+        "map('font_family', type_font, 'alignment', type_alignment, 'line_spacing', type_spacing) AS typography",
+        "numbered AS heading_numbering", "compiled_summary AS cover_summary_text",
+    ))
 
 
 @query(

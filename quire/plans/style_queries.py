@@ -21,13 +21,15 @@ _PARA = {
     "left_indent": "l_quantity",
     "right_indent": "CASE WHEN l_discount = 0.0 THEN NULL ELSE l_tax * 100 END",
     "first_line": "l_discount * 100",
-    "space_before": "CASE WHEN l_quantity < 5 THEN NULL ELSE l_linenumber * 1.5 END",
+    "space_before": "CASE WHEN l_quantity < 5 THEN NULL ELSE CAST(l_linenumber * 1.5 AS DOUBLE) END",
     "space_after": "l_quantity / 4",
     "line_spacing": "240 + l_linenumber * 15",
     "font": "CASE l_suppkey % 4 WHEN 0 THEN 'Arial' WHEN 1 THEN 'Georgia' WHEN 2 THEN 'Times New Roman' ELSE NULL END",
     "size": "CASE WHEN l_discount = 0.1 THEN NULL ELSE CAST(20 + l_partkey % 5 AS INT) END",
     "bold": "l_quantity > 30",
     "italic": "l_tax > 0.06",
+    "underline": "l_suppkey % 6 = 0",
+    "line_spacing_rule": "CASE l_partkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN '' ELSE NULL END",
     "text_len": "CAST(l_quantity * 4 AS INT)",
     "text": "CASE l_linenumber % 4 WHEN 0 THEN ' ANNUAL REPORT ' WHEN 1 THEN 'Submitted by supplier ' || CAST(l_suppkey AS STRING) WHEN 2 THEN 'ANNUAL 2024' ELSE 'plain text' END",
 }
@@ -123,25 +125,35 @@ def _(spark, d):
     return Y.cover_sizes(v_para(spark, d))
 
 
+_STYLE = {
+    "font": "p_type",
+    "size": "20 + p_size",
+    "alignment": "CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'left' ELSE NULL END",
+    "space_before": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size * 20 END",
+    "space_after": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size * 10 END",
+    "bold": "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_size % 2 = 0 END",
+    "italic": "p_size % 5 = 0",
+    "underline": "CASE WHEN p_size % 3 = 0 THEN true END",
+    "numbering": "p_partkey % 2 = 0",
+    "caps": "CASE p_partkey % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE NULL END",
+    "small_caps": "CASE p_size % 4 WHEN 0 THEN '0' WHEN 1 THEN 'true' ELSE NULL END",
+}
+_STYLE_SHOWN = {
+    **{c: c for c in ("font", "size", "alignment", "space_before", "space_after")},
+    **{c: f"coalesce({c}, false)" for c in ("bold", "italic", "underline", "numbering")},
+    **{c: f"coalesce({c} <> '0', false)" for c in ("caps", "small_caps")},
+}
+
+
 @query(
     "l14_heading_styles",
-    """SELECT doc, string_agg(level || ':' || font || ',' || size || ',' || bold, ';' ORDER BY level) AS headings FROM (
-    SELECT doc, level, arg_min(font, pos) AS font, arg_min(size, pos) AS size, arg_min(bold, pos) AS bold FROM (
-    SELECT p_brand AS doc, p_partkey AS pos, p_size % 8 AS level, p_type AS font, 20 + p_size AS size, p_size % 2 = 0 AS bold
-    FROM part) WHERE level BETWEEN 1 AND 6 GROUP BY doc, level) GROUP BY doc""",
+    f"""SELECT doc, level, {', '.join(f'{e} AS {c}' for c, e in _STYLE_SHOWN.items())} FROM (SELECT *, row_number() OVER (PARTITION BY
+    doc, level ORDER BY pos) AS n FROM (SELECT p_brand AS doc, p_partkey AS pos, p_size % 8 AS level, {_cols(_STYLE)} FROM part)
+    WHERE level BETWEEN 1 AND 6) WHERE n = 1""",
 )
 def _(spark, d):
-    styles = table(spark, d, "part").selectExpr(
-        "p_brand AS doc", "p_partkey AS pos", "p_size % 8 AS level", "p_type AS font", "20 + p_size AS size", "p_size % 2 = 0 AS bold"
-    )
-    entries = F.transform(
-        F.map_entries("headings"),
-        lambda e: F.concat(
-            e["key"].cast("string"), F.lit(":"), e["value"]["font"], F.lit(","), e["value"]["size"].cast("string"), F.lit(","),
-            e["value"]["bold"].cast("string"),
-        ),
-    )
-    return Y.heading_map(styles).select("doc", F.array_join(entries, ";").alias("headings"))
+    styles = table(spark, d, "part").selectExpr("p_brand AS doc", "p_partkey AS pos", "p_size % 8 AS level", *[f"{e} AS {n}" for n, e in _STYLE.items()])
+    return Y.heading_map(styles).select("doc", F.explode("headings").alias("level", "a")).select("doc", "level", "a.*")
 
 
 @query(
@@ -299,7 +311,10 @@ def _(spark, d):
 @query(
     "l29_body_usage",
     """SELECT doc, arg_min(font, pos) FILTER (font IS NOT NULL) AS body_font, arg_min(size, pos) FILTER (size IS NOT NULL) AS
-    body_size, bool_or(bold) AS bold, bool_or(italic) AS italic FROM v_para WHERE pos < 10 GROUP BY doc""",
+    body_size, bool_or(bold) AS bold, bool_or(italic) AS italic, bool_or(underline) AS underline, max(alignment) FILTER (pos = 0) AS
+    alignment, nullif(max(line_spacing_rule) FILTER (pos = 0), '') AS line_spacing_rule, max(line_spacing) FILTER (pos = 0) AS
+    line_spacing, max(space_before) FILTER (pos = 0) AS space_before, max(space_after) FILTER (pos = 0) AS space_after,
+    max(first_line) FILTER (pos = 0) AS first_line FROM v_para WHERE pos < 10 GROUP BY doc""",
 )
 def _(spark, d):
     return Y.usage_facts(v_para(spark, d))
@@ -309,7 +324,9 @@ def _(spark, d):
     "l29_heading_usage",
     """SELECT doc, CAST(style[9:9] AS INTEGER) AS level, arg_max(font, pos) FILTER (font IS NOT NULL) AS font,
     arg_max(size, pos) FILTER (size IS NOT NULL) AS size, arg_max(alignment, pos) FILTER (alignment IS NOT NULL) AS alignment,
-    bool_or(bold) AS bold, bool_or(italic) AS italic FROM v_para WHERE style LIKE 'Heading%' GROUP BY doc, level""",
+    arg_max(space_before, pos) FILTER (space_before IS NOT NULL) AS space_before, arg_max(space_after, pos) FILTER (space_after IS
+    NOT NULL) AS space_after, bool_or(bold) AS bold, bool_or(italic) AS italic, bool_or(underline) AS underline FROM v_para
+    WHERE style LIKE 'Heading%' GROUP BY doc, level""",
 )
 def _(spark, d):
     return Y.heading_usage(v_para(spark, d, ranked=False), _ORDER)

@@ -97,6 +97,63 @@ def test_layer_merge_keeps_falsy_values(spark):
     assert got == {"size": "0", "font": "Arial", "headings.1.font": "Calibri Light"}
 
 
+def test_resolved_leaves_equal_the_row_merge(spark):
+    """Maps laid over constant defaults: a null never overrides, falsy values do, a missing layer changes nothing."""
+    rows = [
+        (1, {"body_size_halfpt": "22", "headings.1.font": None, "own": ""}, {"body_size_halfpt": "0", "body_font": None}),
+        (2, None, None),
+        (3, {"has_toc": "true"}, None),
+    ]
+    frame = spark.createDataFrame(rows, "entity long, e map<string, string>, o map<string, string>")
+    got = {}
+    for r in layers.rule_rows(frame, layers.resolved(F.col("e"), F.col("o"))).collect():
+        got.setdefault(r.entity, {})[r.key] = (r.value, r.source)
+    base = {k: (v, "defaults") for k, v in layers.DEFAULTS.items()}
+    assert got[2] == base
+    assert got[1] == base | {"body_size_halfpt": ("0", "override"), "own": ("", "extracted")}
+    assert got[3] == base | {"has_toc": ("true", "extracted")}
+    long = spark.createDataFrame(
+        [(1, "a", "1", 1, 0), (1, "a", "2", 1, 1), (1, "b", None, 1, 0), (1, "b", "3", 2, 0), (2, "b", "4", 2, 0), (2, "c", "5", 0, 0)],
+        "entity long, key string, value string, priority int, seq int",
+    )
+    maps = {r.entity: (r.low, r.high) for r in layers.layer_maps(long, {1: "low", 2: "high"}).collect()}
+    assert maps == {1: ({"a": "2"}, {"b": "3"}), 2: ({}, {"b": "4"})}
+    changed = layers.diff_maps(frame, F.col("e"), F.col("o")).collect()
+    assert {(r.entity, r.key, r.before, r.after) for r in changed} == {(1, "body_size_halfpt", "22", "0"), (1, "own", "", None), (3, "has_toc", "true", None)}
+
+
+def formatting(spark, rules, flat=None, typography=None, numbered=None, summary=None):
+    kind = "rules map<string, string>, flat map<string, string>, typography map<string, string>, heading_numbering boolean, cover_summary_text string"
+    frame = spark.createDataFrame([(1, rules, flat, typography, numbered, summary)], f"entity long, {kind}")
+    return layers.effective_formatting(frame).first().asDict()
+
+
+def test_effective_formatting_of_no_rules_is_the_defaults(spark):
+    got = formatting(spark, None)
+    assert len(got) == 131 and got["page_width_dxa"] == "11906" and got["margin_header_dxa"] == "720" and got["body_font"] == "Times New Roman"
+    assert got["body_line_spacing_factor"] == 1.5 and got["has_body_section"] and not got["has_page_numbers"] and not got["heading_numbering"]
+    assert got["page_number_format"] == "decimal" and got["prelim_page_format"] == "lowerRoman" and got["h1_left_indent_dxa"] is None
+    assert got["heading_1_size_halfpt"] == "36" and got["heading_6_space_after"] == "40" and got["signature_block_space_before_pt"] == "18.0"
+
+
+def test_effective_formatting_treats_falsy_and_null_apart(spark):
+    zeros = {"page_width_dxa": "0", "body_space_before": "0", "cover_title_bold": "false", "body_left_indent_dxa": "0", "body_font": "", "has_body_section": "false"}
+    got = formatting(spark, zeros, typography={"font_family": "Georgia", "alignment": "left", "line_spacing": " Double "}, numbered=True, summary="s")
+    assert got["page_width_dxa"] == "11906"  # falsy gives the default
+    assert (got["body_space_before"], got["cover_title_bold"], got["body_left_indent_dxa"]) == ("0", "false", "0")  # only null does
+    assert (got["body_font"], got["body_alignment"], got["body_line_spacing_factor"]) == ("Georgia", "left", 2.0)
+    assert not got["has_body_section"] and got["heading_numbering"] and got["cover_summary_text"] == "s"
+
+
+def test_effective_formatting_of_headings_numbers_and_flat_rules(spark):
+    got = formatting(spark, {"headings.2.bold": None, "headings.3.font": "", "body_page_format": "upperRoman", "body_line_spacing_val": "480"}, flat={"body_font": "Flat"})
+    assert got["heading_2_bold"] is None and got["heading_3_font"] == "" and got["heading_1_font"] == "Calibri"
+    assert got["page_number_format"] == "upperRoman" and got["body_line_spacing_factor"] == 2.0 and got["body_font"] == "Times New Roman"
+    got = formatting(spark, {}, flat={"body_font": "Flat", "body_space_after": None})
+    assert got["body_font"] == "Flat" and got["body_space_after"] == "120"
+    assert formatting(spark, {"body_line_spacing_val": "wide"})["body_line_spacing_factor"] == 1.0
+
+
 def test_priority_order_and_tie(spark):
     rows = [(1, "size", v, p, s, "x") for v, p, s in [("10", 0, 0), ("11", 1, 1), ("12", 2, 2), ("13", 2, 3)]]
     kv = spark.createDataFrame(rows, "entity long, key string, value string, priority int, seq int, source string")

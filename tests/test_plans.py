@@ -71,3 +71,10 @@ def test_user_filter_and_columns_reach_the_scan(spark, sf):
 def test_counts_are_combined_before_the_shuffle(spark, sf):
     text = plan(spark, QUERIES["h17_provider_outcomes"](spark, sf))
     assert text.count("HashAggregate") >= 2
+
+
+@pytest.mark.parametrize("name", ["l01_layered_merge", "l05_rule_diff", "l08_effective_formatting"])
+def test_rule_layers_are_merged_where_they_are(spark, sf, name):
+    """Defaults are a constant map, never rows: nothing moves, and leaves are exploded only after the merge."""
+    text = plan(spark, QUERIES[name](spark, sf))
+    assert "Exchange" not in text and text.count("FileScan") == 1
