@@ -3,38 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, lru_cache
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import saved, slices
+from quire.llm.wordscan import NONBLANKS, Words
 
 #: Edit bound: one word put in, left out or changed, in lines of at least this many words (a similarity of 0.8 or more).
 MIN_WORDS = 5
-#: Line flags go to every task as a broadcast only up to this many bytes; beyond it documents are joined by exchange.
-BROADCAST_BYTES = 64 << 20
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 FULL = -1
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 18
-
-
-class Codes(dict):
-    """Hash of every word met in this worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-@cache
-def codes() -> Codes:
-    return Codes()
 
 
 @lru_cache(maxsize=4)
@@ -45,15 +29,12 @@ def powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lines:
-    """Polynomial hashes of many lines' words at once, from which those of any part or variant follow."""
+    """Polynomial hashes of many lines' words at once, from which those of any part or variant follow: ``words`` has the
+    hashes of all words and ``n`` how many each line has."""
 
-    def __init__(self, lines: list[list[bytes]]):
-        known = codes()
-        if len(known) > REMEMBERED:
-            known.clear()
-        self.n = np.fromiter(map(len, lines), np.int64, len(lines))
+    def __init__(self, words: np.ndarray, n: np.ndarray):
+        self.words, self.n = words, n
         self.start = np.cumsum(self.n) - self.n
-        words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), np.uint64, int(self.n.sum()))
         place = np.arange(len(words)) - np.repeat(self.start, self.n)
         size = 1 << max(10, int(self.n.max(initial=0)).bit_length())
         self.powers = [powers(which, size) for which in (0, 1)]
@@ -62,6 +43,12 @@ class Lines:
             terms = (words ^ np.uint64(which * 0x5555555555555555)) * self.powers[which][0][place]
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(terms)]))
 
+    def only(self, which: np.ndarray) -> Lines:
+        """Some of the lines."""
+        n = self.n[which]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return Lines(self.words[np.repeat(self.start[which], n) + within], n)
+
     def full(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple((s[self.start + self.n] - s[self.start] + self.n.astype(np.uint64)).view(np.int64) for s in self.sums)
 
@@ -87,21 +74,33 @@ class Lines:
         return tuple(out)
 
 
-def chosen(texts: list, wanted: list) -> tuple[np.ndarray, np.ndarray, Lines]:
-    """Row and number of the wanted lines (line, k1, k2) of each text, and their hashes; a line that has changed is left out."""
-    row, number, found, keys = [], [], [], []
-    for i, (text, cells) in enumerate(zip(texts, wanted, strict=True)):
-        if cells and text:
-            parts = text.encode().split(b"\n")
-            for w in cells:
-                if w["line"] < len(parts):
-                    row.append(i)
-                    number.append(w["line"])
-                    keys.append((w["k1"], w["k2"]))
-                    found.append(parts[w["line"]].split())
-    k1, k2 = Lines(found).full()
-    same = [k for k, own in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)) if own == keys[k]]
-    return np.array(row, np.int64)[same], np.array(number, np.int64)[same], Lines([found[k] for k in same])
+def lines_of(texts: pa.Array) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """All lines with words of some texts, and of each the text's place and its number in the text."""
+    scan = Words(texts, NONBLANKS)
+    line, first = scan.lines()
+    new = np.flatnonzero(np.diff(line, prepend=-1))
+    lines = Lines(scan.hashes(), np.diff(np.append(new, len(line))))
+    text = scan.text_of()[new]
+    return lines, text, line[new] - first[text]
+
+
+def chosen(texts: pa.Array, wanted: pa.ListArray) -> tuple[np.ndarray, np.ndarray, Lines]:
+    """Place of the text and number of the wanted lines (line, k1, k2), and their hashes; a line that has changed is left out."""
+    some = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(wanted), 0)))
+    cells = wanted.take(pa.array(some))
+    of = np.repeat(some, np.asarray(pc.list_value_length(cells), np.int64))
+    line, k1, k2 = (np.asarray(cells.flatten().field(i), np.int64) for i in range(3))
+    lines, text, number = lines_of(texts.take(pa.array(some)))
+    text = some[text] if len(some) else text
+    # Lines come by text and number, so a wanted one is found by its place in that order.
+    width = int(max(number.max(initial=0), line.max(initial=0))) + 1
+    at = np.searchsorted(text * width + number, of * width + line)
+    ok = at < len(text)
+    ok[ok] = (text[at[ok]] == of[ok]) & (number[at[ok]] == line[ok])
+    own = lines.full()
+    ok[ok] = (own[0][at[ok]] == k1[ok]) & (own[1][at[ok]] == k2[ok])
+    at = at[ok]
+    return text[at], number[at], lines.only(at)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -109,20 +108,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found, docs_, numbers = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, line in enumerate((text or "").encode().split(b"\n")):
-                    words = line.split()
-                    if words:
-                        found.append(words)
-                        docs_.append(doc)
-                        numbers.append(number)
-            lines = Lines(found)
+            lines, docs_, numbers = lines_of(batch.column(1))
+            docs_ = batch.column(0).take(pa.array(docs_))
             k1, k2 = lines.full()
             long = lines.n >= MIN_WORDS
             offsets = np.concatenate([[0], np.cumsum(long) * 4]).astype(np.int32)
             anchors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lines.anchors()[long].ravel()))
-            columns = [pa.array(k1), pa.array(k2), pa.array(docs_, pa.int64()), pa.array(numbers, pa.int64()), anchors]
+            columns = [pa.array(k1), pa.array(k2), docs_, pa.array(numbers), anchors]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "line", "anchors"])
 
     return docs.mapInArrow(run, "k1 long, k2 long, doc_id long, line long, anchors array<long>")
@@ -136,23 +128,22 @@ def edited(marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            doc, texts, wanted = (batch.column(i).to_pylist() for i in range(3))
-            row, number, lines = chosen(texts, wanted)
+            row, number, lines = chosen(batch.column(1), batch.column(2))
             of = np.concatenate([np.repeat(np.arange(len(row)), lines.n), np.arange(len(row))])
             gap = np.concatenate([np.arange(len(of) - len(row)) - np.repeat(lines.start, lines.n), np.full(len(row), FULL)])
             k1, k2 = lines.full()
             v1, v2 = (np.concatenate(v) for v in zip(lines.variants(), (k1, k2), strict=True))
-            columns = [v1, v2, gap, k1[of], k2[of], np.array(doc, np.int64)[row][of], number[of], lines.n[of]]
+            doc = np.asarray(batch.column(0), np.int64)[row]
+            columns = [v1, v2, gap, k1[of], k2[of], doc[of], number[of], lines.n[of]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["v1", "v2", "gap", "k1", "k2", "doc_id", "line", "words"])
 
     return marked.mapInArrow(run, "v1 long, v2 long, gap long, k1 long, k2 long, doc_id long, line long, words long")
 
 
 def with_lines(docs: DataFrame, flags: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the flagged lines of each document as an array; texts move only if the flags are not small."""
+    """``docs`` with the flagged lines of each document as an array."""
     per_doc = flags.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line", "k1", "k2")).alias(name))
-    small = flags.count() * 24 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(per_doc) if small else per_doc, docs["doc_id"] == per_doc["_doc"], "left").drop("_doc")
+    return docs.join(per_doc, docs["doc_id"] == per_doc["_doc"], "left").drop("_doc")
 
 
 def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -201,23 +192,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     dropped = saved(seen.drop("anchors").join(known, ["k1", "k2"]).where(place > F.col("start")).select("doc_id", "line", "k1", "k2"), "dropped-lines")
     base = docs.drop("n_lines", "n_dropped")
     names = base.columns
-    marked = with_lines(base, dropped, "_dropped")
+    # The rows of documents move as they are, under names that no column of theirs can clash with.
+    own = base.toDF(*[f"_c{i}" for i in range(len(names))]).withColumnRenamed(f"_c{names.index('doc_id')}", "doc_id")
+    marked = with_lines(own, dropped, "_dropped_lines")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = batch.column(at).to_pylist()
-            row, number, _ = chosen(texts, batch.column(len(names)).to_pylist())
+        for batch in slices(batches, f"_c{at}"):
+            texts = batch.column(at)
+            row, number, _ = chosen(texts, batch.column(len(names)))
             cut: dict[int, set[int]] = {}
             for i, k in zip(row.tolist(), number.tolist(), strict=True):
                 cut.setdefault(i, set()).add(k)
-            counts = [0 if t is None else t.count("\n") + 1 for t in texts]
-            for i, gone in cut.items():
-                texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+            counts = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int64())
+            mask, gone = np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
+            mask[list(cut)] = True
+            gone[list(cut)] = [len(x) for x in cut.values()]
+            left = []
+            for i in sorted(cut):
+                left.append("\n".join(x for k, x in enumerate(texts[i].as_py().split("\n")) if k not in cut[i]))
             columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            dropped_ = [len(cut.get(i, ())) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped_, pa.int64())], [*names, "n_lines", "n_dropped"])
+            columns[at] = pc.replace_with_mask(texts.cast(pa.string()), pa.array(mask), pa.array(left, pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, counts, pa.array(gone)], [*names, "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return marked.mapInArrow(run, f"{schema}, n_lines long, n_dropped long")
+    schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return marked.mapInArrow(run, schema)

@@ -26,6 +26,10 @@ def folding(*separators: tuple[int, int]) -> np.ndarray:
 #: Words of letters, and of letters and digits; every byte of a character beyond ASCII belongs to a word.
 LETTERS = folding((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 ALPHANUMERICS = folding((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
+#: Words of all but blanks, as they are; a zero byte, which parts no words here, stands as a byte that UTF-8 does not have.
+NONBLANKS = np.arange(256, dtype=np.uint8)
+NONBLANKS[[*range(0x09, 0x0E), 0x20]] = 0
+NONBLANKS[0] = 0xFF
 
 
 @cache
@@ -36,18 +40,21 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 class Words:
     """The words of a column of texts: ``start`` and ``end`` in ``data``, the column's folded bytes, in which every text is
-    followed by a separator; ``first`` has the number of words before each text. Null counts as empty."""
+    followed by a separator; ``first`` has the number of words before each text and ``raw`` the bytes as they were. Null counts
+    as empty."""
 
     def __init__(self, column: pa.Array, fold: np.ndarray):
         texts = pc.binary_join_element_wise(pc.fill_null(column.cast(pa.large_string()), ""), *(pa.scalar(x, pa.large_string()) for x in ("\n", "")))
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         size = int(offsets[-1] - offsets[0]) if len(texts) else 0
-        self.data = fold[np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0]))] if size else np.zeros(0, np.uint8)
+        self.raw = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0])) if size else np.zeros(0, np.uint8)
+        self.data = fold[self.raw]
         inside = np.zeros(size + 1, np.int8)
         inside[1:] = self.data != 0
         change = np.flatnonzero(np.diff(inside))
         self.start, self.end = change[::2], change[1::2]
-        self.first = np.searchsorted(self.start, (offsets - offsets[0]) if len(texts) else np.zeros(1, np.int64))
+        self.offsets = offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
+        self.first = np.searchsorted(self.start, self.offsets)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -56,6 +63,11 @@ class Words:
         """The place of the text that each word is in."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number, among all lines of all texts, of the line that each word is in, and of each text's first line."""
+        ends = np.flatnonzero(self.raw == 10)
+        return np.searchsorted(ends, self.start), np.searchsorted(ends, self.offsets)
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, from sums of its bytes times powers of a base, in blocks."""
         power, inverse = _powers()

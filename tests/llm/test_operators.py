@@ -436,7 +436,7 @@ def test_line_dedup(spark, odd_docs):
     rng = np.random.default_rng(9)
     word = [f"w{k}" for k in range(6)]
     rows = [(i, "\n".join(" ".join(rng.choice(word, rng.integers(0, 9))) for _ in range(6))) for i in range(60)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("line", "_doc", "_dropped", "k1", "_c0", "a`b")})
     got = {r.doc_id: r for r in linededup.deduplicated(frame).collect()}
     cut = kept_lines(rows)
     for i, text in rows:
