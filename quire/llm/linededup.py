@@ -17,6 +17,9 @@ from quire.llm.wordscan import NONBLANKS, Words
 
 #: Edit bound: one word put in, left out or changed, in lines of at least this many words (a similarity of 0.8 or more).
 MIN_WORDS = 5
+#: Line flags go to every task as a broadcast only up to this many bytes, which are counted; beyond it documents are joined by
+#: exchange. The rows are the same.
+BROADCAST_BYTES = 64 << 20
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 FULL = -1
 
@@ -141,9 +144,10 @@ def edited(marked: DataFrame) -> DataFrame:
 
 
 def with_lines(docs: DataFrame, flags: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the flagged lines of each document as an array."""
+    """``docs`` with the flagged lines of each document as an array; texts move only if the flags are not small."""
     per_doc = flags.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("line", "k1", "k2")).alias(name))
-    return docs.join(per_doc, docs["doc_id"] == per_doc["_doc"], "left").drop("_doc")
+    small = flags.count() * 24 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(per_doc) if small else per_doc, docs["doc_id"] == per_doc["_doc"], "left").drop("_doc")
 
 
 def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
