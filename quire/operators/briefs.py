@@ -189,25 +189,18 @@ def token_events(low: Column, field: str) -> Column:
     """array<struct(position, ord, token, value)> of every non-overlapping occurrence, in text order."""
 
     def hits(ord_: int, token: str, value: str) -> Column:
-        pieces = F.split(low, rf"\Q{token}\E", -1)
-
-        def event(p: Column, i: Column) -> Column:
-            return F.struct(
-                F.length(F.array_join(F.slice(p, F.lit(1), i), token)).alias("position"),
-                F.lit(ord_).alias("ord"),
-                F.lit(token).alias("token"),
-                F.lit(value).alias("value"),
-            )
-
-        return F.element_at(
-            F.transform(
-                F.array(pieces),
-                lambda p: F.when(
-                    F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: event(p, i))
-                ).otherwise(F.array().cast("array<struct<position:int,ord:int,token:string,value:string>>")),
-            ),
-            1,
-        )
+        """Positions are running sums of the lengths between occurrences; a text without the token is not split."""
+        none = F.array().cast("array<struct<position:int,ord:int,token:string,value:string>>")
+        start = F.struct(F.lit(0).alias("at"), none.alias("events"))
+
+        def step(acc: Column, gap: Column) -> Column:
+            at = acc["at"] + gap
+            event = F.struct(at.alias("position"), F.lit(ord_).alias("ord"), F.lit(token).alias("token"), F.lit(value).alias("value"))
+            return F.struct((at + len(token)).alias("at"), F.concat(acc["events"], F.array(event)).alias("events"))
+
+        gaps = F.transform(F.split(low, rf"\Q{token}\E", -1), lambda p: F.length(p))
+        found = F.aggregate(T.let(gaps, lambda g: F.slice(g, F.lit(1), F.size(g) - 1)), start, step, lambda acc: acc["events"])
+        return F.when(low.contains(token), found).otherwise(none)
 
     return F.array_sort(F.concat(*[hits(i, t, v) for i, (t, v) in enumerate(TOKENS[field])]))
 
