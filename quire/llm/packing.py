@@ -20,8 +20,8 @@ from quire.llm.bpe import Memo
 from quire.llm.common import saved, slices, texts_in
 
 VOCABULARY, END, CAPACITY = "byte_bpe_50k.json", 2, 1024
-#: Pieces packed together in one task.
-SHARE = 32_768
+#: Pieces packed together in one task; bytes of text encoded at a time.
+SHARE, BYTES = 32_768, 2 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -81,7 +81,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BYTES):
             ids, counts = token_ids(texts_in(batch), path)
             closed = np.insert(ids.astype("<u4"), np.cumsum(counts), end)
             counts = counts + 1
