@@ -283,7 +283,7 @@ def _kv(label: str, value: Column) -> Column:
 
 
 def compiled_digest() -> Column:
-    """Text summary of a compiled rules row (fixed labels and list caps)."""
+    """Text summary of a compiled rules row. All labels and list caps."""
     c = F.col
     return F.array_join(
         F.flatten(

@@ -218,6 +218,7 @@ def warnings() -> Column:
         return F.when(cond, F.lit(text))
 
     size, width = number("body_size_halfpt"), number("page_width_dxa")
+    # The messages and their limits.
     items = [msg(F.col(k).isNull(), f"Required key is None: {k}") for k in REQUIRED]
     items.append(msg((width != 0) & (width < 3000), "Page width suspiciously small (< 2 inches)"))
     items.append(msg((size != 0) & (size < 16), "Body font size very small (< 8pt)"))

@@ -45,12 +45,17 @@ def latest_live(templates: DataFrame) -> DataFrame:
     )
 
 
+# The hint texts.
+MIGRATE = "Please migrate to "
+NO_VERSION = "No non-deprecated version is available."
+
+
 def deprecation_report(templates: DataFrame) -> DataFrame:
     """Deprecated versions with a migration hint."""
     old = templates.filter("deprecated").select("template_id", "version").distinct()
     hint = F.when(
-        F.col("latest").isNotNull(), F.concat(F.lit("Please migrate to "), "template_id", F.lit("@"), "latest", F.lit("."))
-    ).otherwise("No non-deprecated version is available.")
+        F.col("latest").isNotNull(), F.concat(F.lit(MIGRATE), "template_id", F.lit("@"), "latest", F.lit("."))
+    ).otherwise(NO_VERSION)
     return old.join(latest_live(templates), "template_id", "left").select("template_id", "version", hint.alias("hint"))
 
 

@@ -301,44 +301,104 @@ _TYPE = {
 }
 
 
-# The expected defaults, written out for the SQL text alone.
-_L8_FALSY = """page_width_dxa 11906, page_height_dxa 16838, margin_top_dxa 1440, margin_bottom_dxa 1440, margin_left_dxa 1800, margin_right_dxa 1800,
-    margin_header_dxa 720, margin_footer_dxa 720, body_size_halfpt 24, body_line_spacing_val 360, body_space_after 120, body_page_format decimal,
-    prelim_page_format lowerRoman, page_number_alignment center"""
-_L8_NULL = """body_space_before 0, cover_title_size_pt 20.0, cover_title_leading_factor 1.15, cover_title_alignment center,
-    cover_title_space_after_pt 12.0, cover_title_bold true, cover_subtitle_size_pt 10.0, cover_subtitle_leading_factor 1.1,
-    cover_subtitle_alignment center, cover_subtitle_space_after_pt 10.0, cover_subtitle_italic true, cover_summary_size_pt 9.0,
-    cover_summary_leading_factor 1.05, cover_summary_alignment center, cover_summary_space_after_pt 8.0, signature_alignment center,
-    signature_label_size_pt 10.0, signature_label_bold true, signature_line_size_pt 10.0, signature_name_size_pt 9.0,
-    signature_name_italic false, signature_block_space_before_pt 18.0, heading_leading_factor 1.2, list_left_indent_pt 18.0,
-    list_block_spacing_pt 6.0"""
-_L8_PLAIN = """body_left_indent_dxa body_right_indent_dxa body_first_line_indent_dxa list_first_line_indent_pt h1_left_indent_dxa
-    h1_right_indent_dxa h1_first_line_indent_dxa h2_left_indent_dxa h2_right_indent_dxa h2_first_line_indent_dxa h3_left_indent_dxa
-    h3_right_indent_dxa h3_first_line_indent_dxa"""
-_L8_SIZES = {1: "36 240 120", 2: "32 200 100", 3: "28 160 80", 4: "26 120 60", 5: "24 100 50", 6: "22 80 40"}
-_L8_SHARED = "font Calibri, alignment left, bold true, italic false, underline false, caps false, small_caps false, numbering false"
+# The expected defaults of the effective formatting, for the SQL text alone.
+_FALSY_DEFAULTS = {
+    "page_width_dxa": "11906",
+    "page_height_dxa": "16838",
+    "margin_top_dxa": "1440",
+    "margin_bottom_dxa": "1440",
+    "margin_left_dxa": "1800",
+    "margin_right_dxa": "1800",
+    "margin_header_dxa": "720",
+    "margin_footer_dxa": "720",
+    "body_size_halfpt": "24",
+    "body_line_spacing_val": "360",
+    "body_space_after": "120",
+    "body_page_format": "decimal",
+    "prelim_page_format": "lowerRoman",
+    "page_number_alignment": "center",
+}
+_NULL_DEFAULTS = {
+    "body_space_before": "0",
+    "cover_title_size_pt": "20.0",
+    "cover_title_leading_factor": "1.15",
+    "cover_title_alignment": "center",
+    "cover_title_space_after_pt": "12.0",
+    "cover_title_bold": "true",
+    "cover_subtitle_size_pt": "10.0",
+    "cover_subtitle_leading_factor": "1.1",
+    "cover_subtitle_alignment": "center",
+    "cover_subtitle_space_after_pt": "10.0",
+    "cover_subtitle_italic": "true",
+    "cover_summary_size_pt": "9.0",
+    "cover_summary_leading_factor": "1.05",
+    "cover_summary_alignment": "center",
+    "cover_summary_space_after_pt": "8.0",
+    "signature_alignment": "center",
+    "signature_label_size_pt": "10.0",
+    "signature_label_bold": "true",
+    "signature_line_size_pt": "10.0",
+    "signature_name_size_pt": "9.0",
+    "signature_name_italic": "false",
+    "signature_block_space_before_pt": "18.0",
+    "heading_leading_factor": "1.2",
+    "list_left_indent_pt": "18.0",
+    "list_block_spacing_pt": "6.0",
+}
+_NO_DEFAULTS = [
+    "body_left_indent_dxa",
+    "body_right_indent_dxa",
+    "body_first_line_indent_dxa",
+    "list_first_line_indent_pt",
+    "h1_left_indent_dxa",
+    "h1_right_indent_dxa",
+    "h1_first_line_indent_dxa",
+    "h2_left_indent_dxa",
+    "h2_right_indent_dxa",
+    "h2_first_line_indent_dxa",
+    "h3_left_indent_dxa",
+    "h3_right_indent_dxa",
+    "h3_first_line_indent_dxa",
+]
+_FLAGS = ["has_page_numbers", "page_number_section_restart", "has_cover_section", "has_prelim_section", "has_cover_image"]
+_HEADING_SIZES = {
+    1: {"size_halfpt": "36", "space_before": "240", "space_after": "120"},
+    2: {"size_halfpt": "32", "space_before": "200", "space_after": "100"},
+    3: {"size_halfpt": "28", "space_before": "160", "space_after": "80"},
+    4: {"size_halfpt": "26", "space_before": "120", "space_after": "60"},
+    5: {"size_halfpt": "24", "space_before": "100", "space_after": "50"},
+    6: {"size_halfpt": "22", "space_before": "80", "space_after": "40"},
+}
+_HEADING_SHARED = {
+    "font": "Calibri",
+    "alignment": "left",
+    "bold": "true",
+    "italic": "false",
+    "underline": "false",
+    "caps": "false",
+    "small_caps": "false",
+    "numbering": "false",
+}
 
 
 def _effective_sql() -> str:
-    pairs = lambda text: [x.split() for x in text.split(",")]
     r = lambda k: f"m['{k}']"
     truthy = lambda x: f"NOT ({x} IS NULL OR {x} IN ('', '0', '0.0', 'false'))"
-    out = {k: _falsy(r(k), f"'{v}'") for k, v in pairs(_L8_FALSY)}
+    out = {k: _falsy(r(k), f"'{v}'") for k, v in _FALSY_DEFAULTS.items()}
     out["body_font"] = _falsy(r("body_font"), "(" + _falsy("type_font", "'Times New Roman'") + ")")
     out["body_alignment"] = _falsy(r("body_alignment"), "(" + _falsy("type_alignment", "'both'") + ")")
     out["body_line_spacing_factor"] = f"""(CASE lower(trim(coalesce({_falsy('type_spacing', r('body_line_spacing_rule'))}, ''))) WHEN 'single' THEN 1.0
         WHEN '1' THEN 1.0 WHEN '1.0' THEN 1.0 WHEN '1.5' THEN 1.5 WHEN 'double' THEN 2.0 ELSE
         round(CAST(coalesce({r('body_line_spacing_val')}, '360') AS DOUBLE) / 240.0, 6) END)::DOUBLE"""
-    out |= {k: f"coalesce({r(k)}, '{v}')" for k, v in pairs(_L8_NULL)}
-    out |= {k: r(k) for k in _L8_PLAIN.split()}
-    out |= {k: truthy(r(k)) for k in "has_page_numbers page_number_section_restart has_cover_section has_prelim_section has_cover_image".split()}
+    out |= {k: f"coalesce({r(k)}, '{v}')" for k, v in _NULL_DEFAULTS.items()}
+    out |= {k: r(k) for k in _NO_DEFAULTS}
+    out |= {k: truthy(r(k)) for k in _FLAGS}
     out["has_body_section"] = f"NOT list_contains(map_keys(m), 'has_body_section') OR {truthy(r('has_body_section'))}"
     out["heading_numbering"] = "coalesce(numbered, false)"
     out["page_number_format"] = _falsy(r("page_number_format"), "(" + _falsy(r("body_page_format"), "'decimal'") + ")")
     out["cover_summary_text"] = _falsy(r("cover_summary_text"), "compiled_summary")
-    for level, sizes in _L8_SIZES.items():
-        own = dict(zip(("size_halfpt", "space_before", "space_after"), sizes.split(), strict=True)) | dict(pairs(_L8_SHARED))
-        for field, value in own.items():
+    for level, sizes in _HEADING_SIZES.items():
+        for field, value in (sizes | _HEADING_SHARED).items():
             key = f"headings.{level}.{field}"
             out[f"heading_{level}_{field}"] = f"CASE WHEN list_contains(map_keys(m), '{key}') THEN {r(key)} ELSE '{value}' END"
     layer = ", ".join(f"{{'k': '{k}', 'v': {e.format(k=_K)}}}" for k, e in LAYER.items())

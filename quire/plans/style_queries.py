@@ -262,25 +262,52 @@ _RECORD += ["CASE WHEN entity % 3 = 0 THEN 'center' END AS h1_alignment", "CASE
 _RECORD += ["CASE WHEN entity % 5 = 0 THEN '7' END AS element_count_tables", "CASE WHEN entity % 2 = 0 THEN 'true' END AS h6_is_italic"]
 
 
+# The fallback of every key of the flat style record, for the SQL text alone; headings follow per level.
+_RECORD_FALLBACKS = {
+    "body_font": "Times New Roman",
+    "body_size_halfpt": "24",
+    "body_alignment": "both",
+    "body_line_spacing_val": "360",
+    "body_line_spacing_rule": "auto",
+    "body_space_before": "0",
+    "body_space_after": "120",
+    "body_first_line_indent_dxa": "0",
+    "body_is_bold": "false",
+    "body_is_italic": "false",
+    "body_is_underline": "false",
+    "has_page_numbers": "false",
+    "page_number_format": "decimal",
+    "page_number_alignment": "center",
+    "element_count_tables": "0",
+    "element_count_images": "0",
+    "element_count_lists": "0",
+    "element_count_paragraphs": "0",
+    "flag_markdown_leak": "false",
+    "flag_artifact_numbers": "false",
+    "flag_mixed_fonts": "false",
+    "flag_inconsistent_spacing": "false",
+}
+_RECORD_HEADING = {"font": "Calibri", "alignment": "left", "is_bold": "true", "is_italic": "false"}
+_RECORD_SIZES = {1: "36", 2: "32", 3: "28", 4: "26", 5: "24", 6: "22"}
+_RECORD_UNDERLINED_LEVELS = (1, 2, 3, 4)
+_RECORD_SPACES = {1: ("240", "120"), 2: ("200", "100"), 3: ("160", "80")}
+
+
 def _record_sql() -> str:
     own = {"h1_font", "h1_size_halfpt", "h1_alignment", "h4_font", "element_count_tables", "h6_is_italic", "body_font", "body_size_halfpt"}
     own |= {"body_alignment", "body_line_spacing_val", "body_line_spacing_rule", "body_space_before", "body_space_after"}
-    rest = "body_font=Times New Roman body_size_halfpt=24 body_alignment=both body_line_spacing_val=360 body_line_spacing_rule=auto"
-    items = rest.replace("Times New Roman", "Times_New_Roman").split() + ["body_space_before=0", "body_space_after=120"]
-    items += ["body_first_line_indent_dxa=0", "body_is_bold=false", "body_is_italic=false", "body_is_underline=false"]
-    for n, size in enumerate("36 32 28 26 24 22".split(), 1):
-        items += [f"h{n}_font=Calibri", f"h{n}_size_halfpt={size}", f"h{n}_alignment=left", f"h{n}_is_bold=true", f"h{n}_is_italic=false"]
-    items += [f"h{n}_is_underline=false" for n in (1, 2, 3, 4)]
-    items += "h1_space_before=240 h1_space_after=120 h2_space_before=200 h2_space_after=100 h3_space_before=160 h3_space_after=80".split()
-    items += "has_page_numbers=false page_number_format=decimal page_number_alignment=center".split()
-    items += [f"element_count_{x}=0" for x in ("tables", "images", "lists", "paragraphs")]
-    items += [f"flag_{x}=false" for x in ("markdown_leak", "artifact_numbers", "mixed_fonts", "inconsistent_spacing")]
+    own |= {"has_page_numbers", "page_number_format"}
+    values = dict(_RECORD_FALLBACKS)
+    for n, size in _RECORD_SIZES.items():
+        values |= {f"h{n}_size_halfpt": size} | {f"h{n}_{k}": v for k, v in _RECORD_HEADING.items()}
+    values |= {f"h{n}_is_underline": "false" for n in _RECORD_UNDERLINED_LEVELS}
+    for n, (before, after) in _RECORD_SPACES.items():
+        values |= {f"h{n}_space_before": before, f"h{n}_space_after": after}
     out = []
-    for key, value in (i.split("=") for i in items):
+    for key, value in values.items():
         chain = [key] if key in own else []
         chain += [f"body_{key[3:]}"] if key[:1] == "h" and key[2:] in ("_font", "_alignment") else []
-        text = value.replace("_", " ")
-        out.append(f"coalesce({', '.join([*chain, repr(text)])}) AS {key}")
+        out.append(f"coalesce({', '.join([*chain, repr(value)])}) AS {key}")
     return f"SELECT entity, {', '.join(out)} FROM (SELECT {', '.join(_RECORD)} FROM rule_raw_wide)"
 
 
