@@ -49,8 +49,8 @@ def test_backoff_in_any_order_equals_the_batch_job(spark, tmp_path):
     _files(spark, close, SCORES, src, 1)
     run()
     got = sorted((r.report_id, r.stop_attempt, r.reason) for r in live.read_batches(spark, out).collect())
-    batch = spark.createDataFrame(rows, SCORES).withColumn("day", F.to_date("ts"))
-    stops = attempts.stop_points(attempts.streaks(batch, ["ts", "event_id"], "day")).filter("stop_attempt is not null")
+    batch = spark.createDataFrame(rows, SCORES)
+    stops = attempts.stop_points(attempts.streaks(batch, ["ts", "event_id"])).filter("stop_attempt is not null")
     assert got == sorted((r.report_id, r.stop_attempt, r.reason) for r in stops.collect())
     # 10, 20, 15, 12: the streak reaches two on the fourth attempt
     assert got == [(0, 4, "backoff"), (1, 4, "backoff"), (2, 4, "backoff")]
