@@ -44,15 +44,17 @@ def capacity(total_lines: Column, target_pages: Column, line_spacing: Column) ->
     return F.when((target_pages > 0) & (total_lines > 0), tuned).otherwise(base)
 
 
-def pack(blocks: DataFrame, cap: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Sequential packing: a block that does not fit opens the next page, even on an empty page.
+def block_items() -> Column:
+    """Aggregate: a document's blocks in order as array<struct(pos, kind, cost)>."""
+    item = F.struct(F.col("block_no").alias("pos"), "kind", block_cost(F.col("kind"), F.col("text")).alias("cost"))
+    return F.array_sort(F.collect_list(item))
+
+
+def page_slices(items: Column, cap: Column) -> Column:
+    """One array of items per page; only the first may be empty, when its first block does not fit.
 
-    The recurrence resets at every page, so it is a fold over one document's cost array. The fold only records where
-    pages begin; offsets inside a page are summed over that page's few blocks. ``cap`` may use the key columns and
-    constants.
+    The recurrence resets at every page, so it is a fold over one document's cost array that only records where pages begin.
     """
-    item = F.struct(F.col("block_no").alias("pos"), "kind", block_cost(F.col("kind"), F.col("text")).alias("cost"))
-    docs = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def starts(items: Column) -> Column:
         zero = F.struct(
@@ -78,7 +80,35 @@ def pack(blocks: DataFrame, cap: Column, keys: tuple[str, ...] = ("doc_id",)) ->
             ),
         )
 
-    paged = docs.select(*keys, F.posexplode(let(F.col("items"), pages)).alias("page", "on_page"))
+    return let(items, pages)
+
+
+def page_profiles(items: Column, cap: Column) -> Column:
+    """array<struct(page, lines, headings, paragraphs, lists, blocks)>: ``page_profile`` of one document without a shuffle."""
+
+    def profile(on_page: Column, k: Column) -> Column:
+        def count(*kinds: str) -> Column:
+            return F.size(F.filter(on_page, lambda x: x["kind"].isin(*kinds))).cast("long")
+
+        return F.struct(
+            (k + 1).alias("page"),
+            F.aggregate(on_page, F.lit(0).cast("long"), lambda acc, x: acc + x["cost"]).alias("lines"),
+            count("heading").alias("headings"),
+            count("paragraph").alias("paragraphs"),
+            count("list_item", "ordered_list_item").alias("lists"),
+            F.size(on_page).cast("long").alias("blocks"),
+        )
+
+    return F.filter(F.transform(page_slices(items, cap), profile), lambda p: p["blocks"] > 0)
+
+
+def pack(blocks: DataFrame, cap: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Sequential packing: a block that does not fit opens the next page, even on an empty page.
+
+    Offsets inside a page are summed over that page's few blocks. ``cap`` may use the key columns and constants.
+    """
+    docs = blocks.groupBy(*keys).agg(block_items().alias("items"))
+    paged = docs.select(*keys, F.posexplode(page_slices(F.col("items"), cap)).alias("page", "on_page"))
 
     def before(i: Column) -> Column:
         return F.aggregate(F.slice("on_page", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["cost"])
@@ -324,9 +354,9 @@ def nearest_widths(wanted: DataFrame, calibrated: DataFrame) -> DataFrame:
     )
 
 
-def acceptance(j: DataFrame) -> DataFrame:
+def acceptance(j: DataFrame, keys: tuple[str, ...] = _KEYS) -> DataFrame:
     """Acceptance gate: thresholds, sim_a, sim_b, ratio, average_score, pages, failed_pages, placed, rendered_blocks and
-    penalty on one row per document."""
+    penalty on one row per packed document."""
 
     def dec(c: Column) -> Column:
         return c.cast("decimal(12,2)")
@@ -387,7 +417,7 @@ def acceptance(j: DataFrame) -> DataFrame:
     rule = F.greatest(F.lit(0), 100 - F.col("penalty"))
     total = F.col("s") * num("0.4") + F.col("f") * num("0.35") + rule * num("0.25") - F.col("penalty")
     return r.select(
-        "doc_id",
+        *keys,
         F.col("sim").cast("double").alias("similarity"),
         F.col("hr").cast("double").alias("heading_ratio"),
         F.col("visual").cast("double").alias("visual"),

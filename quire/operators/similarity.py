@@ -49,8 +49,8 @@ def bag_dice(pairs: DataFrame, left: str = "source", right: str = "rendered", ke
     return bag_dice_all(pairs, left, {"similarity": right}, key)
 
 
-def heading_match(pairs: DataFrame) -> DataFrame:
-    """doc_id, expected, matched, ratio: expected heading texts contained in any rendered line of the same document."""
+def heading_match(pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, expected, matched, ratio: expected heading texts contained in any rendered line of the same document."""
     heads = F.transform(
         F.filter(
             F.transform(T.split_lines(F.col("source")), T.strip),
@@ -63,11 +63,12 @@ def heading_match(pairs: DataFrame) -> DataFrame:
     )
     # A heading inside some line is a heading inside the newline-joined lines, as headings hold no line break.
     body = F.array_join(rendered, "\n")
-    rows = pairs.select("doc_id", heads.alias("heads"), body.alias("body"))
+    rows = pairs.select("doc_id", *keep, heads.alias("_heads"), body.alias("_body"))
     rows = rows.select(
         "doc_id",
-        F.size("heads").alias("expected"),
-        T.let(F.col("body"), lambda b: F.size(F.filter("heads", lambda h: F.contains(b, h)))).alias("matched"),
+        *keep,
+        F.size("_heads").alias("expected"),
+        T.let(F.col("_body"), lambda b: F.size(F.filter("_heads", lambda h: F.contains(b, h)))).alias("matched"),
     )
     ratio = F.round(F.col("matched").cast("decimal(12,6)") / F.col("expected"), 2).cast("double")
     return rows.withColumn("ratio", F.when(F.col("expected") == 0, 1.0).otherwise(ratio))

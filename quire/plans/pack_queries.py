@@ -15,6 +15,7 @@ from quire.plans import relations as R
 from quire.plans import sqltext as S
 from quire.plans.base import ctes, query, table
 from quire.plans.score_queries import BULLETS, REFS, _rules
+from quire.session import materialised
 
 CAPACITIES = (3, 20, 48)
 DICE = 0.4
@@ -112,8 +113,8 @@ ctes(
         CASE (g.doc_id // 4294967296) % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'balanced' ELSE 'high_range' END AS profile,
         g.expected_pages >= 30 OR k.target_pages >= 30 AS long_form, g.expected_pages >= 60 OR k.target_pages >= 60 AS very_long
         FROM gate_pages g JOIN conv_brief k ON k.doc_id = g.doc_id)""",
-    visual_pages="""SELECT capacity, (vec_id // 4) * 4294967296 AS doc_id, CAST(vec_id % 4 + 1 AS INTEGER) AS page, dark_ratio, centroid_y
-        FROM pix_metrics, (VALUES (20), (48)) AS t(capacity)""",
+    visual_pages=f"""SELECT capacity, (vec_id // 4) * 4294967296 AS doc_id, CAST(vec_id % 4 + 1 AS INTEGER) AS page, dark_ratio, centroid_y
+        FROM pix_metrics, (VALUES {', '.join(f'({c})' for c in CAPACITIES)}) AS t(capacity)""",
     visual_scores=f"""SELECT capacity, doc_id, page, score, class_threshold, score < least(class_threshold, 65.0) AS failed FROM (
         SELECT capacity, doc_id, page, class_threshold, CASE WHEN found AND dd <= 0.005 AND dc <= 0.02 THEN 100.0::DOUBLE ELSE
         CAST(round(greatest(0, least(100, 100 - dd * 2500 - dc * 120)), 2) AS DOUBLE) END AS score FROM (
@@ -352,16 +353,20 @@ def _(spark, d):
 # pairs
 
 
-def v_pair(spark, d):
-    docs = R.v_conv(spark, d)
+def _drawn(docs, *more):
     kept = ~((F.col("kind") == "heading") & (F.col("level") == 3))
     plain = F.regexp_replace("text", r"[^\x00-\x7f]", "?")
-    drawn = B.blocks(docs).groupBy("doc_id").agg(
+    return B.blocks(docs).groupBy("doc_id").agg(
         ordered_text(F.col("block_no"), F.when(kept, F.col("text")), "\n").alias("rendered"),
         ordered_text(F.col("block_no"), plain, "\n").alias("printed"),
         F.count_if(kept).alias("rendered_blocks"),
+        *more,
     )
-    return docs.select("doc_id", F.col("text").alias("source")).join(drawn, "doc_id", "left")
+
+
+def v_pair(spark, d):
+    docs = R.v_conv(spark, d)
+    return docs.select("doc_id", F.col("text").alias("source")).join(_drawn(docs), "doc_id", "left")
 
 
 @query("q17_bag_similarity", "SELECT * FROM pair_dice")
@@ -475,33 +480,29 @@ def _(spark, d):
     return prof.select("capacity", "doc_id", "page", "cls", P.class_threshold(F.col("cls")).alias("threshold"))
 
 
-def _visual(spark, d):
+def _visual(spark, d, profiles):
     metrics = X.page_metrics(v_pix(spark, d), 8, "vec_id")
     actual = metrics.select(
-        F.explode(F.array(F.lit(20), F.lit(48))).alias("capacity"),
+        F.explode(F.array(*[F.lit(c) for c in CAPACITIES])).alias("capacity"),
         (F.expr("vec_id div 4") * R.IDS).alias("doc_id"),
         (F.col("vec_id") % 4 + 1).cast("int").alias("page"),
         "dark_ratio",
         "centroid_y",
     )
-    prof = P.page_profile(v_place(spark, d)).withColumn("threshold", P.class_threshold(P.page_class()))
-    return X.page_scores(actual, prof)
+    return X.page_scores(actual, profiles.withColumn("threshold", P.class_threshold(P.page_class())))
 
 
 @query("q24_page_scores", "SELECT * FROM visual_scores")
 def _(spark, d):
-    return _visual(spark, d)
+    return _visual(spark, d, P.page_profile(v_place(spark, d)))
 
 
 @query("q24_visual_summary", "SELECT * FROM visual_docs")
 def _(spark, d):
-    return X.visual_summary(_visual(spark, d))
+    return X.visual_summary(_visual(spark, d, P.page_profile(v_place(spark, d))))
 
 
-def _gate_docs(spark, d):
-    pages = v_place(spark, d).groupBy("capacity", "doc_id").agg(
-        F.max("page").alias("expected_pages"), F.count("*").alias("placed")
-    )
+def _gate_docs(spark, d, pages):
     rules = _rules(spark, d).select("doc_id", "target_pages", Q.violations(F.col("doc_text"), render=True).alias("v"))
     profile = F.element_at(
         F.array(F.lit("strict"), F.lit("balanced"), F.lit("high_range")), (F.expr(f"doc_id div {R.IDS}") % 3 + 1).cast("int")
@@ -519,7 +520,10 @@ def _own_thresholds():
     min_page_visual, max_failed_ratio, hard_gate, page_tolerance FROM gate_thresholds""",
 )
 def _(spark, d):
-    return P.thresholds(_gate_docs(spark, d), _own_thresholds()).select(
+    pages = v_place(spark, d).groupBy("capacity", "doc_id").agg(
+        F.max("page").alias("expected_pages"), F.count("*").alias("placed")
+    )
+    return P.thresholds(_gate_docs(spark, d, pages), _own_thresholds()).select(
         "capacity", "doc_id", "profile", "long_form", "expected_pages", *P.THRESHOLD_FIELDS, "page_tolerance"
     )
 
@@ -533,14 +537,13 @@ def _(spark, d):
         AS sim, h.ratio::DECIMAL(12,2) AS ratio, coalesce(v.average_score, 0)::DECIMAL(12,2) AS visual, coalesce(v.pages, 0) AS
         pages, coalesce(v.failed_pages, 0) AS failed, rv.penalty, p.rendered_blocks FROM gate_thresholds t
         JOIN pair_dice s ON s.doc_id = t.doc_id JOIN pair_ratio h ON h.doc_id = t.doc_id JOIN v_pair p ON p.doc_id = t.doc_id
-        JOIN rv ON rv.doc_id = t.doc_id LEFT JOIN visual_docs v ON v.doc_id = t.doc_id AND v.capacity = t.capacity
-        WHERE t.capacity = 20),
+        JOIN rv ON rv.doc_id = t.doc_id LEFT JOIN visual_docs v ON v.doc_id = t.doc_id AND v.capacity = t.capacity),
     g AS (SELECT *, expected_pages = 0 OR abs(pages - expected_pages) <= page_tolerance AS pages_ok,
         placed <= greatest(rendered_blocks, 1) + 4 AS blocks_ok,
         CAST(round(failed / greatest(1, pages)::DECIMAL(18,6), 3) AS DOUBLE) AS failed_ratio FROM j),
     s AS (SELECT *, least(100, ratio * 70 + CASE WHEN pages_ok THEN 30 ELSE 0 END) AS structure,
         round(greatest(0, least(100, visual * 0.6 + sim * 0.4 - CASE WHEN blocks_ok THEN 0 ELSE 10 END)), 2) AS formatting FROM g)
-    SELECT doc_id, CAST(sim AS DOUBLE) AS similarity, CAST(ratio AS DOUBLE) AS heading_ratio, CAST(visual AS DOUBLE) AS visual,
+    SELECT capacity, doc_id, CAST(sim AS DOUBLE) AS similarity, CAST(ratio AS DOUBLE) AS heading_ratio, CAST(visual AS DOUBLE) AS visual,
     failed_ratio, pages_ok, blocks_ok, sim >= min_similarity AND ratio >= min_heading_ratio AND (visual >= min_visual OR NOT
     hard_gate) AND (failed = 0 OR failed_ratio <= max_failed_ratio OR NOT hard_gate) AND pages_ok AND blocks_ok AND penalty = 0
     AS accepted, concat_ws('|', CASE WHEN sim < min_similarity THEN 'similarity' END, CASE WHEN ratio < min_heading_ratio THEN
@@ -550,20 +553,47 @@ def _(spark, d):
     CAST(round(greatest(0, structure * 0.4 + formatting * 0.35 + greatest(0, 100 - penalty) * 0.25 - penalty), 2) AS DOUBLE) AS score FROM s""",
 )
 def _(spark, d):
-    t = P.thresholds(_gate_docs(spark, d).filter(F.col("capacity") == 20), _own_thresholds())
-    pairs = v_pair(spark, d)
-    sims = M.bag_dice_all(pairs, "source", {"sim_a": "rendered", "sim_b": "printed"})
-    heads = M.heading_match(pairs).select("doc_id", "ratio")
-    visual = X.visual_summary(_visual(spark, d).filter(F.col("capacity") == 20)).drop("capacity")
+    rows = _gate_rows(spark, d)
+    packs = rows.select("doc_id", "rendered_blocks", "ratio", F.inline("packs"))
+    sims = M.bag_dice_all(rows, "source", {"sim_a": "rendered", "sim_b": "printed"})
+    visual = X.visual_summary(_visual(spark, d, packs.select("capacity", "doc_id", F.inline("pages"))))
+    gates = packs.select(
+        "capacity",
+        "doc_id",
+        "rendered_blocks",
+        "ratio",
+        "placed",
+        F.element_at("pages", -1)["page"].alias("expected_pages"),
+    )
     j = (
-        t.join(sims, "doc_id")
-        .join(heads, "doc_id")
-        .join(pairs.select("doc_id", "rendered_blocks"), "doc_id")
-        .join(visual, "doc_id", "left")
+        P.thresholds(_gate_docs(spark, d, gates), _own_thresholds())
+        .join(sims, "doc_id")
+        .join(visual, ["capacity", "doc_id"], "left")
     )
     return P.acceptance(j.withColumn("penalty", Q.total_penalty(F.col("v"))))
 
 
+def _gate_rows(spark, d):
+    """One row per document with blocks: its three texts, heading ratio and the pages at every capacity. Written once, as the
+    texts' tokens, the page scores and the gate read different columns of it."""
+    docs = R.v_conv(spark, d)
+    drawn = docs.select("doc_id", F.col("text").alias("source")).join(_drawn(docs, P.block_items().alias("items")), "doc_id")
+    texts = ("source", "rendered", "printed", "rendered_blocks")
+    items = F.col("items")
+    packs = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("capacity"),
+                F.size(items).cast("long").alias("placed"),
+                P.page_profiles(items, F.lit(c)).alias("pages"),
+            )
+            for c in CAPACITIES
+        ]
+    )
+    rows = M.heading_match(drawn, (*texts, "items"))
+    return materialised(rows.select("doc_id", *texts, "ratio", packs.alias("packs")), "gate-rows")
+
+
 def _neighbours(spark, d):
     pix = v_pix(spark, d)
     nxt = pix.select((F.col("vec_id") - 1).alias("vec_id"), F.col("pixels").alias("b"))
