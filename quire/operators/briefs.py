@@ -129,14 +129,18 @@ def parse(briefs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ambiguities."""
     ids = ["brief_id", *keep]
     base = T.settle(briefs, ids, raw=T.strip(F.coalesce("text", F.lit(""))))
-    base = T.settle(base, [*ids, "raw"], low=F.lower("raw"), _lines=T.split_lines(F.col("raw")))
+    base = T.settle(base, [*ids, "raw"], low=F.lower("raw"))
     low = F.col("low")
-    base = T.settle(
-        base,
-        [*ids, "raw", "low", "_lines"],
-        headings=outline(F.col("_lines")),
-        required=required_sections(low),
-        _graded=F.transform("_lines", _graded),
+    # Plain projections: each is read more than once, so it is not inlined, and a job that reads none of it drops it.
+    base = base.select("*", T.split_lines(F.col("raw")).alias("_lines"))
+    base = base.select(
+        *ids,
+        "raw",
+        "low",
+        "_lines",
+        outline(F.col("_lines")).alias("headings"),
+        required_sections(low).alias("required"),
+        F.transform("_lines", _graded).alias("_graded"),
     )
 
     def graded(grade: str) -> Column:
