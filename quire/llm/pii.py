@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "quire-pseudonyms"
+#: The session setting that holds the secret key of the pseudonyms.
+KEY_SETTING = "spark.quire.pseudonym.key"
 ROUNDS = 8
 # The shapes looked for, most specific first; a match counts only if it also passes its own check below.
 SHAPES = {
@@ -40,7 +43,7 @@ def _weight(digit: Column, doubled: Column) -> Column:
     return F.when(doubled & (digit > 4), digit * 2 - 9).when(doubled, digit * 2).otherwise(digit)
 
 
-def permuted(left: Column, right: Column, sizes: tuple[Column, Column], tweak: str, key: str = KEY, rounds: int = ROUNDS) -> Column:
+def permuted(left: Column, right: Column, sizes: tuple[Column, Column], tweak: str, key: str, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of (left, right) in sizes[0] x sizes[1]: a Feistel network that adds a keyed hash of one half to
     the other, modulo its size, in turn. Every round can be undone, so different values stay different."""
 
@@ -57,7 +60,7 @@ def permuted(left: Column, right: Column, sizes: tuple[Column, Column], tweak: s
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.struct(left.cast("long").alias("a"), right.cast("long").alias("b")), turn)
 
 
-def permuted_digits(number: Column, tweak: str, key: str = KEY) -> Column:
+def permuted_digits(number: Column, tweak: str, key: str) -> Column:
     """A digit string of the same length; strings of one length map to each other one to one."""
     half = F.floor(F.length(number) / 2).cast("int")
     rest = F.length(number) - half
@@ -121,7 +124,7 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), 1, 12), F.lit("@mail.invalid"))
+    return F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(m)), 256), 1, 32), F.lit("@mail.invalid"))
 
 
 def _is(kind: str, m: Column) -> Column:
@@ -194,7 +197,7 @@ def _run(m: Column, key: str) -> Column:
     return F.element_at(F.transform(F.transform(groups, with_cards), rebuilt), 1)
 
 
-def replaced(m: Column, key: str = KEY) -> Column:
+def replaced(m: Column, key: str) -> Column:
     """(text, kinds): what stands for a match, and the kinds of the values in it; one that is not valid stays as it is."""
 
     def made(k: Column) -> Column:
@@ -207,31 +210,44 @@ def replaced(m: Column, key: str = KEY) -> Column:
     return F.element_at(F.transform(F.array(valid(m)), made), 1)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     return replaced(m, key)["text"]
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's secret key: ``spark.quire.pseudonym.key``, or one drawn at first use and kept for the session.
+
+    Whoever holds the key can undo numbers and dates, so it is never part of the source. Set it to keep values linked
+    between sessions; a drawn key links them within one and is gone with it.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """``docs`` with personal values in ``column`` replaced and two columns added: n_found, kinds (kind to count).
 
     Card numbers (Luhn; also beside other digit groups), phone numbers (behind a country code, also in pairs, with an area
     code in parentheses, or plain as 3-3-4 digits), social security numbers, IPv4 addresses and dates (also of date-times) become other valid values of the
     same form by keyed permutation; a mail address becomes a keyed pseudonym. Equal values are equal afterwards in every
-    document, whatever separates their digits. Null texts stay null with nothing found. If ``docs`` already has columns of
+    document, whatever separates their digits. Without ``key`` it is the session's (``session_key``). Null texts stay null with nothing found. If ``docs`` already has columns of
     the added names, they are replaced. Rows are handled one by one: no exchange, no order, repeated rows stay repeated.
     """
-    return _rewritten(docs, key, column)
+    return _rewritten(docs, key or session_key(docs.sparkSession), column)
 
 
 def _rewritten(docs: DataFrame, key: str, column: str) -> DataFrame:
+    taken = {c.lower() for c in docs.columns}
+    found, new, kinds = (next(n for n in (f"_{name}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for name in ("found", "new", "kinds"))
     text = F.col(column)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    rows = docs.drop("n_found", "kinds").withColumn("_found", found)
-    has = F.size("_found") > 0
+    rows = docs.drop("n_found", "kinds").withColumn(found, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    has = F.size(found) > 0
     between = F.split(text, ANY, -1)
-    rows = rows.withColumn("_new", F.transform("_found", lambda m: replaced(m, key)))
-    whole = F.array_join(F.zip_with(between, F.concat(F.col("_new.text"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    kinds = F.flatten(F.col("_new.kinds"))
-    rows = rows.withColumn("_kinds", F.when(has, kinds)).withColumn(column, F.when(has, whole).otherwise(text))
-    count = F.map_from_entries(F.transform(F.array_distinct("_kinds"), lambda k: F.struct(k, F.size(F.filter("_kinds", lambda x: x == k)))))
-    return rows.withColumn("n_found", F.when(has, F.size("_kinds")).otherwise(0).cast("long")).withColumn("kinds", F.when(has, count)).drop("_found", "_new", "_kinds")
+    rows = rows.withColumn(new, F.transform(found, lambda m: replaced(m, key)))
+    whole = F.array_join(F.zip_with(between, F.concat(F.col(new)["text"], F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    rows = rows.withColumn(kinds, F.when(has, F.flatten(F.col(new)["kinds"]))).withColumn(column, F.when(has, whole).otherwise(text))
+    count = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
+    return rows.withColumn("n_found", F.when(has, F.size(kinds)).otherwise(0).cast("long")).withColumn("kinds", F.when(has, count)).drop(found, new, kinds)

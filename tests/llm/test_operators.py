@@ -297,15 +297,36 @@ def test_pseudonyms_in_very_long_runs(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.pseudonymised(frame).collect()}
     assert [got[i].text == t for i, t in enumerate(texts)] == [True, True, True, False, False]
-    assert got[3].n_found == 3 and re.fullmatch(r"u\w{12}@mail\.invalidu\w{12}@mail\.invalid, u\w{12}@mail\.invalid", got[3].text)
+    assert got[3].n_found == 3 and re.fullmatch(r"u\w{32}@mail\.invalidu\w{32}@mail\.invalid, u\w{32}@mail\.invalid", got[3].text)
     assert got[4].n_found == 1 and got[4].text.endswith("@mail.invalid...")
 
 
+def test_pseudonym_keys(spark):
+    """Another key gives other values; the session's key is set or drawn once, and never a constant of the source."""
+    frame = spark.createDataFrame([(1, "4111 1111 1111 1111, a@b.com")], "doc_id long, text string")
+    one, two = (pii.pseudonymised(frame, key).first().text for key in ("one", "two"))
+    assert one != two and one == pii.pseudonymised(frame, "one").first().text
+    other = spark.newSession()
+    assert pii.session_key(other) == pii.session_key(other) != pii.session_key(spark.newSession())
+    other.conf.set(pii.KEY_SETTING, "one")
+    assert pii.pseudonymised(other.createDataFrame(frame.toArrow())).first().text == one
+
+
+def test_pseudonyms_of_clashing_columns_and_empty_tables(spark):
+    """Own columns named like the working ones stay as they are; a table without rows gives none."""
+    frame = spark.createDataFrame([(1, "id 123-45-6789", 7, "new", "x", "n")], "doc_id long, text string, _found int, _New string, _kinds string, n_found string")
+    out = pii.pseudonymised(frame)
+    got = out.first()
+    assert out.columns == ["doc_id", "text", "_found", "_New", "_kinds", "n_found", "kinds"]
+    assert (got["_found"], got["_New"], got["_kinds"], got.n_found, got.kinds) == (7, "new", "x", 1, {"ssn": 1})
+    assert pii.pseudonymised(frame.limit(0)).collect() == []
+
+
 def test_feistel_is_one_to_one(spark):
     frame = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("n"))
-    assert frame.select(pii.permuted_digits(F.col("n"), "t").alias("p")).where("length(p) = 3").distinct().count() == 1000
+    assert frame.select(pii.permuted_digits(F.col("n"), "t", "k").alias("p")).where("length(p) = 3").distinct().count() == 1000
     days = spark.range(0, 71589, 7).select(F.date_format(F.date_add(F.lit("1901-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    made = days.select(pii.pseudonym(F.col("d")).alias("p"))
+    made = days.select(pii.pseudonym(F.col("d"), "k").alias("p"))
     assert made.distinct().count() == days.count() == made.where(F.col("p").cast("date").isNotNull()).count()
 
 
