@@ -50,19 +50,25 @@ def block_items() -> Column:
     return F.array_sort(F.collect_list(item))
 
 
-def page_slices(items: Column, cap: Column) -> Column:
+def _opens(cursor: Column, cost: Column, cap: Column) -> Column:
+    """Whether a block at ``cursor`` opens the next page."""
+    return cursor + cost > cap
+
+
+def page_slices(items: Column, cap: Column, cursor: Column | None = None) -> Column:
     """One array of items per page; only the first may be empty, when its first block does not fit.
 
-    The recurrence resets at every page, so it is a fold over one document's cost array that only records where pages begin.
+    The recurrence resets at every page, so it is a fold over one cost array that only records where pages begin. ``cursor``
+    is the line of the first page where the items begin (default: its top).
     """
 
     def starts(items: Column) -> Column:
         zero = F.struct(
-            F.lit(0).alias("cursor"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts")
+            (F.lit(0) if cursor is None else cursor).alias("cursor"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts")
         )
 
         def step(acc: Column, x: Column) -> Column:
-            full = acc["cursor"] + x["cost"] > cap
+            full = _opens(acc["cursor"], x["cost"], cap)
             return F.struct(
                 F.when(full, x["cost"]).otherwise(acc["cursor"] + x["cost"]).alias("cursor"),
                 (acc["i"] + 1).alias("i"),
@@ -102,21 +108,75 @@ def page_profiles(items: Column, cap: Column) -> Column:
     return F.filter(F.transform(page_slices(items, cap), profile), lambda p: p["blocks"] > 0)
 
 
-def pack(blocks: DataFrame, cap: Column, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+#: Blocks of a document that are folded in one place.
+SEGMENT = 4096
+
+
+def _passages(items: Column, cap: Column, first: Column) -> Column:
+    """array<struct(pages, cursor)>: for each start cursor, the pages a segment opens and the cursor it ends at.
+
+    A full page is the same whatever overfills it, so cursors end at the capacity: the table has capacity + 1 entries, or
+    one where ``first`` says that the segment can only begin at the top of page 1.
+    """
+
+    def run(start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            full = _opens(acc["cursor"], x["cost"], cap)
+            end = F.least(cap, F.when(full, x["cost"]).otherwise(acc["cursor"] + x["cost"]))
+            return F.struct((acc["pages"] + full.cast("int")).alias("pages"), F.greatest(F.lit(0), end).alias("cursor"))
+
+        return F.aggregate(items, F.struct(F.lit(0).alias("pages"), start.alias("cursor")), step)
+
+    return F.transform(F.sequence(F.lit(0), F.when(first, 0).otherwise(F.greatest(cap, F.lit(0)))), run)
+
+
+def _segment_starts(segments: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, _seg, _start (pages, cursor): where the segments after a document's first begin.
+
+    One small table per segment is combined in order; a document within one segment has no row here.
+    """
+    table = F.struct("_seg", _passages(F.col("items"), F.col("_cap"), F.col("_seg") == 0).alias("table"))
+    docs = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(table)).alias("parts")).where(F.size("parts") > 1)
+    top = F.struct(F.lit(0).alias("pages"), F.lit(0).alias("cursor"))
+    zero = F.struct(top.alias("at"), F.array().cast("array<struct<pages:int,cursor:int>>").alias("starts"))
+
+    def step(acc: Column, part: Column) -> Column:
+        through = F.get(part["table"], acc["at"]["cursor"])
+        after = F.struct((acc["at"]["pages"] + through["pages"]).alias("pages"), through["cursor"].alias("cursor"))
+        return F.struct(after.alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    starts = F.arrays_zip(F.col("parts._seg").alias("_seg"), F.aggregate("parts", zero, step)["starts"].alias("_start"))
+    return docs.select(*keys, F.inline(starts).alias("_seg", "_start"))
+
+
+def pack(blocks: DataFrame, cap: Column, keys: tuple[str, ...] = ("doc_id",), segment: int = SEGMENT) -> DataFrame:
     """Sequential packing: a block that does not fit opens the next page, even on an empty page.
 
-    Offsets inside a page are summed over that page's few blocks. ``cap`` may use the key columns and constants.
+    A document is cut by position into segments that are packed by themselves, each from the page and line where the one
+    before it ends; these follow from tables of what every segment does from any start line, which are combined per document.
+    So a document of any number of blocks is spread over tasks, and no array holds more than ``segment`` blocks. Offsets
+    inside a page are summed over that page's few blocks. ``cap`` may use the key columns and constants; it is not null.
     """
-    docs = blocks.groupBy(*keys).agg(block_items().alias("items"))
-    paged = docs.select(*keys, F.posexplode(page_slices(F.col("items"), cap)).alias("page", "on_page"))
+    seg = F.floor(F.col("block_no") / F.lit(segment)).cast("int")
+    segments = blocks.groupBy(*keys, seg.alias("_seg")).agg(block_items().alias("items")).withColumn("_cap", cap)
+    segments = segments.repartition(*keys, "_seg")  # read twice below, moved once
+    rows = segments.join(_segment_starts(segments, keys), [*keys, "_seg"], "left")
+    page, cursor = (F.coalesce(F.col(f"_start.{x}"), F.lit(0)) for x in ("pages", "cursor"))
+    rows = rows.select(*keys, page.alias("_page"), cursor.alias("_cursor"), "_cap", "items")
+    slices = page_slices(F.col("items"), F.col("_cap"), F.col("_cursor"))
+    paged = rows.select(*keys, "_page", "_cursor", F.posexplode(slices).alias("_k", "on_page"))
+    top = F.when(F.col("_k") == 0, F.col("_cursor")).otherwise(0)
+    return _placed(paged.select(*keys, (F.col("_page") + F.col("_k") + 1).alias("page"), top.alias("top"), "on_page"), keys)
+
+
+def _placed(pages: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Placements of pages (or their parts from line ``top`` on) given as arrays of blocks in order."""
 
     def before(i: Column) -> Column:
-        return F.aggregate(F.slice("on_page", F.lit(1), i), F.lit(0), lambda acc, x: acc + x["cost"])
+        return F.aggregate(F.slice("on_page", F.lit(1), i), F.col("top"), lambda acc, x: acc + x["cost"])
 
-    placed = paged.select(
-        *keys,
-        (F.col("page") + 1).alias("page"),
-        F.explode(F.transform("on_page", lambda x, i: F.struct(x.alias("x"), before(i).alias("line_start")))).alias("p"),
+    placed = pages.select(
+        *keys, "page", F.explode(F.transform("on_page", lambda x, i: F.struct(x.alias("x"), before(i).alias("line_start")))).alias("p")
     )
     return placed.select(
         *keys,
@@ -167,25 +227,46 @@ def renormalise(placements: DataFrame) -> DataFrame:
     return placements.withColumn("line_end", end).withColumn("line_start", F.col("line_end") - F.col("est_lines"))
 
 
-def shift_first_orphan(placements: DataFrame) -> DataFrame:
-    """One repair pass: the first orphan heading that has a follower moves one page on together with it.
+def _whole_pages(placements: DataFrame) -> DataFrame:
+    """capacity, doc_id, page, on_page: one row per page with its blocks from top to bottom."""
+    block = F.struct(F.col("line_start").alias("at"), "pos", "kind", F.col("est_lines").alias("cost"))
+    return placements.groupBy(*_KEYS, "page").agg(F.array_sort(F.collect_list(block)).alias("on_page"))
+
+
+def _shifted(pages: DataFrame) -> DataFrame:
+    """One orphan shift on ``_whole_pages``.
 
-    Windows over one document's placements only, so the passes reuse the distribution of the packing.
+    A page holds no more blocks than lines, so pages are rows of bounded size and the largest thing that is grouped. The
+    heading's follower is on the page after it, or before it where an earlier shift left the heading behind the rest.
     """
-    doc = Window.partitionBy(*_KEYS)
-    nxt = F.lead("page").over(doc.orderBy("page", "line_start"))
-    last_on_page = nxt.isNull() | (nxt != F.col("page"))
-    rows = placements.withColumn("_last", last_on_page).withColumn("_end", F.max("pos").over(doc))
-    orphan = F.col("_last") & (F.col("kind") == "heading") & (F.col("pos") < F.col("_end"))
-    rows = rows.withColumn("_orphan", F.min(F.when(orphan, F.struct("page", "pos"))).over(doc)["pos"])
-    hit = F.col("pos").isin(F.col("_orphan"), F.col("_orphan") + 1)
-    moved = rows.withColumn("page", F.col("page") + F.coalesce(hit.cast("int"), F.lit(0)))
-    return renormalise(moved.drop("_orphan", "_last", "_end"))
+    last = F.element_at("on_page", -1)
+    heading = F.when(last["kind"] == "heading", F.struct("page", last["pos"].alias("pos")))
+    end = F.max(F.array_max(F.transform("on_page", lambda x: x["pos"]))).alias("_end")
+    docs = pages.groupBy(*_KEYS).agg(end, F.min(heading).alias("_low"), F.max(heading).alias("_high"))
+    # The last block is no orphan; at most one page, left by an earlier shift, is behind the page that holds it.
+    orphan = docs.withColumn("_h", F.when(F.col("_low.pos") < F.col("_end"), F.col("_low")).when(F.col("_high.pos") < F.col("_end"), F.col("_high")))
+    orphan = orphan.where("_h is not null")
+    page, pos = F.col("_h.page"), F.col("_h.pos")
+    leaves = [F.struct(at.alias("page"), F.array(*who).alias("_leaves")) for at, who in ((page, [pos, pos + 1]), (page - 1, [pos + 1]), (page + 1, [pos + 1]))]
+    hits = orphan.select(*_KEYS, F.inline(F.array(*leaves)))
+    rows = pages.join(hits, [*_KEYS, "page"], "left")
+    leaving = lambda x: F.coalesce(F.array_contains("_leaves", x["pos"]), F.lit(False))
+    stay = F.struct("page", F.filter("on_page", lambda x: ~leaving(x)).alias("on_page"))
+    go = F.struct((F.col("page") + 1).alias("page"), F.filter("on_page", leaving).alias("on_page"))
+    parts = rows.select(*_KEYS, F.inline(F.filter(F.array(stay, go), lambda p: F.size(p["on_page"]) > 0)))
+    merged = parts.groupBy(*_KEYS, "page").agg(F.flatten(F.collect_list("on_page")).alias("on_page"))
+    ordered = F.array_sort(F.transform("on_page", lambda x: F.struct(x["pos"].alias("at"), x["pos"].alias("pos"), x["kind"].alias("kind"), x["cost"].alias("cost"))))
+    return merged.withColumn("on_page", ordered)
+
+
+def shift_first_orphan(placements: DataFrame) -> DataFrame:
+    """One repair pass over a packing: the first orphan heading that has a follower moves one page on together with it."""
+    return _placed(_shifted(_whole_pages(placements)).withColumn("top", F.lit(0)), _KEYS)
 
 
 def repair(placements: DataFrame) -> DataFrame:
     """Two fixed passes of the orphan shift."""
-    return shift_first_orphan(shift_first_orphan(placements))
+    return _placed(_shifted(_shifted(_whole_pages(placements))).withColumn("top", F.lit(0)), _KEYS)
 
 
 def page_profile(placements: DataFrame) -> DataFrame:

@@ -43,13 +43,14 @@ def test_parents_and_numbers(spark):
     assert numbered == {k: v[1] for k, v in want.items() if v[1]}
 
 
-def test_packing_and_repair(spark):
+@pytest.mark.parametrize("segment", [1, 3, 8, 64, packing.SEGMENT])
+def test_packing_and_repair(spark, segment):
     rng = random.Random(3)
     rows, want = [], {}
     for doc in range(40):
         page, cursor, placed = 1, 0, []
-        cap = rng.choice([5, 9, 20])
-        for pos in range(1, 40):
+        cap = rng.choice([1, 5, 9, 20])
+        for pos in range(1, 40 if doc else 900):
             kind = rng.choice(["heading", "paragraph", "list_item", "image"])
             text = "x" * rng.randrange(0, 700)
             rows.append((cap, doc, pos, kind, text))
@@ -61,7 +62,7 @@ def test_packing_and_repair(spark):
             cursor += cost
         want[doc] = placed
     df = spark.createDataFrame(rows, "capacity int, doc_id long, block_no long, kind string, text string")
-    place = packing.pack(df, F.col("capacity"), ("capacity", "doc_id"))
+    place = packing.pack(df, F.col("capacity"), ("capacity", "doc_id"), segment)
     got = sorted((r.doc_id, r.pos, r.page, r.line_start) for r in place.collect())
     assert got == sorted((d, p[0], p[2], p[3]) for d, ps in want.items() for p in ps)
 
@@ -87,6 +88,34 @@ def test_packing_and_repair(spark):
     assert fixed == sorted((d, p[0], p[2], p[3]) for d, ps in want.items() for p in repaired(ps))
 
 
+def test_a_long_document_is_packed_and_repaired_over_many_tasks(spark):
+    """Half a million blocks of one document: no task sees over a tenth of the placements, and all follow the rule."""
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = F.col("id")
+        kind = F.when(n % 7 == 3, "heading").otherwise("paragraph")
+        df = spark.range(1, 500_001, 1, 16).select(F.lit(20).alias("capacity"), F.lit(0).alias("doc_id"), n.alias("block_no"), kind.alias("kind"), F.repeat(F.lit("x"), (n * 37 % 500).cast("int")).alias("text"))
+        place = packing.pack(df, F.col("capacity"), ("capacity", "doc_id"))
+        got = place.select("pos", "page", "line_start", F.spark_partition_id().alias("task")).toPandas()
+        fixed = packing.repair(place).select("pos", "page", F.spark_partition_id().alias("task")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    page, cursor, want = 1, 0, []
+    for pos in range(1, 500_001):
+        cost = 2 if pos % 7 == 3 else max(1, -(-(pos * 37 % 500) // 90))
+        if cursor + cost > 20:
+            page, cursor = page + 1, 0
+        want.append((page, cursor))
+        cursor += cost
+    got = got.sort_values("pos")
+    assert list(zip(got.page, got.line_start)) == want
+    assert got.task.value_counts().max() < 50_000 and fixed.task.value_counts().max() < 50_000
+    moved = got.set_index("pos").page.ne(fixed.set_index("pos").page.sort_index())
+    assert len(fixed) == 500_000 and 2 <= moved.sum() <= 4
+
+
 @pytest.mark.parametrize("width", [1, 8, 61])
 def test_ordered_equals_a_plain_loop_under_a_hot_key(spark, width):
     """Half of the rows share one key and some have none; a third have no time; values of the row before may be null."""
