@@ -66,17 +66,19 @@ class Ordered:
         sums: dict[str, Column] | None = None,
         lasts: dict[str, Column] | None = None,
         prevs: dict[str, Column] | None = None,
+        totals: dict[str, Column] | None = None,
     ) -> DataFrame:
         """``rows`` (self.rows, or what came of them with ``_slot`` kept) with running values.
 
         sums:  name -> value; running total up to and including the row
         lasts: name -> value; last non-null value up to and including the row
         prevs: name -> value; value of the row before (null on a key's first row)
+        totals: name -> value; sum over all rows of the key
 
         Rows stay in their piece, so a second call moves nothing.
         """
-        sums, lasts, prevs = sums or {}, lasts or {}, prevs or {}
-        values = {**sums, **lasts, **prevs}
+        sums, lasts, prevs, totals = sums or {}, lasts or {}, prevs or {}, totals or {}
+        values = {**sums, **lasts, **prevs, **totals}
         kept = rows.columns
         rows = rows.withColumns({f"_v_{n}": c for n, c in values.items()})
         local = Window.partitionBy("_slot").orderBy(*self.order)
@@ -86,11 +88,12 @@ class Ordered:
             *[F.sum(f"_v_{n}").over(upto).alias(f"_l_{n}") for n in sums],
             *[F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in lasts],
             *[F.lag(f"_v_{n}").over(local).alias(f"_l_{n}") for n in prevs],
+            *[F.sum(f"_v_{n}").over(Window.partitionBy("_slot")).alias(f"_l_{n}") for n in totals],
             *([F.lag(F.lit(1)).over(local).alias("_inner")] if prevs and self.bounds is not None else []),
         )
         if self.bounds is None:
-            return out.select(*kept, *[F.coalesce(f"_l_{n}", F.lit(0)).alias(n) for n in sums], *[F.col(f"_l_{n}").alias(n) for n in [*lasts, *prevs]])
-        carry = self._carry(rows, sums, lasts, prevs)
+            return out.select(*kept, *[F.coalesce(f"_l_{n}", F.lit(0)).alias(n) for n in sums], *[F.col(f"_l_{n}").alias(n) for n in [*lasts, *prevs, *totals]])
+        carry = self._carry(rows, sums, lasts, prevs, totals)
         out = out.join(F.broadcast(carry), "_slot", "left")
         first = F.col("_inner").isNull()
         return out.select(
@@ -98,14 +101,15 @@ class Ordered:
             *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in sums],
             *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in lasts],
             *[F.when(first, F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}")).alias(n) for n in prevs],
+            *[F.coalesce(f"_c_{n}", f"_l_{n}").alias(n) for n in totals],
         )
 
-    def _carry(self, rows: DataFrame, sums: dict, lasts: dict, prevs: dict) -> DataFrame:
+    def _carry(self, rows: DataFrame, sums: dict, lasts: dict, prevs: dict, totals: dict) -> DataFrame:
         """_slot and what stands before it in its key, for the pieces of hot keys: at most one row per piece."""
         at = F.struct(*self.order)
         hot = rows.join(F.broadcast(self.bounds.select(F.col("_key").alias("_hot"))), F.col("_slot.key") == F.col("_hot"), "left_semi")
         ends = hot.groupBy("_slot").agg(
-            *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+            *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in [*sums, *totals]],
             *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), at)).alias(f"_t_{n}") for n in lasts],
             *[F.max_by(f"_v_{n}", at).alias(f"_t_{n}") for n in prevs],
         )
@@ -115,6 +119,7 @@ class Ordered:
             *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
             *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
             *[F.last(f"_t_{n}").over(before).alias(f"_c_{n}") for n in prevs],
+            *[F.sum(f"_t_{n}").over(Window.partitionBy("_slot.key")).alias(f"_c_{n}") for n in totals],
         )
         return self.spark.createDataFrame(scan.toArrow(), scan.schema)
 

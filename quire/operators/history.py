@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.jsontext import is_json
+from quire.functions.quantiles import quantiles
 from quire.functions.windows import ordered
+from quire.session import materialised
 
 # Error prefixes, public messages and the legal status steps.
 INPUT_PREFIX, RENDER_PREFIX = "INPUT_VALIDATION:", "RENDER_VALIDATION:"
@@ -155,20 +157,24 @@ def parse_events(lines: DataFrame, column: str = "line") -> tuple[DataFrame, Dat
     return rows.filter(good).select(*keep, "_e.*"), rows.filter(~F.coalesce(good, F.lit(False))).select(*lines.columns)
 
 
+def stage_gaps(events: DataFrame) -> DataFrame:
+    """event, s: whole seconds since the user's previous event, of all events that have one."""
+    rows = ordered(events, ["user_id"], ["ts", "event_id"], prevs={"_prev": F.unix_micros("ts")})
+    secs = F.floor((F.unix_micros("ts") - F.col("_prev")) / 1_000_000).cast("bigint")
+    return rows.filter(F.col("_prev").isNotNull()).select("event", secs.alias("s"))
+
+
 def stage_latency(events: DataFrame) -> DataFrame:
     """stage, n, mean and percentiles of whole seconds since the user's previous event.
 
-    Latencies are counted per (stage, second) first; the percentiles then run over the counts.
+    Latencies are counted per (stage, second) first and written; percentiles are ranks over the counts, so one stage's
+    seconds are spread over tasks.
     """
-    rows = ordered(events, ["user_id"], ["ts", "event_id"], prevs={"_prev": F.unix_micros("ts")})
-    secs = F.floor((F.unix_micros("ts") - F.col("_prev")) / 1_000_000).cast("bigint")
-    hist = rows.filter(F.col("_prev").isNotNull()).groupBy("event", secs.alias("s")).agg(F.count("*").alias("w"))
-    return hist.groupBy("event").agg(
-        F.sum("w").alias("n"),
-        F.round(F.sum(F.col("s") * F.col("w")) / F.sum("w"), 4).alias("mean_s"),
-        F.round(F.percentile("s", 0.5, F.col("w")), 4).alias("p50_s"),
-        F.round(F.percentile("s", 0.95, F.col("w")), 4).alias("p95_s"),
-    )
+    hist = materialised(stage_gaps(events).groupBy("event", "s").agg(F.count("*").alias("w")), "latencies")
+    marks = quantiles(hist, ["event"], {"p50_s": ("s", 0.5), "p95_s": ("s", 0.95)}, F.col("w"), counted=True)
+    means = hist.groupBy("event").agg(F.sum("w").alias("n"), F.round(F.sum(F.col("s") * F.col("w")) / F.sum("w"), 4).alias("mean_s"))
+    marks = marks.select(F.col("event").alias("_event"), F.round("p50_s", 4).alias("p50_s"), F.round("p95_s", 4).alias("p95_s"))
+    return means.join(marks, F.col("event").eqNullSafe(F.col("_event")), "left").drop("_event")
 
 
 def stage_spans(events: DataFrame, key: str, stages: dict[str, tuple[str, str]]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import windows
+from quire.functions import quantiles, windows
 from quire.operators import attempts, blocks, history, packing, presets, raster, similarity, styles
 from quire.sources import ingest
 
@@ -304,3 +304,36 @@ def test_baseline_failure_rows(spark):
     base = spark.createDataFrame([("x", 1, page), ("x", 2, page), ("x", 3, page), ("z", 1, page)], "k string, page long, pixels array<double>")
     got = sorted((r.k, r.page, r.reason) for r in raster.baseline_failures(actual, base, "k").collect())
     assert got == [("x", 0, "page_count_mismatch expected=3 actual=2"), ("x", 2, "ssim_below_threshold threshold=0.97"), ("y", 0, "baseline_missing")]
+
+
+@pytest.mark.parametrize("width", [1, 8, 61])
+def test_quantiles_equal_a_plain_sort_under_a_hot_key(spark, width):
+    """Half of the rows share one key; values repeat, and are null, in one column for a whole group."""
+    rng = random.Random(5)
+    rows = [(k := rng.choice([0, 0, 0, None, rng.randrange(1, 9)]), rng.choice([None, *range(400)]), None if k == 3 else rng.gauss(0, 9), rng.randrange(1, 4)) for _ in range(8000)]
+    rows += [(77, None, None, 1), (78, 5, None, 1)]
+    df = spark.createDataFrame(rows, "k long, a int, b double, w int")
+    wanted = {"a50": ("a", 0.5), "a95": ("a", 0.95), "b0": ("b", 0.0), "b50": ("b", 0.5), "b100": ("b", 1.0)}
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        for weight in (None, F.col("w")):
+            got = {r.k: r for r in quantiles.quantiles(df, ["k"], wanted, weight).collect()}
+            assert set(got) == {r[0] for r in rows} - {77}
+            for k, r in got.items():
+                for name, (column, p) in wanted.items():
+                    at = 1 if column == "a" else 2
+                    values = sorted(x[at] for x in rows if x[0] == k and x[at] is not None for _ in range(x[3] if weight is not None else 1))
+                    if not values:
+                        assert r[name] is None
+                        continue
+                    place = p * (len(values) - 1)
+                    low, part = int(place), place - int(place)
+                    want = values[low] * (1 - part) + values[min(low + 1, len(values) - 1)] * part
+                    assert r[name] == pytest.approx(want)
+        assert quantiles.quantiles(df.limit(0), ["k"], wanted).count() == 0
+        one = {"a50": wanted["a50"]}
+        counts = df.groupBy("k", "a").agg(F.count("*").alias("n"))
+        plain, counted = quantiles.quantiles(df, ["k"], one), quantiles.quantiles(counts, ["k"], one, F.col("n"), counted=True)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, counted.collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
