@@ -22,6 +22,8 @@ MIN_WORDS = 5
 BROADCAST_BYTES = 64 << 20
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 FULL = -1
+#: Copies of a line that many others are compared with, so that one line does not gather all its partners in one task.
+SALTS = 8
 
 
 @lru_cache(maxsize=4)
@@ -150,6 +152,45 @@ def with_lines(docs: DataFrame, flags: DataFrame, name: str) -> DataFrame:
     return docs.join(F.broadcast(per_doc) if small else per_doc, docs["doc_id"] == per_doc["_doc"], "left").drop("_doc")
 
 
+def one_edit_apart(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one word put in, left out or changed makes ``a`` of ``b``."""
+    a, b = sorted((a, b), key=len)
+    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return b[at + 1 :] == (a[at + 1 :] if len(a) == len(b) else a[at:])
+
+
+def verified(nearest: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``nearest`` (k1, k2, near) whose lines, read again from their texts, are one edit apart word by word."""
+    near = nearest.select("near.doc_id", "near.line", "near.k1", "near.k2")
+    own = distinct.join(nearest, ["k1", "k2"], "left_semi").select("first.doc_id", "first.line", "k1", "k2")
+    marked = with_lines(ids, saved(own.unionByName(near).distinct(), "compared-lines"), "_wanted").where("_wanted is not null")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            row, number, lines = chosen(batch.column(1), batch.column(2))
+            k1, k2 = lines.full()
+            found, last, parts = [], -1, []
+            for i, k in zip(row.tolist(), number.tolist(), strict=True):
+                if i != last:
+                    last, parts = i, batch.column(1)[i].as_py().split("\n")
+                found.append(parts[k])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(found, pa.string())], ["k1", "k2", "words"])
+
+    # A line may be read at several places; its words are the same at each.
+    texts = saved(marked.mapInArrow(read, "k1 long, k2 long, words string").groupBy("k1", "k2").agg(F.min("words").alias("words")), "compared-words")
+    copies = texts.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("words").alias("near_words"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = nearest.join(texts, ["k1", "k2"]).withColumns({"n1": F.col("near.k1"), "n2": F.col("near.k2"), "salt": F.pmod("k1", F.lit(SALTS)).cast("int")})
+    pairs = pairs.join(copies, ["n1", "n2", "salt"]).select("k1", "k2", "near", "words", "near_words")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, others = (batch.column(i).cast(pa.binary()).to_pylist() for i in (3, 4))
+            same = pa.array([one_edit_apart(a.split(), b.split()) for a, b in zip(words, others, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], ["k1", "k2", "near"]).filter(same)
+
+    return pairs.mapInArrow(compare, nearest.schema)
+
+
 def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All occurrences, and one row per distinct line: k1, k2, first (its earliest doc_id and line), near (the earliest
     first of the other lines within the edit bound, or null)."""
@@ -175,6 +216,7 @@ def first_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .unionByName(rows.where(f"gap = {FULL}").join(less, ["v1", "v2"]).select("k1", "k2", "near"))
     )
     nearest = pairs.where("near.k1 <> k1 or near.k2 <> k2").groupBy("k1", "k2").agg(F.min("near").alias("near"))
+    nearest = verified(saved(nearest, "nearest-lines"), distinct, ids)
     return seen, distinct.drop("anchors").join(nearest, ["k1", "k2"], "left")
 
 
@@ -185,9 +227,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     a line that differs by one word put in, left out or changed. An occurrence is dropped if an equal line, or one within
     that bound, occurs earlier (smaller doc_id, then smaller line number), dropped or not; lines without words stay. Every
     line less each of its words is a hashed key, equal keys are joined and only aggregates per key are kept, so a key
-    shared by a third of all lines is combined before it moves. 128-bit keys of all remaining words and their number,
-    together with the gap, decide: equal ones at the same gap are one change apart, a whole line equal to another less a
-    word is one insertion apart. Documents without text or doc_id come back as they are with their count of lines and
+    shared by a third of all lines is combined before it moves. Keys of 128 bits are equal at the same gap for lines one
+    change apart, and a whole line's is another's less a word for lines one insertion apart; of each line the earliest such
+    partner is read again and the edit distance is verified on the words. Documents without text or doc_id come back as they are with their count of lines and
     nothing dropped. Existing columns with the added names are replaced.
     """
     seen, distinct = first_lines(docs)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -453,6 +454,35 @@ def kept_lines(rows):
     return {(i, k) for i, k, words in seen if (i, k) > start[words]}
 
 
+def test_one_edit_apart():
+    """Against a table of distances, over all short word lists; equal lists are no pair but count as within the bound."""
+    lists = [list(x) for n in range(5) for x in itertools.product([b"a", b"b"], repeat=n)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    for a in lists:
+        for b in lists:
+            assert linededup.one_edit_apart(a, b) == (distance(a, b) <= 1)
+
+
+def test_line_dedup_drops_pairs_whose_words_differ(spark):
+    """A false partner, as equal hashes would give one, does not pass."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e g"), (3, "u v w x y z")]
+    ids = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = linededup.occurrences(ids)
+    distinct = seen.select("k1", "k2", F.struct("doc_id", "line").alias("first"))
+    first = seen.where("doc_id = 1").select(F.struct("doc_id", "line", "k1", "k2").alias("near"))
+    nearest = seen.where("doc_id > 1").select("k1", "k2").crossJoin(first)
+    got = linededup.verified(nearest, distinct, ids).join(seen, ["k1", "k2"]).collect()
+    assert [r.doc_id for r in got] == [2]
+
+
 def test_line_dedup(spark, odd_docs):
     rng = np.random.default_rng(9)
     word = [f"w{k}" for k in range(6)]
