@@ -155,7 +155,8 @@ def pack(blocks: DataFrame, cap: Column, keys: tuple[str, ...] = ("doc_id",), se
     A document is cut by position into segments that are packed by themselves, each from the page and line where the one
     before it ends; these follow from tables of what every segment does from any start line, which are combined per document.
     So a document of any number of blocks is spread over tasks, and no array holds more than ``segment`` blocks. Offsets
-    inside a page are summed over that page's few blocks. ``cap`` may use the key columns and constants; it is not null.
+    inside a page are summed over that page's few blocks. ``cap`` may use the key columns and constants; it and the keys are
+    not null.
     """
     seg = F.floor(F.col("block_no") / F.lit(segment)).cast("int")
     segments = blocks.groupBy(*keys, seg.alias("_seg")).agg(block_items().alias("items")).withColumn("_cap", cap)
