@@ -20,6 +20,8 @@ MIN_WORDS = 5
 #: Line flags go to every task as a broadcast only up to this many bytes, which are counted; beyond it documents are joined by
 #: exchange. The rows are the same.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of text taken apart at a time.
+SLICE = 4 << 20
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 FULL = -1
 #: Copies of a line that many others are compared with, so that one line does not gather all its partners in one task.
@@ -112,7 +114,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(k1, k2, doc_id, line, anchors): every line with words; anchors only for lines the edit bound applies to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             lines, docs_, numbers = lines_of(batch.column(1))
             docs_ = batch.column(0).take(pa.array(docs_))
             k1, k2 = lines.full()
@@ -132,7 +134,7 @@ def edited(marked: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             row, number, lines = chosen(batch.column(1), batch.column(2))
             of = np.concatenate([np.repeat(np.arange(len(row)), lines.n), np.arange(len(row))])
             gap = np.concatenate([np.arange(len(of) - len(row)) - np.repeat(lines.start, lines.n), np.full(len(row), FULL)])
@@ -166,7 +168,7 @@ def verified(nearest: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFra
     marked = with_lines(ids, saved(own.unionByName(near).distinct(), "compared-lines"), "_wanted").where("_wanted is not null")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             row, number, lines = chosen(batch.column(1), batch.column(2))
             k1, k2 = lines.full()
             found, last, parts = [], -1, []
@@ -244,7 +246,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"_c{at}"):
+        for batch in slices(batches, f"_c{at}", SLICE):
             texts = batch.column(at)
             row, number, _ = chosen(texts, batch.column(len(names)))
             cut: dict[int, set[int]] = {}
